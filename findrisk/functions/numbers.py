@@ -38,3 +38,17 @@ def round4_half_up(column: Column) -> Column:
 def ratio(top: Column, bottom: Column) -> Column:
     """Plain quotient of two counts as double, 0 when there is nothing to divide by."""
     return F.when(bottom > 0, top.cast("double") / bottom).otherwise(F.lit(0.0))
+
+
+def mean4(column: Column) -> Column:
+    """Mean of a column that holds four decimals, summed in whole ten-thousandths.
+
+    Whole numbers add up exactly, so the mean does not depend on the order in
+    which partial sums arrive or on tasks being run again.
+    """
+    return sum4(column) / F.count(column) / 10000.0
+
+
+def sum4(column: Column) -> Column:
+    """Exact sum of a four-decimal column in ten-thousandths, as a double quotient's numerator."""
+    return F.sum(F.rint(column * 10000.0).cast("bigint")).cast("double")

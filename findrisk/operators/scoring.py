@@ -71,10 +71,11 @@ def hybrid_score(df: DataFrame, *, ml_score: str = "ml_score", weights: Mapping[
     )
     names = {"ml": "ml_score", "cvss": "normalized_cvss", "epss": "normalized_epss", "exposure": "exposure_score", "repo_criticality": "repo_criticality"}
     blended = parts.withColumn("risk_score", _blend({part: F.col(name) for part, name in names.items()}, weights))
-    score = F.col("risk_score")
-    capped = F.when(field(df, "is_withdrawn", 0) == 1, F.least(score, F.lit(WITHDRAWN_CAP))).otherwise(score)
+    # least and greatest skip nulls, so an override that does not apply drops out;
+    # each step refers to the score once, which keeps pushed-down filters small.
     critical = (number(field(df, "cvss_score", 0.0)) >= CRITICAL_CVSS) & (F.col("exposure_score") > CRITICAL_EXPOSURE)
-    final = clip(F.when(critical, F.greatest(capped, F.lit(CRITICAL_FLOOR))).otherwise(capped), 0, 1)
+    capped = F.least(F.col("risk_score"), F.when(field(df, "is_withdrawn", 0) == 1, WITHDRAWN_CAP))
+    final = clip(F.greatest(capped, F.when(critical, CRITICAL_FLOOR)), 0, 1)
     return blended.withColumn("risk_score", final).withColumn("tier", classify_tier(F.col("risk_score")))
 
 

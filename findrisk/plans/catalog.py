@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from findrisk.plans import feature_queries  # noqa: F401
+from findrisk.plans import dashboard_queries, feature_queries, release_queries, score_queries  # noqa: F401
 from findrisk.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
