@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from findrisk.plans import dashboard_queries, feature_queries, release_queries, score_queries  # noqa: F401
+from findrisk.plans import (  # noqa: F401
+    dashboard_queries,
+    evaluation_queries,
+    feature_queries,
+    release_queries,
+    score_queries,
+    source_queries,
+)
 from findrisk.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

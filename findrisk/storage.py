@@ -38,9 +38,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{staging_root(spark)}/rdd")
 
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path under the staging folder."""
+    return f"{staging_root(spark)}/findrisk-staged/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as parquet under the staging folder and read it back."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/findrisk-staged/{label}-{uuid.uuid4().hex}"
+    path = staging_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
