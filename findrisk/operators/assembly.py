@@ -23,11 +23,7 @@ BLOCKS = tuple(BLOCK_NAMES)
 
 
 def feature_names(blocks: Sequence[str] = BLOCKS) -> list[str]:
-    """Feature columns of the given blocks in matrix order.
-
-    Two names occur in two blocks with the same meaning (the weakness count and
-    the dependency count are also canonical columns); each is listed once per block.
-    """
+    """Feature columns of the given blocks in matrix order."""
     return [name for block in BLOCKS if block in blocks for name in BLOCK_NAMES[block]]
 
 
