@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from findrisk.operators import features, profiles
-from findrisk.storage import stage
 
 BLOCK_NAMES = {
     "cve_core": features.CVE_CORE_NAMES,
@@ -47,20 +46,16 @@ def feature_matrix(
     keep: Sequence[str] = ("finding_id",),
     row_id: str = "finding_id",
     leave_one_out: bool = False,
-    staged: bool = True,
 ) -> DataFrame:
     """Kept columns plus all features of the active blocks.
 
-    The canonical table is staged once: the four group profiles and the row pass
-    each read only their own columns from it, and none repeats the ingestion.
     The row-local features are projected after the statistics are attached, so
-    one pass over the rows writes the whole matrix.
+    one pass over the staged rows yields the whole matrix.
     """
     grouped = [name for block, name in (("dependency", "package"), ("repo", "repo"), ("user", "user")) if block in blocks]
-    source = stage(canonical, "canonical") if staged and grouped else canonical
-    rows = source
+    rows = canonical
     if grouped:
-        rows = profiles.grouped_features(source, grouped, keep=source.columns, row_id=row_id, leave_one_out=leave_one_out)
+        rows = profiles.grouped_features(canonical, grouped, keep=canonical.columns, row_id=row_id, leave_one_out=leave_one_out)
     row_blocks = [block for block in features.ROW_BLOCKS if block in blocks]
     names = feature_names(blocks)
     carried = [name for block, name_list in (("dependency", profiles.PACKAGE_NAMES), ("repo", profiles.REPO_NAMES), ("user", profiles.HISTORY_NAMES)) if block in blocks for name in name_list]

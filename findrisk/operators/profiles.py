@@ -8,6 +8,7 @@ value), so a key holding much of the table does not reach one task as raw rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,6 +16,7 @@ from findrisk.functions.numbers import flag, number, ratio, whole
 from findrisk.functions.text import lower_strip
 from findrisk.operators.canonical import field
 from findrisk.operators.lookup import attach
+from findrisk.storage import stage
 
 # Action words counted as fixed, skipped and false positive in histories.
 FIXED_ACTIONS = ("fixed", "remediated", "patched")
@@ -22,6 +24,11 @@ SKIPPED_ACTION = "skipped"
 FALSE_POSITIVE_ACTIONS = ("false_positive", "false positive")
 REPO_FALSE_POSITIVE = "false_positive"
 
+# Columns the profiles read: keys, flags and measures.
+PROFILE_INPUTS = (
+    "_repo", "_package", "_cwe", "_severity", "_action", "_fixed", "_skipped", "_fp",
+    "package_name", "cve_id", "published_date", "cvss_score", "epss_score", "has_patch", "transitive_dep_count",
+)
 # Where each profile keeps the number of rows of a group.
 ROW_COUNT = {"_package": "package_name_frequency", "_repo": "repo_total_cves", "_cwe": "_n_same_cwe", "_severity": "_n_same_severity"}
 
@@ -86,9 +93,8 @@ def package_profile(keyed: DataFrame) -> DataFrame:
     )
 
 
-def repo_profile(keyed: DataFrame) -> DataFrame:
-    """Everything known about a repo, in one aggregate."""
-    newest = keyed.select(F.max("published_date").alias("newest")).scalar()
+def repo_profile(keyed: DataFrame, newest: datetime | None) -> DataFrame:
+    """Everything known about a repo, in one aggregate; ``newest`` is the last publication anywhere."""
     published = F.col("published_date")
     rows = F.count(F.lit(1))
     severity = F.col("_severity")
@@ -96,7 +102,7 @@ def repo_profile(keyed: DataFrame) -> DataFrame:
     days = F.when(rows == 1, F.lit(1)).otherwise(span)
 
     def since(count: int) -> Column:
-        return F.count_if(published >= newest - F.expr(f"INTERVAL {count} DAYS"))
+        return F.count_if(published >= F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {count} DAYS"))
 
     return keyed.groupBy("_repo").agg(
         rows.alias("repo_total_cves"),
@@ -152,7 +158,7 @@ def _rates(suffix: str, leave_one_out: bool) -> dict[str, Column]:
     return rates
 
 
-def history_expressions(distinct_actions: Column, leave_one_out: bool) -> dict[str, Column]:
+def history_expressions(distinct_actions: int, leave_one_out: bool) -> dict[str, Column]:
     rates: dict[str, Column] = {}
     for suffix in HISTORY_KEYS:
         rates.update(_rates(suffix, leave_one_out))
@@ -160,7 +166,7 @@ def history_expressions(distinct_actions: Column, leave_one_out: bool) -> dict[s
         **rates,
         "cwe_action_consistency": _deviation("same_cwe"),
         "package_action_consistency": _deviation("same_package"),
-        "repo_action_diversity": F.col("_repo_actions") / F.greatest(distinct_actions, F.lit(1)),
+        "repo_action_diversity": F.col("_repo_actions") / float(max(distinct_actions, 1)),
         "severity_action_alignment": rates["historical_fix_rate_same_severity"],
     }
 
@@ -175,10 +181,12 @@ def grouped_features(
 ) -> DataFrame:
     """Kept columns plus the grouped features of the given blocks.
 
+    The keyed table is staged once; each profile then reads only its own columns
+    and none repeats the work that led to the table.
+
     ``leave_one_out`` takes the row itself out of its action rates (not out of
     the deviations and the diversity); a row alone in its group then gets 0.
     """
-    keyed = _keyed(canonical)
     needs: dict[str, list[str]] = {"_package": [], "_repo": [], "_cwe": [], "_severity": []}
     if "package" in blocks:
         needs["_package"] += PACKAGE_NAMES
@@ -189,24 +197,32 @@ def grouped_features(
             needs[key] += [f"{column}_{suffix}" for column in ("_fixed", "_skipped", "_fp", "_n")]
         needs["_repo"].append("_repo_actions")
 
-    makers = {"_package": package_profile, "_repo": repo_profile, "_cwe": cwe_profile, "_severity": severity_profile}
-    own = [name for name in ("_fixed", "_skipped", "_fp") if leave_one_out and "user" in blocks]
-    base = dict.fromkeys([*keep, row_id, *own, *[key for key, names in needs.items() if names]])
-    facts = keyed.select(*base)
-    for key, names in needs.items():
-        if names:
-            stats = makers[key](keyed).select(key, F.col(ROW_COUNT[key]).alias("_weight"), *names)
-            facts = attach(facts, stats, key, weight="_weight", spread_by=F.col(row_id))
+    keys = [key for key, names in needs.items() if names]
+    keyed = stage(_keyed(canonical).select(*dict.fromkeys([*keep, row_id, *PROFILE_INPUTS])), "keyed")
+    whole = keyed.agg(
+        F.max("published_date").alias("newest"),
+        F.coalesce(F.max((F.col("_repo") != "").cast("int")), F.lit(0)).alias("named"),
+        F.countDistinct("_action").alias("actions"),
+    ).first()
+    makers = {
+        "_package": package_profile,
+        "_repo": lambda table: repo_profile(table, whole["newest"]),
+        "_cwe": cwe_profile,
+        "_severity": severity_profile,
+    }
+    own = ["_fixed", "_skipped", "_fp"] if leave_one_out and "user" in blocks else []
+    facts = keyed.select(*dict.fromkeys([*keep, row_id, *own, *keys]))
+    for key in keys:
+        stats = makers[key](keyed).select(key, F.col(ROW_COUNT[key]).alias("_weight"), *needs[key])
+        facts = attach(facts, stats, key, weight="_weight", spread_by=F.col(row_id))
 
     features: dict[str, Column] = {}
     if "package" in blocks:
         features.update({name: F.coalesce(F.col(name), F.lit(0)) for name in PACKAGE_NAMES})
     if "repo" in blocks:
         # Without a single named repo the whole block says nothing.
-        any_named = keyed.select(F.max((F.col("_repo") != "").cast("int"))).scalar()
-        features.update({name: F.when(any_named == 1, F.col(name)).otherwise(0) for name in REPO_NAMES})
+        features.update({name: F.col(name) if whole["named"] else F.lit(0) for name in REPO_NAMES})
     if "user" in blocks:
-        distinct_actions = keyed.select(F.countDistinct("_action")).scalar()
-        features.update(history_expressions(distinct_actions, leave_one_out))
+        features.update(history_expressions(whole["actions"], leave_one_out))
     kept = [F.col(name) for name in keep if name not in features]
     return facts.select(*kept, *[column.alias(name) for name, column in features.items()])

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findrisk.operators import dashboard, releases
 from findrisk.operators.lookup import attach
-from findrisk.operators.portfolio_context import portfolio_context
+from findrisk.operators.portfolio_context import attach_portfolio
 from findrisk.operators.scoring import TIERS
+from findrisk.storage import stage
 
 # Bounds of the divergence between EPSS and CVSS.
 EPSS_FAR_ABOVE = 1.5
@@ -83,22 +84,20 @@ RELEASE_TASK = (
 PATTERN_TASK = ("Say what the leading features tell about risk, what to do about it, and what to doubt in the model.",)
 
 
-def finding_prompts(findings: DataFrame, ranked: DataFrame, factors: DataFrame | None = None) -> DataFrame:
+def finding_prompts(findings: DataFrame, ranked: DataFrame) -> DataFrame:
     """One prompt per finding.
 
     ``findings`` holds the canonical columns, scores, tier and
-    ``days_since_published``; ``ranked`` is the table the repository and
-    portfolio figures come from. ``factors`` is an optional table of finding_id
-    and an array of (name, value).
+    ``days_since_published``, and may hold ``factors``, an array of (name,
+    value); ``ranked`` is the table the repository and portfolio figures come
+    from. The figures are attached by key; the findings are not shuffled unless
+    there are too many keys to broadcast.
     """
-    facts = findings
-    if factors is not None:
-        facts = facts.join(factors.select("finding_id", "factors"), "finding_id", "left")
+    names = ("finding_id", "repo", "risk_score", "tier", "primary_cwe", "package_name", "user_action", "cvss_score")
+    ranked = stage(ranked.select(*names), "ranked")
     figures = dashboard.repo_stats(ranked).withColumn("_rows", F.col("repo_total_cves"))
-    facts = attach(facts, figures, "repo", weight="_rows", spread_by=F.col("finding_id"))
-    context = portfolio_context(ranked)
-    renamed = context.select("finding_id", F.struct(*[c for c in context.columns if c != "finding_id"]).alias("portfolio"))
-    facts = facts.join(renamed, "finding_id", "left")
+    facts = attach(findings, figures, "repo", weight="_rows", spread_by=F.col("finding_id"))
+    facts = attach_portfolio(facts, ranked)
 
     kind = divergence(F.col("cvss_score"), F.col("epss_score"))
     note = (
@@ -106,7 +105,7 @@ def finding_prompts(findings: DataFrame, ranked: DataFrame, factors: DataFrame |
         .when(kind == "low", "Note: the severity is high, yet exploitation is rare.")
     )
     factor_lines: Column = F.lit("  (none given)")
-    if factors is not None:
+    if "factors" in findings.columns:
         listed = F.transform(
             "factors",
             lambda p: F.concat(
@@ -151,12 +150,12 @@ def finding_prompts(findings: DataFrame, ranked: DataFrame, factors: DataFrame |
         _item("Packages", plain(F.col("repo_unique_packages"))),
         _item("Weaknesses", plain(F.col("repo_unique_cwes"))),
         "# Portfolio",
-        _item("Findings", plain(F.col("portfolio.total_vulnerabilities"))),
-        _item("Mean risk", decimal3(F.col("portfolio.avg_risk_score"))),
-        _item("CRITICAL", plain(F.col("portfolio.critical_count"))),
-        _item("HIGH", plain(F.col("portfolio.high_count"))),
-        _item("Same weakness", plain(F.col("portfolio.same_cwe_count"))),
-        _item("Same package", plain(F.col("portfolio.same_pkg_count"))),
+        _item("Findings", plain(F.col("total_vulnerabilities"))),
+        _item("Mean risk", decimal3(F.col("avg_risk_score"))),
+        _item("CRITICAL", plain(F.col("critical_count"))),
+        _item("HIGH", plain(F.col("high_count"))),
+        _item("Same weakness", plain(F.col("same_cwe_count"))),
+        _item("Same package", plain(F.col("same_pkg_count"))),
         "# Description",
         F.when(F.coalesce(F.col("cve_description"), F.lit("")) != "", F.col("cve_description")).otherwise("No description."),
         "# Task",
@@ -167,6 +166,7 @@ def finding_prompts(findings: DataFrame, ranked: DataFrame, factors: DataFrame |
 
 def portfolio_prompt(ranked: DataFrame) -> DataFrame:
     """One prompt about the whole portfolio: totals and four top-ten lists."""
+    ranked = stage(ranked, "ranked")
     repos = dashboard.portfolio_repos(ranked)
     cves = dashboard.portfolio_top_cves(ranked)
     cwes = dashboard.portfolio_cwes(ranked)
@@ -218,7 +218,7 @@ def _cwe_names(df: DataFrame, name: str) -> DataFrame:
 
 def release_prompts(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One prompt per comparable repo: both releases, the change, and what came and went."""
-    pairs = releases.release_pairs(ranked) if pairs is None else pairs
+    rows = releases.compared_rows(ranked, pairs)
     keys = ["repo", "release"]
     cve_line = F.concat(
         F.lit("  - "), "cve_id", F.lit(": "), decimal3(F.col("risk_score")), F.lit(" ("), "tier", F.lit("), package "),
@@ -229,10 +229,10 @@ def release_prompts(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFr
         F.lit("  - "), "package", F.lit(": "), F.col("count").cast("string"), F.lit(", mean risk "), decimal3(F.col("avg_risk"))
     )
     blocks = (
-        releases.release_stats(ranked)
-        .join(_per_group(releases.release_top_cves(ranked), keys, cve_line, "cves"), keys, "left")
-        .join(_per_group(releases.release_top_cwes(ranked), keys, cwe_line, "cwes"), keys, "left")
-        .join(_per_group(releases.release_top_packages(ranked), keys, package_line, "packages"), keys, "left")
+        releases.release_stats(rows)
+        .join(_per_group(releases.release_top_cves(rows), keys, cve_line, "cves"), keys, "left")
+        .join(_per_group(releases.release_top_cwes(rows), keys, cwe_line, "cwes"), keys, "left")
+        .join(_per_group(releases.release_top_packages(rows), keys, package_line, "packages"), keys, "left")
     )
     block = _lines(
         _item("Findings", plain(F.col("total_vulns"))),
@@ -253,13 +253,13 @@ def release_prompts(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFr
     current = texts.select("repo", F.col("release").alias("current_release"), F.col("block").alias("now_block"), F.col("avg_risk_score").alias("now_risk"))
     previous = texts.select("repo", F.col("release").alias("previous_release"), F.col("block").alias("then_block"), F.col("avg_risk_score").alias("then_risk"))
     whole = (
-        releases.release_delta(ranked, pairs)
+        releases.release_delta(rows)
         .join(current, ["repo", "current_release"], "left")
         .join(previous, ["repo", "previous_release"], "left")
-        .join(_per_group(releases.new_cves(ranked, pairs), ["repo"], change_line, "new_lines"), "repo", "left")
-        .join(_per_group(releases.resolved_cves(ranked, pairs), ["repo"], change_line, "resolved_lines"), "repo", "left")
-        .join(_cwe_names(releases.new_cwes(ranked, pairs), "new_cwe_names"), "repo", "left")
-        .join(_cwe_names(releases.resolved_cwes(ranked, pairs), "resolved_cwe_names"), "repo", "left")
+        .join(_per_group(releases.new_cves(rows), ["repo"], change_line, "new_lines"), "repo", "left")
+        .join(_per_group(releases.resolved_cves(rows), ["repo"], change_line, "resolved_lines"), "repo", "left")
+        .join(_cwe_names(releases.new_cwes(rows), "new_cwe_names"), "repo", "left")
+        .join(_cwe_names(releases.resolved_cwes(rows), "resolved_cwe_names"), "repo", "left")
     )
     prompt = _lines(
         _item("# Repository", F.col("repo")),

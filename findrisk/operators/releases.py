@@ -7,6 +7,8 @@ rows inside each task before any shuffle by repo.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from findrisk.functions.numbers import mean4
@@ -15,7 +17,12 @@ from findrisk.operators.dashboard import FIXED
 from findrisk.operators.lookup import attach
 from findrisk.operators.scoring import TIERS
 from findrisk.operators.topk import first_per_group
+from findrisk.storage import stage
 
+# What the comparison reads of the ranked table.
+COMPARED_COLUMNS = (
+    "finding_id", "repo", "release", "cve_id", "risk_score", "tier", "package_name", "primary_cwe", "user_action", "has_patch",
+)
 STAT_NAMES = (
     "total_vulns", "avg_risk_score", "max_risk_score", *[f"{tier.lower()}_count" for tier in TIERS],
     "unique_packages", "patch_rate", "fix_rate",
@@ -79,10 +86,10 @@ def release_eligibility(ranked: DataFrame, *, current: str | None = None, previo
     return facts.select("repo", "n_releases", reason.alias("reject_reason"))
 
 
-def release_stats(ranked: DataFrame) -> DataFrame:
-    """Statistics of every release of every repo."""
+def release_stats(ranked: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Statistics of every release of every repo; ``also`` names columns constant within a repo to keep."""
     rows = F.count(F.lit(1))
-    return ranked.filter("release is not null").groupBy("repo", "release").agg(
+    return ranked.filter("release is not null").groupBy("repo", "release", *also).agg(
         rows.alias("total_vulns"),
         mean4(F.col("risk_score")).alias("avg_risk_score"),
         F.max("risk_score").alias("max_risk_score"),
@@ -117,95 +124,94 @@ def release_top_packages(ranked: DataFrame, n: int = 5) -> DataFrame:
     return top.withColumnRenamed("package_name", "package")
 
 
-def _only(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of the compared releases, marked as current and/or previous."""
+def compared_rows(ranked: DataFrame, pairs: DataFrame | None = None, order: str = "text") -> DataFrame:
+    """Rows of the two compared releases of each repo, with both release names.
+
+    The table is staged: the functions below accept it in place of the ranked
+    table, so several answers about the same pairs read it instead of scoring again.
+    """
+    pairs = release_pairs(ranked, order=order) if pairs is None else pairs
     named = pairs.select("repo", "current_release", "previous_release", F.lit(1).alias("_one"))
-    rows = attach(ranked, named, "repo", weight="_one", spread_by=F.col("finding_id"))
-    return rows.filter("release = current_release or release = previous_release")
+    rows = attach(ranked.select(*COMPARED_COLUMNS), named, "repo", weight="_one", spread_by=F.col("finding_id"))
+    return stage(rows.filter("release = current_release or release = previous_release"), "compared")
 
 
-def _sides(ranked: DataFrame, pairs: DataFrame, resolved: bool) -> tuple[DataFrame, DataFrame, str]:
-    rows = _only(ranked, pairs)
-    mine, other = ("previous_release", "current_release") if resolved else ("current_release", "previous_release")
-    return rows.filter(F.col("release") == F.col(mine)), rows.filter(F.col("release") == F.col(other)), mine
+def _compared(table: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    return table if "current_release" in table.columns else compared_rows(table, pairs)
 
 
-def _changed_cves(ranked: DataFrame, pairs: DataFrame | None, resolved: bool, n: int) -> DataFrame:
+def _changed_cves(table: DataFrame, pairs: DataFrame | None, mine: str, other: str, n: int) -> DataFrame:
     """Top rows of CVEs on one side only.
 
     Rows are first cut to ``n`` per (repo, CVE): no others can be among the
     first ``n`` of the repo, and a CVE with very many rows does not reach one task.
     """
-    pairs = release_pairs(ranked) if pairs is None else pairs
-    rows, others, side = _sides(ranked, pairs, resolved)
+    rows = _compared(table, pairs)
     order = [F.desc("risk_score"), F.asc("finding_id")]
-    short = first_per_group(rows, ["repo", "cve_id"], order, n, "_rank")
-    gone = short.join(others.select("repo", "cve_id").distinct(), ["repo", "cve_id"], "left_anti")
-    top = first_per_group(gone, ["repo"], order, n)
-    return top.select("repo", F.col(side).alias("release"), "rank", "finding_id", "cve_id", "risk_score", "tier", "package_name")
+    short = first_per_group(rows.filter(F.col("release") == F.col(mine)), ["repo", "cve_id"], order, n, "_rank")
+    others = rows.filter(F.col("release") == F.col(other)).select("repo", "cve_id").distinct()
+    top = first_per_group(short.join(others, ["repo", "cve_id"], "left_anti"), ["repo"], order, n)
+    return top.select("repo", "release", "rank", "finding_id", "cve_id", "risk_score", "tier", "package_name")
 
 
-def new_cves(ranked: DataFrame, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
+def new_cves(table: DataFrame, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
     """Riskiest rows of CVEs in the current release but not in the previous one."""
-    return _changed_cves(ranked, pairs, False, n)
+    return _changed_cves(table, pairs, "current_release", "previous_release", n)
 
 
-def resolved_cves(ranked: DataFrame, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
+def resolved_cves(table: DataFrame, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
     """Riskiest rows of CVEs in the previous release but no longer in the current one."""
-    return _changed_cves(ranked, pairs, True, n)
+    return _changed_cves(table, pairs, "previous_release", "current_release", n)
 
 
-def _presence(ranked: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+def _presence(compared: DataFrame, column: str) -> DataFrame:
     """Per repo and value: seen in the current release, seen in the previous one."""
-    return _only(ranked, pairs).filter(F.col(column).isNotNull()).groupBy("repo", column).agg(
+    return compared.filter(F.col(column).isNotNull()).groupBy("repo", column).agg(
         F.max((F.col("release") == F.col("current_release")).cast("int")).alias("in_current"),
         F.max((F.col("release") == F.col("previous_release")).cast("int")).alias("in_previous"),
     )
 
 
-def new_cwes(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def _changed_cwes(table: DataFrame, pairs: DataFrame | None, condition: str) -> DataFrame:
+    seen = _presence(_compared(table, pairs), "primary_cwe").filter(condition)
+    return seen.select("repo", F.col("primary_cwe").alias("cwe")).orderBy("repo", "cwe")
+
+
+def new_cwes(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Weaknesses of the current release that the previous one did not have, one row each."""
-    seen = _presence(ranked, release_pairs(ranked) if pairs is None else pairs, "primary_cwe")
-    return seen.filter("in_current = 1 and in_previous = 0").select("repo", F.col("primary_cwe").alias("cwe")).orderBy("repo", "cwe")
+    return _changed_cwes(table, pairs, "in_current = 1 and in_previous = 0")
 
 
-def resolved_cwes(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def resolved_cwes(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Weaknesses of the previous release that the current one no longer has, one row each."""
-    seen = _presence(ranked, release_pairs(ranked) if pairs is None else pairs, "primary_cwe")
-    return seen.filter("in_current = 0 and in_previous = 1").select("repo", F.col("primary_cwe").alias("cwe")).orderBy("repo", "cwe")
+    return _changed_cwes(table, pairs, "in_current = 0 and in_previous = 1")
 
 
-def changed_cve_counts(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+def changed_cve_counts(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Number of distinct new and resolved CVEs per repo."""
-    return _presence(ranked, pairs, "cve_id").groupBy("repo").agg(
+    return _presence(_compared(table, pairs), "cve_id").groupBy("repo").agg(
         F.count_if((F.col("in_current") == 1) & (F.col("in_previous") == 0)).alias("new_cve_count"),
         F.count_if((F.col("in_current") == 0) & (F.col("in_previous") == 1)).alias("resolved_cve_count"),
     )
 
 
-def release_delta(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Change from the previous to the current release of each repo."""
-    pairs = release_pairs(ranked) if pairs is None else pairs
-    stats = release_stats(ranked)
+def release_delta(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Change from the previous to the current release of each repo.
 
-    def side(prefix: str) -> DataFrame:
-        return stats.select(
-            F.col("repo").alias(f"{prefix}_repo"),
-            F.col("release").alias(f"{prefix}_tag"),
-            *[F.col(name).alias(f"{prefix}_{name}") for name in STAT_NAMES],
-        )
-
-    current, previous = side("c"), side("p")
-    both = (
-        pairs.join(current, (F.col("repo") == F.col("c_repo")) & (F.col("current_release") == F.col("c_tag")))
-        .join(previous, (F.col("repo") == F.col("p_repo")) & (F.col("previous_release") == F.col("p_tag")))
-        .join(changed_cve_counts(ranked, pairs), "repo", "left")
+    The statistics of both releases, two rows per repo, are folded into one row.
+    """
+    rows = _compared(table, pairs)
+    stats = release_stats(rows, also=("current_release", "previous_release"))
+    sides = {"c": F.col("release") == F.col("current_release"), "p": F.col("release") == F.col("previous_release")}
+    folded = stats.groupBy("repo", "current_release", "previous_release").agg(
+        *[F.max(F.when(is_side, F.col(name))).alias(f"{side}_{name}") for side, is_side in sides.items() for name in STAT_NAMES]
     )
 
     def change(name: str) -> Column:
         return F.col(f"c_{name}") - F.col(f"p_{name}")
 
-    return both.select(
+    zero = F.lit(0).cast("bigint")
+    return folded.join(changed_cve_counts(rows), "repo", "left").select(
         "repo",
         "current_release",
         "previous_release",
@@ -215,6 +221,6 @@ def release_delta(ranked: DataFrame, pairs: DataFrame | None = None) -> DataFram
         change("critical_count").alias("critical_change"),
         change("high_count").alias("high_change"),
         change("patch_rate").alias("patch_rate_change"),
-        F.coalesce("new_cve_count", F.lit(0).cast("bigint")).alias("new_cve_count"),
-        F.coalesce("resolved_cve_count", F.lit(0).cast("bigint")).alias("resolved_cve_count"),
+        F.coalesce("new_cve_count", zero).alias("new_cve_count"),
+        F.coalesce("resolved_cve_count", zero).alias("resolved_cve_count"),
     )

@@ -11,6 +11,10 @@ from findrisk.operators.canonical import field
 
 # Weights of the blend, tier bounds, overrides and fallbacks.
 WEIGHTS = {"ml": 0.45, "cvss": 0.20, "epss": 0.15, "exposure": 0.10, "repo_criticality": 0.10}
+PARTS = {
+    "ml": "ml_score", "cvss": "normalized_cvss", "epss": "normalized_epss",
+    "exposure": "exposure_score", "repo_criticality": "repo_criticality",
+}
 TIER_BOUNDS = (("CRITICAL", 0.8), ("HIGH", 0.6), ("MEDIUM", 0.4))
 TIERS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 EXPOSURE_WEIGHTS = {"attack_vector_network": 0.4, "privileges_required_none": 0.3, "is_exploit_known": 0.3}
@@ -69,8 +73,7 @@ def hybrid_score(df: DataFrame, *, ml_score: str = "ml_score", weights: Mapping[
             "repo_criticality": number(field(df, "repo_criticality", DEFAULT_CRITICALITY), DEFAULT_CRITICALITY),
         }
     )
-    names = {"ml": "ml_score", "cvss": "normalized_cvss", "epss": "normalized_epss", "exposure": "exposure_score", "repo_criticality": "repo_criticality"}
-    blended = parts.withColumn("risk_score", _blend({part: F.col(name) for part, name in names.items()}, weights))
+    blended = parts.withColumn("risk_score", _blend({part: F.col(name) for part, name in PARTS.items()}, weights))
     # least and greatest skip nulls, so an override that does not apply drops out;
     # each step refers to the score once, which keeps pushed-down filters small.
     critical = (number(field(df, "cvss_score", 0.0)) >= CRITICAL_CVSS) & (F.col("exposure_score") > CRITICAL_EXPOSURE)
@@ -79,14 +82,17 @@ def hybrid_score(df: DataFrame, *, ml_score: str = "ml_score", weights: Mapping[
     return blended.withColumn("risk_score", final).withColumn("tier", classify_tier(F.col("risk_score")))
 
 
+def score_terms(weights: Mapping[str, float] = WEIGHTS) -> dict[str, Column]:
+    """The weighted terms of a scored table by part."""
+    return {part: F.lit(float(weights[part])) * F.col(name) for part, name in PARTS.items()}
+
+
 def score_components(scored: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """The five weighted terms of each score, the blend before overrides and the score."""
-    names = {"ml": "ml_score", "cvss": "normalized_cvss", "epss": "normalized_epss", "exposure": "exposure_score", "repo_criticality": "repo_criticality"}
-    terms = {part: F.lit(float(weights[part])) * F.col(name) for part, name in names.items()}
     return scored.select(
         "finding_id",
-        *[term.alias(f"{part}_term") for part, term in terms.items()],
-        _blend({part: F.col(name) for part, name in names.items()}, weights).alias("blended_score"),
+        *[term.alias(f"{part}_term") for part, term in score_terms(weights).items()],
+        _blend({part: F.col(name) for part, name in PARTS.items()}, weights).alias("blended_score"),
         "risk_score",
         "tier",
     )

@@ -11,6 +11,7 @@ from findrisk.functions.cvss import METRICS, normal_vector, vector_flags
 from findrisk.operators.canonical import canonicalize
 from findrisk.operators.features import exploit_known
 from findrisk.operators.scoring import hybrid_score
+from findrisk.session import spread
 
 AS_OF = "2001-08-10 12:00:00"
 
@@ -52,7 +53,7 @@ FINDING_COLUMNS = {
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings table as a scanner would deliver it."""
     read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    lines, orders, parts = read("lineitem"), read("orders"), read("part")
+    lines, orders, parts = spread(read("lineitem"), "l_orderkey"), read("orders"), read("part")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
     return joined.selectExpr(*[f"{expression} as `{name}`" for name, expression in FINDING_COLUMNS.items()])
 

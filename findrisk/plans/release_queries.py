@@ -103,18 +103,22 @@ def resolved_cves_query(spark, sf_dir):
     return releases.resolved_cves(ranked(spark, sf_dir))
 
 
+# Weaknesses named as finely as CVE numbers, so that releases differ in them.
+_FINE_CWE = "concat('CWE-', right(cve_id, 3))"
+
+
 def _cwes_sql(mine: str, other: str) -> str:
-    return on("ranked", f"{_SIDES_SQL} SELECT repo, primary_cwe AS cwe FROM {mine} EXCEPT SELECT repo, primary_cwe FROM {other}")
+    return on("ranked", f"{_SIDES_SQL} SELECT repo, {_FINE_CWE} AS cwe FROM {mine} EXCEPT SELECT repo, {_FINE_CWE} FROM {other}")
 
 
 @query("new_cwes", _cwes_sql("cur", "prev"))
 def new_cwes_query(spark, sf_dir):
-    return releases.new_cwes(ranked(spark, sf_dir))
+    return releases.new_cwes(ranked(spark, sf_dir).withColumn("primary_cwe", F.expr(_FINE_CWE)))
 
 
 @query("resolved_cwes", _cwes_sql("prev", "cur"))
 def resolved_cwes_query(spark, sf_dir):
-    return releases.resolved_cwes(ranked(spark, sf_dir))
+    return releases.resolved_cwes(ranked(spark, sf_dir).withColumn("primary_cwe", F.expr(_FINE_CWE)))
 
 
 @query(

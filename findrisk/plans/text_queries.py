@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from findrisk.functions.dates import elapsed_days, moment
 from findrisk.operators import prompts
-from findrisk.operators.features import elapsed_days
 from findrisk.operators.responses import section_responses
-from findrisk.operators.scoring import ranked_table, score_components
-from findrisk.functions.dates import moment
+from findrisk.operators.scoring import ranked_table, score_terms
 from findrisk.plans.findings import AS_OF, on, scored
 from findrisk.plans.registry import query
 from findrisk.plans.score_queries import ranked
@@ -23,19 +22,15 @@ def divergence_flags_query(spark, sf_dir):
     return table.select("finding_id", prompts.divergence(F.col("cvss_score"), F.col("epss_score")).alias("divergence"))
 
 
-_TERMS = ("ml", "cvss", "epss", "exposure", "repo_criticality")
-
-
 @query("finding_prompt")
 def finding_prompt_query(spark, sf_dir):
     """Prompts whose factors are the terms of the score."""
     table = scored(spark, sf_dir)
-    terms = score_components(table).select(
-        "finding_id",
-        F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"{name}_term").alias("value")) for name in _TERMS]).alias("factors"),
+    terms = [F.struct(F.lit(name).alias("name"), term.alias("value")) for name, term in score_terms().items()]
+    facts = table.withColumns(
+        {"days_since_published": elapsed_days(moment(AS_OF), F.col("published_date")), "factors": F.array(*terms)}
     )
-    facts = table.withColumn("days_since_published", elapsed_days(moment(AS_OF), F.col("published_date")))
-    return prompts.finding_prompts(facts, ranked_table(table), terms)
+    return prompts.finding_prompts(facts, ranked_table(table))
 
 
 @query("portfolio_prompt")

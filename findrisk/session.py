@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "findrisk", master: str | None = None, **extra: str) -> SparkSession:
@@ -23,8 +23,29 @@ def build_session(app_name: str = "findrisk", master: str | None = None, **extra
     return prepare(builder.getOrCreate())
 
 
+# The JVM does not compile methods longer than this many bytes of bytecode; a wide
+# projection fused into one longer method would run interpreted.
+JIT_METHOD_BYTES = 8000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the one runtime setting results depend on: timestamps are read and compared in UTC."""
+    """Set the two runtime options the library relies on.
+
+    Timestamps are read and compared in UTC. Stages whose generated code the JVM
+    would not compile fall back to code that is split into smaller methods.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > JIT_METHOD_BYTES:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_BYTES))
     return spark
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table out over all cores if it comes in fewer splits than there are cores.
+
+    A table in one small file would otherwise be worked on by one core. A large
+    table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
