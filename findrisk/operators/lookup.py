@@ -48,12 +48,14 @@ def attach(
         key, F.struct(*value_names).alias("_heavy")
     )
     light = staged.filter(F.col(weight) * HEAVY_SHARE < size["rows"]).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_slot"), F.struct(*value_names).alias("_light")
+        F.col(key).cast("string").alias("_key"), F.struct(*value_names).alias("_light")
     )
+    # A row already served joins under a slot of its own choice and matches nothing.
     served = F.col("_heavy").isNotNull()
-    marked = facts.join(F.broadcast(heavy), key, "left").withColumn(
-        "_slot", F.when(served, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)) + 1).otherwise(0).cast("int")
+    slot = F.concat(F.lit("slot "), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))
+    marked = facts.join(F.broadcast(heavy), key, "left").withColumns(
+        {"_served": served, "_slot": F.when(served, slot).otherwise(F.col(key).cast("string"))}
     )
-    joined = marked.join(light, (F.col(key) == F.col("_key")) & (marked["_slot"] == light["_slot"]), "left")
+    joined = marked.join(light, (F.col("_slot") == F.col("_key")) & ~F.col("_served"), "left")
     found = F.coalesce("_heavy", "_light")
     return joined.select(*[marked[name] for name in facts.columns], *[found[name].alias(name) for name in value_names])
