@@ -57,10 +57,11 @@ def _item(label: str, value: Column) -> Column:
 
 
 def _listing(df: DataFrame, order: Sequence[Column], line: Column) -> Column:
-    """All lines of a short table (a top list) in order, as one scalar text."""
+    """All lines of a short table (a top list) in order, as one scalar text; "  none" if there are none."""
     entries = df.select(F.struct(*[key.alias(f"k{i}") for i, key in enumerate(order)], line.alias("line")).alias("entry"))
     ordered = F.sort_array(F.collect_list("entry"))
-    return entries.agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n")).scalar()
+    text = F.array_join(F.transform(ordered, lambda e: e["line"]), "\n")
+    return entries.agg(F.coalesce(F.nullif(text, F.lit("")), F.lit("  none"))).scalar()
 
 
 FINDING_TASK = (
@@ -192,13 +193,13 @@ def portfolio_prompt(ranked: DataFrame) -> DataFrame:
         _item("Repositories", plain(F.col("unique_repos"))),
         _item("Packages", plain(F.col("unique_packages"))),
         "# Riskiest repositories",
-        F.coalesce(_listing(repos, [-F.col("avg_risk"), F.col("repo")], repo_line), F.lit("  none")),
+        _listing(repos, [-F.col("avg_risk"), F.col("repo")], repo_line),
         "# Riskiest findings",
-        F.coalesce(_listing(cves, [-F.col("risk_score"), F.col("finding_id")], cve_line), F.lit("  none")),
+        _listing(cves, [-F.col("risk_score"), F.col("finding_id")], cve_line),
         "# Frequent weaknesses",
-        F.coalesce(_listing(cwes, [-F.col("count"), F.col("cwe")], cwe_line), F.lit("  none")),
+        _listing(cwes, [-F.col("count"), F.col("cwe")], cwe_line),
         "# Most affected packages",
-        F.coalesce(_listing(packages, [-F.col("count"), F.col("package")], package_line), F.lit("  none")),
+        _listing(packages, [-F.col("count"), F.col("package")], package_line),
         "# Task",
         *PORTFOLIO_TASK,
     )
