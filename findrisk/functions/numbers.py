@@ -26,10 +26,36 @@ def clip(column: Column, low: float, high: float) -> Column:
 
 
 def round4(column: Column) -> Column:
-    """Four decimals, ties to even, computed in binary doubles."""
+    """Four decimals by scaling: the scaled double is rounded, ties to even."""
     return F.rint(column * 10000.0) / 10000.0
 
 
+def exact_round(column: Column, digits: int) -> Column:
+    """Decimals as number printing gives them: the exact binary value is rounded, ties to even.
+
+    Scaling alone is not enough: 0.5135 lies just below or above the tie that its
+    scaled value shows. Where the scaled value is a tie, the part that the
+    multiplication lost decides; it is recovered by splitting the factor into
+    two halves whose products are exact.
+    """
+    scale = float(10**digits)
+    scaled = column * scale
+    wide = column * 134217729.0
+    high = wide - (wide - column)
+    lost = (high * scale - scaled) + (column - high) * scale
+    below = F.floor(scaled).cast("double")
+    rounded = (
+        F.when(scaled - below != 0.5, F.rint(scaled)).when(lost > 0, below + 1.0).when(lost < 0, below).otherwise(F.rint(scaled))
+    )
+    return rounded / scale
+
+
+def fixed(column: Column, digits: int, sign: bool = False) -> Column:
+    """Text with a fixed number of decimals; null stays null."""
+    pattern = f"%{'+' if sign else ''}.{digits}f"
+    return F.when(column.isNotNull(), F.format_string(pattern, exact_round(column, digits)))
+
+
 def round4_half_up(column: Column) -> Column:
     """Four decimals, ties upward, as the service variant reports them."""
     return F.floor(column * 10000.0 + 0.5).cast("double") / 10000.0
@@ -52,3 +78,8 @@ def mean4(column: Column) -> Column:
 def sum4(column: Column) -> Column:
     """Exact sum of a four-decimal column in ten-thousandths, as a double quotient's numerator."""
     return F.sum(F.rint(column * 10000.0).cast("bigint")).cast("double")
+
+
+def exact_mean(column: Column) -> Column:
+    """Mean summed in decimals of eight places, so that it is the same in whatever order rows arrive."""
+    return F.sum(column.cast("decimal(18,8)")).cast("double") / F.count(column)

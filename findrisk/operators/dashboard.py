@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from findrisk.functions.numbers import mean4, round4, sum4
+from findrisk.functions.numbers import exact_mean, exact_round, mean4, sum4
 from findrisk.operators.scoring import TIERS, by_risk
 
 # Severities shown, and actions the dashboards count.
@@ -25,8 +25,8 @@ def summary_kpis(ranked: DataFrame) -> DataFrame:
     """Total, mean and highest risk, distinct repos and packages, in one row."""
     return ranked.agg(
         F.count(F.lit(1)).alias("total_vulnerabilities"),
-        round4(mean4(F.col("risk_score"))).alias("avg_risk_score"),
-        round4(F.max("risk_score")).alias("max_risk_score"),
+        exact_round(mean4(F.col("risk_score")), 4).alias("avg_risk_score"),
+        exact_round(F.max("risk_score"), 4).alias("max_risk_score"),
         F.countDistinct("repo").alias("unique_repos"),
         F.countDistinct("package_name").alias("unique_packages"),
     )
@@ -45,7 +45,7 @@ def tier_distribution(ranked: DataFrame) -> DataFrame:
     """Count and percentage (one decimal) of each of the four tiers."""
     counts = _fixed_counts(ranked, {tier: F.col("tier") == tier for tier in TIERS}, "name", "value")
     share = F.col("value") / F.greatest(F.col("_total"), F.lit(1)) * 100.0
-    return counts.select("name", "value", (F.rint(share * 10.0) / 10.0).alias("percentage"))
+    return counts.select("name", "value", exact_round(share, 1).alias("percentage"))
 
 
 def severity_distribution(ranked: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def repo_stats(ranked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("repo_cve_count_30d"),
         _share(FIXED).alias("repo_fix_rate"),
         _share(FALSE_POSITIVE).alias("repo_false_positive_rate"),
-        F.avg("cvss_score").alias("repo_avg_cvss"),
+        exact_mean(F.col("cvss_score")).alias("repo_avg_cvss"),
         _critical().alias("repo_critical_count"),
         F.countDistinct("package_name").alias("repo_unique_packages"),
         F.countDistinct("primary_cwe").alias("repo_unique_cwes"),
@@ -246,7 +246,7 @@ def portfolio_compact(ranked: DataFrame) -> DataFrame:
 
 
 def _round3(name: str) -> Column:
-    return F.rint(F.col(name) * 1000.0) / 1000.0
+    return exact_round(F.col(name), 3)
 
 
 def repo_catalogue(ranked: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def repo_catalogue(ranked: DataFrame) -> DataFrame:
     totals = per_release.groupBy("repo").agg(
         F.sum("n").alias("total_vulns"),
         F.sum("critical").alias("critical_count"),
-        round4(F.sum("risk") / F.sum("n") / 10000.0).alias("avg_risk"),
+        exact_round(F.sum("risk") / F.sum("n") / 10000.0, 4).alias("avg_risk"),
         F.count("release").alias("n_releases"),
     )
     joined = per_release.join(totals, "repo").filter("release is not null or n_releases = 0")
@@ -274,5 +274,5 @@ def repo_catalogue(ranked: DataFrame) -> DataFrame:
         "release",
         F.when(in_release, F.col("n")).alias("release_total_vulns"),
         F.when(in_release, F.col("critical")).alias("release_critical_count"),
-        F.when(in_release, round4(F.col("risk") / F.col("n") / 10000.0)).alias("release_avg_risk"),
+        F.when(in_release, exact_round(F.col("risk") / F.col("n") / 10000.0, 4)).alias("release_avg_risk"),
     ).orderBy("repo", F.desc("release"))

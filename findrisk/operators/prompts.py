@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from findrisk.functions.numbers import fixed
 from findrisk.operators import dashboard, releases
 from findrisk.operators.lookup import attach
 from findrisk.operators.portfolio_context import attach_portfolio
@@ -22,12 +23,12 @@ NO_VALUE = "N/A"
 
 def percent(column: Column) -> Column:
     """Share as a percentage with one decimal; null reads N/A."""
-    return F.coalesce(F.when(column.isNotNull(), F.format_string("%.1f%%", column * 100.0)), F.lit(NO_VALUE))
+    return F.coalesce(F.concat(fixed(column * 100.0, 1), F.lit("%")), F.lit(NO_VALUE))
 
 
 def decimal3(column: Column) -> Column:
     """Three decimals; null reads N/A."""
-    return F.coalesce(F.when(column.isNotNull(), F.format_string("%.3f", column.cast("double"))), F.lit(NO_VALUE))
+    return F.coalesce(fixed(column.cast("double"), 3), F.lit(NO_VALUE))
 
 
 def plain(column: Column) -> Column:
@@ -110,7 +111,7 @@ def finding_prompts(findings: DataFrame, ranked: DataFrame) -> DataFrame:
         listed = F.transform(
             "factors",
             lambda p: F.concat(
-                F.lit("  - "), p["name"], F.lit(": "), F.format_string("%+.4f", p["value"]),
+                F.lit("  - "), p["name"], F.lit(": "), fixed(p["value"], 4, sign=True),
                 F.when(p["value"] > 0, " (increases risk)").otherwise(" (decreases risk)"),
             ),
         )
@@ -122,9 +123,9 @@ def finding_prompts(findings: DataFrame, ranked: DataFrame) -> DataFrame:
         _item("CVE", plain(F.col("cve_id"))),
         _item("Title", plain(F.col("title"))),
         _item("Severity", plain(F.col("severity"))),
-        _item("CVSS score", F.format_string("%.1f", "cvss_score")),
-        _item("EPSS score", F.format_string("%.4f", "epss_score")),
-        _item("EPSS percentile", F.format_string("%.4f", "epss_percentile")),
+        _item("CVSS score", fixed(F.col("cvss_score"), 1)),
+        _item("EPSS score", fixed(F.col("epss_score"), 4)),
+        _item("EPSS percentile", fixed(F.col("epss_percentile"), 4)),
         _item("Weakness", plain(F.col("primary_cwe"))),
         F.concat(F.lit("Package: "), plain(F.col("package_name")), F.lit(" "), plain(F.col("package_version")), F.lit(" ("), plain(F.col("ecosystem")), F.lit(")")),
         _item("Repository", plain(F.col("repo"))),
@@ -293,6 +294,6 @@ def pattern_prompt(importance: DataFrame, n: int = 15) -> DataFrame:
     top = importance.orderBy(F.desc("importance"), "feature").limit(n)
     entries = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("order"), "feature")))
     lines = F.transform(
-        entries, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["feature"], F.lit(": "), F.format_string("%.4f", -e["order"]))
+        entries, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["feature"], F.lit(": "), fixed(-e["order"], 4))
     )
     return top.agg(_lines("# Feature importance", F.array_join(lines, "\n"), "# Task", *PATTERN_TASK).alias("prompt"))

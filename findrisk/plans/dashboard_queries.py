@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from findrisk.operators import dashboard
 from findrisk.operators.portfolio_context import portfolio_context
 from findrisk.operators.scoring import RANKED_COLUMNS, TIERS, score_components, top_findings
-from findrisk.plans.findings import on, round4_sql, scored
+from findrisk.plans.findings import on, printed_sql, round4_sql, scored
 from findrisk.plans.registry import query, settle_sql, settled
 from findrisk.plans.score_queries import ranked
 
@@ -19,7 +19,7 @@ _FIX = "count(*) FILTER (user_action = 'fixed')::DOUBLE / count(*)"
 
 @query(
     "summary_kpis",
-    on("ranked", f"""SELECT count(*) AS total_vulnerabilities, {round4_sql(_MEAN)} AS avg_risk_score, {round4_sql('max(risk_score)')} AS max_risk_score,
+    on("ranked", f"""SELECT count(*) AS total_vulnerabilities, {printed_sql(_MEAN, 4)} AS avg_risk_score, {printed_sql('max(risk_score)', 4)} AS max_risk_score,
   count(DISTINCT repo) AS unique_repos, count(DISTINCT package_name) AS unique_packages FROM ranked"""),
 )
 def summary_kpis_query(spark, sf_dir):
@@ -30,7 +30,7 @@ def summary_kpis_query(spark, sf_dir):
     "tier_distribution",
     on("ranked", """names(name) AS (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')),
 counts AS (SELECT tier, count(*) AS n FROM ranked GROUP BY tier), total AS (SELECT count(*) AS total FROM ranked)
-SELECT name, coalesce(n, 0) AS value, round_even(coalesce(n, 0)::DOUBLE / greatest(total, 1) * 100 * 10, 0) / 10 AS percentage
+SELECT name, coalesce(n, 0) AS value, printf('%.1f', coalesce(n, 0)::DOUBLE / greatest(total, 1) * 100)::DOUBLE AS percentage
 FROM names LEFT JOIN counts ON name = tier, total"""),
 )
 def tier_distribution_query(spark, sf_dir):
@@ -160,7 +160,7 @@ def finding_detail_query(spark, sf_dir):
     "repo_stats",
     on("ranked", f"""SELECT repo, count(*) AS repo_total_cves, count(*) AS repo_cve_count_30d, {settle_sql(_FIX)} AS repo_fix_rate,
   {settle_sql("count(*) FILTER (user_action = 'false_positive')::DOUBLE / count(*)")} AS repo_false_positive_rate,
-  {settle_sql('avg(cvss_score)')} AS repo_avg_cvss, {_CRITICAL} AS repo_critical_count,
+  {settle_sql('sum(cvss_score::DECIMAL(18,8))::DOUBLE / count(cvss_score)')} AS repo_avg_cvss, {_CRITICAL} AS repo_critical_count,
   count(DISTINCT package_name) AS repo_unique_packages, count(DISTINCT primary_cwe) AS repo_unique_cwes FROM ranked GROUP BY repo"""),
 )
 def repo_stats_query(spark, sf_dir):
@@ -226,7 +226,7 @@ def portfolio_top_cves_query(spark, sf_dir):
 
 
 def _r3(expression: str) -> str:
-    return f"round_even(({expression}) * 1000, 0) / 1000"
+    return printed_sql(expression, 3)
 
 
 @query(
@@ -244,9 +244,9 @@ def portfolio_compact_query(spark, sf_dir):
 
 @query(
     "repo_catalogue",
-    on("ranked", f"""r AS (SELECT repo, count(*) AS total_vulns, {_CRITICAL} AS critical_count, {round4_sql(_MEAN)} AS avg_risk FROM ranked GROUP BY repo)
+    on("ranked", f"""r AS (SELECT repo, count(*) AS total_vulns, {_CRITICAL} AS critical_count, {printed_sql(_MEAN, 4)} AS avg_risk FROM ranked GROUP BY repo)
 SELECT repo, r.total_vulns, r.critical_count, r.avg_risk, release, count(*) AS release_total_vulns, {_CRITICAL} AS release_critical_count,
-  {round4_sql(_MEAN)} AS release_avg_risk FROM ranked JOIN r USING (repo) GROUP BY repo, r.total_vulns, r.critical_count, r.avg_risk, release"""),
+  {printed_sql(_MEAN, 4)} AS release_avg_risk FROM ranked JOIN r USING (repo) GROUP BY repo, r.total_vulns, r.critical_count, r.avg_risk, release"""),
 )
 def repo_catalogue_query(spark, sf_dir):
     return dashboard.repo_catalogue(ranked(spark, sf_dir))

@@ -147,6 +147,11 @@ def round4_sql(expression: str) -> str:
     return f"(round_even(({expression}) * 10000, 0) / 10000)"
 
 
+def printed_sql(expression: str, digits: int) -> str:
+    """Rounded as number printing does."""
+    return f"CAST(printf('%.{digits}f', {expression}) AS DOUBLE)"
+
+
 RANKED_SQL = f"""ranked AS (SELECT finding_id, cve_id, severity, package_name, repo, cvss_score, epss_score,
   {round4_sql('ml_score')} AS ml_score, {round4_sql('risk_score')} AS risk_score, tier,
   cve_description, primary_cwe, user_action, release, has_patch FROM scored)"""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findrisk.operators import contributions, embeddings, splits, training
 from findrisk.operators.assembly import FEATURE_NAMES
-from findrisk.operators.scoring import by_risk, hybrid_score, ranked_table
-from findrisk.plans.findings import AS_OF, canonical, findings, score_canonical
+from findrisk.operators.prompts import pattern_prompt
+from findrisk.operators.scoring import hybrid_score
+from findrisk.plans.feature_queries import _LABEL_SQL
+from findrisk.plans.findings import AS_OF, canonical, findings, on, score_canonical
 from findrisk.plans.registry import query, settle_sql, settled
 from findrisk.storage import stage
 
@@ -54,6 +57,24 @@ def tree_contributions_query(spark, sf_dir):
     )
 
 
+@query(
+    "tree_contributions_check",
+    on("canonical", f"""labelled AS (SELECT finding_id, published_date FROM canonical WHERE {_LABEL_SQL} IS NOT NULL),
+placed AS (SELECT finding_id, row_number() OVER (ORDER BY published_date NULLS LAST, md5(finding_id), finding_id) AS k, count(*) OVER () AS n FROM labelled)
+SELECT finding_id, 129 AS features, 1 AS adds_up FROM placed WHERE k > floor(n * 0.8::DOUBLE)"""),
+)
+def tree_contributions_check_query(spark, sf_dir):
+    """Contributions of every test finding against the margin the model itself reports."""
+    model, split = trained(spark, sf_dir)
+    tested = split.filter("split = 'test'")
+    own = model.transform(tested).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    explained_rows = contributions.contributions(model, training.feature_vectors(model, tested))
+    total = F.aggregate("contributions", F.col("base"), lambda so_far, value: so_far + value)
+    return explained_rows.join(own, "finding_id").select(
+        "finding_id", F.size("contributions").alias("features"), (F.abs(total - F.col("raw")) < 1e-9).cast("int").alias("adds_up")
+    )
+
+
 @query("global_importance")
 def global_importance_query(spark, sf_dir):
     return contributions.global_importance(explained(spark, sf_dir), FEATURE_NAMES)
@@ -74,8 +95,6 @@ def explanation_text_query(spark, sf_dir):
 
 @query("pattern_prompt")
 def pattern_prompt_query(spark, sf_dir):
-    from findrisk.operators.prompts import pattern_prompt
-
     return pattern_prompt(contributions.global_importance(explained(spark, sf_dir), FEATURE_NAMES))
 
 

@@ -40,7 +40,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new path under the staging folder."""
-    return f"{staging_root(spark)}/findrisk-staged/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/findrisk-staged/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the tables this application has staged; call it once their readers are done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "table") -> DataFrame:

@@ -8,7 +8,8 @@ from conftest import SMALL
 from findrisk.plans.catalog import CHECKS, QUERIES
 
 PYTHON = {"tree_contributions", "global_importance", "top_factors", "explanation_text", "pattern_prompt"}
-MODEL = PYTHON | {"train_predict", "text_embed_pca", "text_embed_energy"}
+CHECKED = {"tree_contributions_check", "text_embed_energy"}
+MODEL = PYTHON | CHECKED | {"train_predict", "text_embed_pca"}
 
 
 def plan_of(df):
@@ -40,4 +41,4 @@ def test_scans_read_only_what_a_query_needs(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
-    assert set(QUERIES) - set(CHECKS) == MODEL - {"text_embed_energy"} | {"synthetic_findings", "finding_prompt", "portfolio_prompt", "release_prompt"}
+    assert set(QUERIES) - set(CHECKS) == MODEL - CHECKED | {"synthetic_findings"}
