@@ -49,17 +49,17 @@ def feature_matrix(
 ) -> DataFrame:
     """Kept columns plus all features of the active blocks.
 
-    The row-local features are projected after the statistics are attached, so
-    one pass over the staged rows yields the whole matrix.
+    Row-local features come first: long texts are thereby reduced to a few
+    numbers before the grouped blocks stage the rows and attach their statistics.
     """
     grouped = [name for block, name in (("dependency", "package"), ("repo", "repo"), ("user", "user")) if block in blocks]
-    rows = canonical
-    if grouped:
-        rows = profiles.grouped_features(canonical, grouped, keep=canonical.columns, row_id=row_id, leave_one_out=leave_one_out)
     row_blocks = [block for block in features.ROW_BLOCKS if block in blocks]
     names = feature_names(blocks)
-    carried = [name for block, name_list in (("dependency", profiles.PACKAGE_NAMES), ("repo", profiles.REPO_NAMES), ("user", profiles.HISTORY_NAMES)) if block in blocks for name in name_list]
-    wide = features.row_features(rows, as_of, row_blocks, keep=dict.fromkeys([*keep, *carried])) if row_blocks else rows
+    carried = [*keep, row_id, *(profiles.SOURCE_COLUMNS if grouped else ())]
+    present = [name for name in dict.fromkeys(carried) if name in canonical.columns]
+    wide = features.row_features(canonical, as_of, row_blocks, keep=present)
+    if grouped:
+        wide = profiles.grouped_features(wide, grouped, keep=wide.columns, row_id=row_id, leave_one_out=leave_one_out)
     types = {f.name: f.dataType for f in wide.schema.fields}
     kept = [name for name in keep if name not in names]
     return wide.select(*kept, *[_clean(name, types[name]) for name in names])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from findrisk.functions.dates import to_utc
 from findrisk.functions.numbers import flag, number, whole
 from findrisk.functions.text import list_head, list_size, lower_strip, mentions, text_or_blank, upper_strip
+from findrisk.storage import stage
 
 # The canonical columns in order.
 CANONICAL_COLUMNS = (
@@ -95,6 +96,17 @@ def canonicalize(df: DataFrame, *, strict_cwe: bool = False) -> DataFrame:
     )
 
 
+def add_finding_id(df: DataFrame) -> DataFrame:
+    """Give every row an id if the source has none.
+
+    The numbers follow the partitions of this one run, so the table is staged
+    with them: later readers, and tasks run again, see the same ids.
+    """
+    if "finding_id" in df.columns:
+        return df
+    return stage(df.withColumn("finding_id", F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))), "numbered")
+
+
 def create_label(df: DataFrame, positive_actions: Sequence[str] = POSITIVE_ACTIONS) -> DataFrame:
     """Add ``label``: 1 for positive actions, 0 for negative ones, null for the rest."""
     action = lower_strip(F.col("user_action").cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from findrisk.storage import stage
 
@@ -11,6 +11,15 @@ HEAVY_SHARE = 2000
 SPREAD = 4096
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Size of a row in memory: 16 bytes per column and the length of every text."""
+    total = F.lit(16 * (len(df.columns) + 1))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return total
+
+
 def attach(
     facts: DataFrame,
     stats: DataFrame,
@@ -35,9 +44,8 @@ def attach(
     """
     staged = stage(stats, f"stats-{key}")
     value_names = [name for name in staged.columns if name not in (key, weight)]
-    width = 16 + 16 * len(value_names)
     size = staged.agg(
-        F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + width), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(_row_bytes(staged)), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(weight), F.lit(0)).alias("rows"),
     ).first()
     values = staged.drop(weight)

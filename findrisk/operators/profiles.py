@@ -24,11 +24,20 @@ SKIPPED_ACTION = "skipped"
 FALSE_POSITIVE_ACTIONS = ("false_positive", "false positive")
 REPO_FALSE_POSITIVE = "false_positive"
 
-# Columns the profiles read: keys, flags and measures.
-PROFILE_INPUTS = (
-    "_repo", "_package", "_cwe", "_severity", "_action", "_fixed", "_skipped", "_fp",
-    "package_name", "cve_id", "published_date", "cvss_score", "epss_score", "has_patch", "transitive_dep_count",
+# Canonical columns the profiles are made from.
+SOURCE_COLUMNS = (
+    "repo", "package_name", "primary_cwe", "severity", "user_action", "cve_id", "published_date",
+    "cvss_score", "epss_score", "has_patch", "transitive_dep_count",
 )
+# Columns each block reads, besides the key it groups by.
+BLOCK_INPUTS = {
+    "package": ("package_name", "cve_id", "_fixed", "_skipped", "_fp"),
+    "repo": (
+        "_severity", "_action", "_fixed", "_skipped", "_fp", "_package", "_cwe",
+        "published_date", "cvss_score", "epss_score", "has_patch", "transitive_dep_count",
+    ),
+    "user": ("_action", "_fixed", "_skipped", "_fp"),
+}
 # Where each profile keeps the number of rows of a group.
 ROW_COUNT = {"_package": "package_name_frequency", "_repo": "repo_total_cves", "_cwe": "_n_same_cwe", "_severity": "_n_same_severity"}
 
@@ -85,16 +94,15 @@ def _history(suffix: str) -> list[Column]:
 
 def package_profile(keyed: DataFrame) -> DataFrame:
     """Rows, distinct CVEs and action counts per package."""
-    named = F.when(F.col("package_name").isNotNull(), F.col("cve_id"))
-    return keyed.groupBy("_package").agg(
-        F.count(F.lit(1)).alias("package_name_frequency"),
-        F.countDistinct(named).alias("package_name_cve_density"),
-        *_history("same_package"),
-    )
+    measures = [F.count(F.lit(1)).alias("package_name_frequency"), *_history("same_package")]
+    if "cve_id" in keyed.columns:
+        named = F.when(F.col("package_name").isNotNull(), F.col("cve_id"))
+        measures.append(F.countDistinct(named).alias("package_name_cve_density"))
+    return keyed.groupBy("_package").agg(*measures)
 
 
 def repo_profile(keyed: DataFrame, newest: datetime | None) -> DataFrame:
-    """Everything known about a repo, in one aggregate; ``newest`` is the last publication anywhere."""
+    """Measures of a repo in one aggregate; ``newest`` is the last publication anywhere."""
     published = F.col("published_date")
     rows = F.count(F.lit(1))
     severity = F.col("_severity")
@@ -125,11 +133,19 @@ def repo_profile(keyed: DataFrame, newest: datetime | None) -> DataFrame:
         F.avg(number(F.col("has_patch"))).alias("repo_has_patch_rate"),
         F.avg(number(F.col("transitive_dep_count"))).alias("repo_avg_transitive_deps"),
         F.coalesce(rows / days, F.lit(0.0)).alias("repo_cve_velocity"),
-        F.countDistinct("_action").alias("_repo_actions"),
-        *_history("same_repo"),
+        *_repo_history(),
     )
 
 
+def repo_history(keyed: DataFrame) -> DataFrame:
+    """Only the action history of a repo."""
+    return keyed.groupBy("_repo").agg(F.count(F.lit(1)).alias("repo_total_cves"), *_repo_history())
+
+
+def _repo_history() -> list[Column]:
+    return [F.countDistinct("_action").alias("_repo_actions"), *_history("same_repo")]
+
+
 def cwe_profile(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("_cwe").agg(*_history("same_cwe"))
 
@@ -198,15 +214,18 @@ def grouped_features(
         needs["_repo"].append("_repo_actions")
 
     keys = [key for key, names in needs.items() if names]
-    keyed = stage(_keyed(canonical).select(*dict.fromkeys([*keep, row_id, *PROFILE_INPUTS])), "keyed")
-    whole = keyed.agg(
-        F.max("published_date").alias("newest"),
-        F.coalesce(F.max((F.col("_repo") != "").cast("int")), F.lit(0)).alias("named"),
-        F.countDistinct("_action").alias("actions"),
-    ).first()
+    inputs = [*keys, *[name for block in blocks for name in BLOCK_INPUTS[block]]]
+    keyed = stage(_keyed(canonical).select(*dict.fromkeys([*keep, row_id, *inputs])), "keyed")
+    whole: dict = {}
+    if "repo" in blocks or "user" in blocks:
+        totals = {"actions": F.countDistinct("_action")}
+        if "repo" in blocks:
+            totals["newest"] = F.max("published_date")
+            totals["named"] = F.coalesce(F.max((F.col("_repo") != "").cast("int")), F.lit(0))
+        whole = keyed.agg(*[column.alias(name) for name, column in totals.items()]).first().asDict()
     makers = {
         "_package": package_profile,
-        "_repo": lambda table: repo_profile(table, whole["newest"]),
+        "_repo": (lambda table: repo_profile(table, whole["newest"])) if "repo" in blocks else repo_history,
         "_cwe": cwe_profile,
         "_severity": severity_profile,
     }

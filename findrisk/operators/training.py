@@ -20,16 +20,26 @@ DEFAULTS = {"max_depth": 6, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "ro
 
 
 def prepare_training(
-    raw: DataFrame, as_of: str | datetime, *, blocks: Sequence[str] = BLOCKS, leave_one_out: bool = False
+    raw: DataFrame,
+    as_of: str | datetime,
+    *,
+    blocks: Sequence[str] = BLOCKS,
+    keep: Sequence[str] = (),
+    leave_one_out: bool = False,
 ) -> DataFrame:
-    """Labelled feature matrix with finding_id, label and published_date.
+    """Labelled feature matrix with finding_id, label, published_date and the columns in ``keep``.
 
     Unlabelled rows are dropped first, so group statistics see labelled rows only.
     """
     labelled = drop_unlabelled(create_label(canonicalize(raw)))
-    return feature_matrix(
-        labelled, as_of, blocks, keep=("finding_id", "label", "published_date"), leave_one_out=leave_one_out
-    )
+    kept = dict.fromkeys(["finding_id", "label", "published_date", *keep])
+    return feature_matrix(labelled, as_of, blocks, keep=list(kept), leave_one_out=leave_one_out)
+
+
+def mark_validation(matrix: DataFrame, share: float = 0.1, seed: int = DEFAULTS["seed"]) -> DataFrame:
+    """Add the boolean ``validation``, true for about a share of the rows, chosen by a hash of their id."""
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("finding_id")), F.lit(1_000_000)) / 1_000_000
+    return matrix.withColumn("validation", chance < share)
 
 
 def train(
@@ -73,9 +83,9 @@ def model_features(model: PipelineModel) -> list[str]:
 
 
 def predict(model: PipelineModel, matrix: DataFrame, keep: Sequence[str] = ("finding_id",)) -> DataFrame:
-    """Kept columns plus ``ml_score``, the probability of the positive class."""
+    """Kept columns (features among them if named) plus ``ml_score``, the probability of the positive class."""
     names = model_features(model)
-    aligned = align_features(matrix, names, keep=keep)
+    aligned = align_features(matrix, names, keep=[name for name in keep if name not in names])
     return model.transform(aligned).select(*keep, vector_to_array("probability")[1].alias("ml_score"))
 
 

@@ -7,24 +7,22 @@ from functools import reduce
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findrisk.operators import contributions, embeddings, splits, training
+from findrisk.batch import SCORE_INPUTS, evaluate_model, score_findings, train_model
+from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.assembly import FEATURE_NAMES
 from findrisk.operators.prompts import pattern_prompt
-from findrisk.operators.scoring import hybrid_score
+from findrisk.operators.scoring import by_risk, hybrid_score, ranked_table
 from findrisk.plans.feature_queries import _LABEL_SQL
-from findrisk.plans.findings import AS_OF, canonical, findings, on, score_canonical
+from findrisk.plans.findings import AS_OF, findings, on
 from findrisk.plans.registry import query, settle_sql, settled
-from findrisk.storage import stage
 
 # Enough rounds to show a working model; the library default is 500.
 ROUNDS = 10
 
 
-def trained(spark: SparkSession, sf_dir: str):
+def trained(spark: SparkSession, sf_dir: str, keep=()):
     """Model fitted on the oldest 80 percent of labelled findings, and the whole split matrix."""
-    matrix = training.prepare_training(findings(spark, sf_dir), AS_OF)
-    split = stage(splits.time_split(stage(matrix, "matrix")), "split-matrix")
-    return training.train(split.filter("split = 'train'"), FEATURE_NAMES, rounds=ROUNDS), split
+    return train_model(findings(spark, sf_dir), AS_OF, keep=keep, rounds=ROUNDS)
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +33,22 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("train_predict")
 def train_predict_query(spark, sf_dir):
     """Probability, blended score and tier of every labelled finding from a freshly trained model."""
-    model, split = trained(spark, sf_dir)
-    scores = training.predict(model, split, keep=("finding_id", "label", "split"))
-    table = score_canonical(canonical(spark, sf_dir).withColumn("model_score", F.lit(0.0))).drop("ml_score", "risk_score", "tier")
-    blended = hybrid_score(
-        table.join(scores, "finding_id").select(*table.columns, "ml_score", "label", "split"), ml_score="ml_score"
-    )
-    return blended.select("finding_id", "label", "split", "ml_score", "risk_score", "tier")
+    model, split = trained(spark, sf_dir, keep=("repo_criticality",))
+    scores = training.predict(model, split, keep=("finding_id", "label", "split", *SCORE_INPUTS))
+    return hybrid_score(scores).select("finding_id", "label", "split", "ml_score", "risk_score", "tier")
+
+
+@query("train_evaluate")
+def train_evaluate_query(spark, sf_dir):
+    """Quality of that model on the newest labelled findings."""
+    return evaluate_model(*trained(spark, sf_dir))
+
+
+@query("train_score_findings")
+def train_score_findings_query(spark, sf_dir):
+    """Every finding, labelled or not, scored by a model trained on a random split and ranked."""
+    model, _ = train_model(findings(spark, sf_dir), AS_OF, split="random", validation_share=0.1, rounds=ROUNDS)
+    return by_risk(ranked_table(score_findings(findings(spark, sf_dir), model, AS_OF)))
 
 
 @query("tree_contributions")

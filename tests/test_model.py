@@ -6,8 +6,9 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from findrisk.batch import evaluate_model, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
-from findrisk.operators.scoring import hybrid_score
+from findrisk.operators.scoring import ranked_table, top_findings
 from findrisk.plans.findings import AS_OF
 from findrisk.sources.synthetic import generate_findings
 from findrisk.storage import stage
@@ -101,16 +102,28 @@ def test_validation_rows_stop_early(matrix):
     assert len(model.stages[-1].treeWeights) < 60
 
 
-def test_synthetic_findings_train_and_score(spark):
-    raw = stage(generate_findings(spark, 600))
-    matrix = stage(training.prepare_training(raw, AS_OF))
-    names = [name for name in matrix.columns if name not in ("finding_id", "label", "published_date")]
-    assert len(names) == 129
-    model = training.train(matrix, names, rounds=2, max_depth=3)
-    scores = training.predict(model, matrix)
-    assert scores.filter("ml_score between 0 and 1").count() == 600
-    blended = hybrid_score(raw.join(scores, "finding_id"))
-    assert blended.filter("risk_score between 0 and 1 and tier is not null").count() == 600
+def test_train_save_load_and_score_end_to_end(spark, tmp_path):
+    raw = generate_findings(spark, 600).drop("finding_id")
+    model, parted = train_model(raw, AS_OF, rounds=2, max_depth=3, validation_share=0.2)
+    assert len(training.model_features(model)) == 129
+    assert {r.split: r["count"] for r in parted.groupBy("split").count().collect()} == {"train": 480, "test": 120}
+    quality = evaluate_model(model, parted).first()
+    assert quality.total_samples == 120 and 0 <= quality.auc <= 1
+    training.save_model(model, str(tmp_path / "model"))
+    scored = stage(score_findings(raw, training.load_model(str(tmp_path / "model")), AS_OF))
+    assert scored.filter("risk_score between 0 and 1 and tier is not null").count() == 600
+    assert scored.select("finding_id").distinct().count() == 600
+    rows = top_findings(ranked_table(scored), 600).collect()
+    assert [r.risk_score for r in rows] == sorted((r.risk_score for r in rows), reverse=True)
+    assert {"cve_id", "release", "has_patch", "tier"} <= set(ranked_table(scored).columns)
+
+
+def test_random_split_is_the_other_choice(spark):
+    raw = generate_findings(spark, 300)
+    _, parted = train_model(raw, AS_OF, split="random", blocks=("cve_core", "time"), rounds=1, max_depth=2)
+    assert parted.filter("split = 'test'").count() == pytest.approx(60, abs=2)
+    with pytest.raises(ValueError):
+        train_model(raw, AS_OF, split="odd", blocks=("time",))
 
 
 def test_reduced_vectors_keep_the_variance(spark):

@@ -9,7 +9,7 @@ from findrisk.plans.catalog import CHECKS, QUERIES
 
 PYTHON = {"tree_contributions", "global_importance", "top_factors", "explanation_text", "pattern_prompt"}
 CHECKED = {"tree_contributions_check", "text_embed_energy"}
-MODEL = PYTHON | CHECKED | {"train_predict", "text_embed_pca"}
+MODEL = PYTHON | CHECKED | {"train_predict", "train_evaluate", "train_score_findings", "text_embed_pca"}
 
 
 def plan_of(df):
