@@ -1,4 +1,4 @@
-"""The three batch jobs end to end: train a model, judge it, score findings with it."""
+"""The batch jobs end to end: train a model, judge it, score findings with it, explain the riskiest."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from datetime import datetime
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from findrisk.operators import evaluation, splits, training
+from findrisk.operators import contributions, evaluation, splits, training
 from findrisk.operators.assembly import BLOCKS, feature_matrix, feature_names
 from findrisk.operators.canonical import add_finding_id, canonicalize
-from findrisk.operators.scoring import EXPOSURE_WEIGHTS, RANKED_COLUMNS, WEIGHTS, hybrid_score
+from findrisk.operators.scoring import (
+    EXPOSURE_WEIGHTS, RANKED_COLUMNS, WEIGHTS, by_risk, hybrid_score, ranked_table, top_findings,
+)
 from findrisk.storage import stage
 
 # Columns the score and the ranked table read beside the model probability.
@@ -72,8 +74,40 @@ def score_findings(
     The columns the score and its readers need travel through the feature matrix,
     so the probabilities need not be joined back to the findings.
     """
+    matrix = _carrying_matrix(raw, as_of, blocks)
+    return _score_matrix(matrix, model, weights)
+
+
+def _carrying_matrix(raw: DataFrame, as_of: str | datetime, blocks: Sequence[str]) -> DataFrame:
+    """Feature matrix that also holds what the score and the ranked table read."""
     table = canonicalize(add_finding_id(raw))
     carried = [name for name in dict.fromkeys([*RANKED_COLUMNS, *SCORE_INPUTS]) if name in table.columns]
-    matrix = feature_matrix(table, as_of, blocks, keep=carried)
-    present = [name for name in dict.fromkeys([*carried, *SCORE_INPUTS]) if name in matrix.columns]
+    return feature_matrix(table, as_of, blocks, keep=carried)
+
+
+def _score_matrix(matrix: DataFrame, model: PipelineModel, weights: Mapping[str, float]) -> DataFrame:
+    present = [name for name in dict.fromkeys([*RANKED_COLUMNS, *SCORE_INPUTS]) if name in matrix.columns]
     return hybrid_score(training.predict(model, matrix, keep=present), weights=weights)
+
+
+def explain_top(
+    raw: DataFrame,
+    model: PipelineModel,
+    as_of: str | datetime,
+    *,
+    n: int = 10,
+    factors: int = 5,
+    blocks: Sequence[str] = BLOCKS,
+    weights: Mapping[str, float] = WEIGHTS,
+) -> DataFrame:
+    """The ``n`` riskiest findings with their largest factors and the explanation text.
+
+    Contributions are worked out for those rows only.
+    """
+    matrix = stage(_carrying_matrix(raw, as_of, blocks), "matrix")
+    top = stage(top_findings(ranked_table(_score_matrix(matrix, model, weights)), n), "top")
+    chosen = matrix.join(F.broadcast(top.select("finding_id")), "finding_id", "left_semi")
+    explained = contributions.contributions(model, training.feature_vectors(model, chosen))
+    largest = contributions.top_factors(explained, training.model_features(model), factors)
+    told = contributions.explanation_text(largest, keep=("factors",))
+    return by_risk(top.join(told, "finding_id"))

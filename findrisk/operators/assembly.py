@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from findrisk.operators import features, profiles
+from findrisk.operators.embeddings import VECTOR_NAMES, reduce_vectors
 
 BLOCK_NAMES = {
     "cve_core": features.CVE_CORE_NAMES,
@@ -21,9 +22,15 @@ BLOCK_NAMES = {
 BLOCKS = tuple(BLOCK_NAMES)
 
 
-def feature_names(blocks: Sequence[str] = BLOCKS) -> list[str]:
-    """Feature columns of the given blocks in matrix order."""
-    return [name for block in BLOCKS if block in blocks for name in BLOCK_NAMES[block]]
+def feature_names(blocks: Sequence[str] = BLOCKS, vectors: bool = False) -> list[str]:
+    """Feature columns of the given blocks in matrix order; reduced vectors belong to the text block."""
+    names = []
+    for block in BLOCKS:
+        if block in blocks:
+            names += BLOCK_NAMES[block]
+            if block == "text" and vectors:
+                names += VECTOR_NAMES
+    return names
 
 
 FEATURE_NAMES = tuple(feature_names())
@@ -46,20 +53,27 @@ def feature_matrix(
     keep: Sequence[str] = ("finding_id",),
     row_id: str = "finding_id",
     leave_one_out: bool = False,
+    vectors: str | None = None,
 ) -> DataFrame:
     """Kept columns plus all features of the active blocks.
 
+    ``vectors`` names a column with text vectors; its reduced form then adds 100
+    columns to the text block.
+
     Row-local features come first: long texts are thereby reduced to a few
     numbers before the grouped blocks stage the rows and attach their statistics.
     """
     grouped = [name for block, name in (("dependency", "package"), ("repo", "repo"), ("user", "user")) if block in blocks]
     row_blocks = [block for block in features.ROW_BLOCKS if block in blocks]
-    names = feature_names(blocks)
-    carried = [*keep, row_id, *(profiles.SOURCE_COLUMNS if grouped else ())]
+    use_vectors = vectors is not None and "text" in blocks
+    names = feature_names(blocks, use_vectors)
+    carried = [*keep, row_id, *([vectors] if use_vectors else ()), *(profiles.SOURCE_COLUMNS if grouped else ())]
     present = [name for name in dict.fromkeys(carried) if name in canonical.columns]
     wide = features.row_features(canonical, as_of, row_blocks, keep=present)
     if grouped:
         wide = profiles.grouped_features(wide, grouped, keep=wide.columns, row_id=row_id, leave_one_out=leave_one_out)
+    if use_vectors:
+        wide = reduce_vectors(wide, vectors, keep=[name for name in wide.columns if name != vectors])
     types = {f.name: f.dataType for f in wide.schema.fields}
     kept = [name for name in keep if name not in names]
     return wide.select(*kept, *[_clean(name, types[name]) for name in names])

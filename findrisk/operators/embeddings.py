@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 COMPONENTS = 100
+VECTOR_NAMES = tuple(f"text_embed_{i}" for i in range(COMPONENTS))
 
 
-def reduce_vectors(df: DataFrame, column: str, *, keep: tuple[str, ...], components: int = COMPONENTS) -> DataFrame:
+def reduce_vectors(df: DataFrame, column: str, *, keep: Sequence[str], components: int = COMPONENTS) -> DataFrame:
     """Kept columns plus ``text_embed_0`` ... of the centred vectors.
 
     There are min(components, rows, dimensions) real components; the other

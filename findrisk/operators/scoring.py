@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from findrisk.functions.numbers import clip, flag, number, round4, round4_half_up
+from findrisk.functions.text import strip
 from findrisk.operators.canonical import field
 
 # Weights of the blend, tier bounds, overrides and fallbacks.
@@ -148,7 +149,7 @@ def validate_requests(df: DataFrame) -> DataFrame:
         broken = F.coalesce(bad, F.lit(required))
         return F.when(broken, f"{name} must be between 0 and {high}")
 
-    blank_id = F.when(F.trim(F.coalesce(F.col("cve_id"), F.lit(""))) == "", "cve_id is required")
+    blank_id = F.when(strip(F.coalesce(F.col("cve_id"), F.lit(""))) == "", "cve_id is required")
     reasons = F.concat_ws(
         "; ",
         blank_id,

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findrisk.functions import cvss, cwe
 from findrisk.operators import features, profiles
 from findrisk.operators.assembly import FEATURE_NAMES, align_features, feature_matrix
 from findrisk.operators.canonical import CANONICAL_COLUMNS, create_label, drop_unlabelled
-from findrisk.plans.findings import AS_OF, FLAG_SQL, canonical, findings, on, parts_sql
+from findrisk.operators.embeddings import VECTOR_NAMES
+from findrisk.operators.training import prepare_training
+from findrisk.plans.findings import AS_OF, FINDING_COLUMNS, FLAG_SQL, canonical, findings, on, parts_sql
 from findrisk.plans.registry import query, settle_sql, settled
 from findrisk.sources.columns import normalize_columns
 from findrisk.sources.profile import dataset_profile
@@ -146,8 +151,6 @@ _METRIC_WORDS = {
     "cvss_integrity": "case l_suppkey % 3 when 0 then 'None' when 1 then 'Low' else 'High' end",
     "cvss_availability": "case l_linenumber % 4 when 0 then 'None' when 1 then 'Low' else 'High' end",
 }
-from findrisk.plans.findings import FINDING_COLUMNS  # noqa: E402
-
 _ID = FINDING_COLUMNS["finding_id"]
 _METRIC_SQL = "WITH words AS (SELECT {} AS finding_id, {} FROM lineitem) SELECT finding_id, {} FROM words".format(
     _ID,
@@ -384,6 +387,39 @@ def feature_matrix_query(spark, sf_dir):
     return settled(feature_matrix(canonical(spark, sf_dir), AS_OF))
 
 
+_LABELLED_SQL = f"labelled_rows AS (SELECT *, {_LABEL_SQL} AS label FROM segmented WHERE {_LABEL_SQL} IS NOT NULL)"
+
+
+@query(
+    "training_matrix",
+    on("segmented", f"""{_LABELLED_SQL}, {MATRIX_TABLES_SQL.replace('FROM segmented', 'FROM labelled_rows')}
+SELECT finding_id, label, {_MATRIX_LIST} FROM matrix JOIN (SELECT finding_id, label FROM labelled_rows) USING (finding_id)"""),
+)
+def training_matrix_query(spark, sf_dir):
+    """Features of labelled findings: group statistics see no other rows."""
+    return settled(prepare_training(findings(spark, sf_dir), AS_OF).drop("published_date"))
+
+
+@query(
+    "feature_matrix_vectors",
+    on("segmented", f"""vector_of AS (SELECT finding_id, CAST(substr(cve_id, 10) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id, length(cve_description) AS description_length FROM segmented),
+weights AS (SELECT vec_id, count(*) AS n FROM vector_of GROUP BY vec_id),
+cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT i, sum(n * x) / sum(n) AS m FROM cells JOIN weights USING (vec_id) GROUP BY i),
+energies AS (SELECT vec_id, {settle_sql('sum((x - m) * (x - m))')} AS energy FROM cells JOIN means USING (i) GROUP BY vec_id)
+SELECT finding_id, description_length, energy, 229 AS features FROM vector_of JOIN energies USING (vec_id)"""),
+)
+def feature_matrix_vectors_query(spark, sf_dir):
+    """The matrix with reduced text vectors, shown by their squared length."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    table = canonical(spark, sf_dir).withColumn("vec_id", F.substring("cve_id", 10, 20).cast("bigint") % vectors.count())
+    matrix = feature_matrix(table.join(vectors.select("vec_id", "embedding"), "vec_id"), AS_OF, vectors="embedding")
+    energy = reduce(add, [F.col(name) * F.col(name) for name in VECTOR_NAMES])
+    return settled(
+        matrix.select("finding_id", "description_length", energy.alias("energy"), F.lit(len(matrix.columns) - 1).alias("features"))
+    )
+
+
 # A model that was trained on some known and one unknown column, in its own order.
 CONTRACT = ("is_exploit_known", "feature_from_the_past", "version_gap_major", "attack_vector_network", "description_length")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findrisk.batch import SCORE_INPUTS, evaluate_model, score_findings, train_model
+from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.assembly import FEATURE_NAMES
 from findrisk.operators.prompts import pattern_prompt
@@ -51,6 +51,13 @@ def train_score_findings_query(spark, sf_dir):
     return by_risk(ranked_table(score_findings(findings(spark, sf_dir), model, AS_OF)))
 
 
+@query("explain_top_findings")
+def explain_top_findings_query(spark, sf_dir):
+    """The riskiest of all findings with their largest factors in words."""
+    model, _ = trained(spark, sf_dir)
+    return explain_top(findings(spark, sf_dir), model, AS_OF).drop("factors")
+
+
 @query("tree_contributions")
 def tree_contributions_query(spark, sf_dir):
     """Base, margin, size and sum of the contributions of every test finding."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from findrisk.batch import evaluate_model, score_findings, train_model
+from findrisk.batch import evaluate_model, explain_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.scoring import ranked_table, top_findings
 from findrisk.plans.findings import AS_OF
@@ -116,6 +116,9 @@ def test_train_save_load_and_score_end_to_end(spark, tmp_path):
     rows = top_findings(ranked_table(scored), 600).collect()
     assert [r.risk_score for r in rows] == sorted((r.risk_score for r in rows), reverse=True)
     assert {"cve_id", "release", "has_patch", "tier"} <= set(ranked_table(scored).columns)
+    told = explain_top(raw, model, AS_OF, n=4, factors=2).collect()
+    assert [r.risk_score for r in told] == [r.risk_score for r in rows[:4]]
+    assert all(len(r.factors) == 2 and r.explanation.count("\n") == 2 for r in told)
 
 
 def test_random_split_is_the_other_choice(spark):

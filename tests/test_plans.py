@@ -7,8 +7,8 @@ from conftest import SMALL
 
 from findrisk.plans.catalog import CHECKS, QUERIES
 
-PYTHON = {"tree_contributions", "global_importance", "top_factors", "explanation_text", "pattern_prompt"}
-CHECKED = {"tree_contributions_check", "text_embed_energy"}
+PYTHON = {"explain_top_findings", "tree_contributions", "global_importance", "top_factors", "explanation_text", "pattern_prompt"}
+CHECKED = {"tree_contributions_check", "text_embed_energy", "feature_matrix_vectors"}
 MODEL = PYTHON | CHECKED | {"train_predict", "train_evaluate", "train_score_findings", "text_embed_pca"}
 
 
