@@ -28,8 +28,9 @@ def normal_vector(column: Column) -> Column:
     Every segment then reads ``/KEY:VALUE/``, so a flag is a substring test. A
     version prefix is just one more segment that matches nothing.
     """
-    joined = F.regexp_replace(F.upper(strip(F.coalesce(column, F.lit("")))), r"\s*([/:])\s*", "$1")
-    return F.concat(F.lit("/"), joined, F.lit("/"))
+    text = F.upper(strip(F.coalesce(column, F.lit(""))))
+    tidy = F.when(text.rlike(r"\s"), F.regexp_replace(text, r"\s*([/:])\s*", "$1")).otherwise(text)
+    return F.concat(F.lit("/"), tidy, F.lit("/"))
 
 
 def vector_flags(normal: Column) -> dict[str, Column]:

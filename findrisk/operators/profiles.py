@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from findrisk.functions.numbers import flag, number, ratio, whole
+from findrisk.functions.numbers import number, ratio
 from findrisk.functions.text import lower_strip
 from findrisk.operators.canonical import field
 from findrisk.operators.lookup import attach
@@ -216,16 +216,16 @@ def grouped_features(
     keys = [key for key, names in needs.items() if names]
     inputs = [*keys, *[name for block in blocks for name in BLOCK_INPUTS[block]]]
     keyed = stage(_keyed(canonical).select(*dict.fromkeys([*keep, row_id, *inputs])), "keyed")
-    whole: dict = {}
+    overall: dict = {}
     if "repo" in blocks or "user" in blocks:
         totals = {"actions": F.countDistinct("_action")}
         if "repo" in blocks:
             totals["newest"] = F.max("published_date")
             totals["named"] = F.coalesce(F.max((F.col("_repo") != "").cast("int")), F.lit(0))
-        whole = keyed.agg(*[column.alias(name) for name, column in totals.items()]).first().asDict()
+        overall = keyed.agg(*[column.alias(name) for name, column in totals.items()]).first().asDict()
     makers = {
         "_package": package_profile,
-        "_repo": (lambda table: repo_profile(table, whole["newest"])) if "repo" in blocks else repo_history,
+        "_repo": (lambda table: repo_profile(table, overall["newest"])) if "repo" in blocks else repo_history,
         "_cwe": cwe_profile,
         "_severity": severity_profile,
     }
@@ -240,8 +240,8 @@ def grouped_features(
         features.update({name: F.coalesce(F.col(name), F.lit(0)) for name in PACKAGE_NAMES})
     if "repo" in blocks:
         # Without a single named repo the whole block says nothing.
-        features.update({name: F.col(name) if whole["named"] else F.lit(0) for name in REPO_NAMES})
+        features.update({name: F.col(name) if overall["named"] else F.lit(0) for name in REPO_NAMES})
     if "user" in blocks:
-        features.update(history_expressions(whole["actions"], leave_one_out))
+        features.update(history_expressions(overall["actions"], leave_one_out))
     kept = [F.col(name) for name in keep if name not in features]
     return facts.select(*kept, *[column.alias(name) for name, column in features.items()])

@@ -131,6 +131,28 @@ def table_page_query(spark, sf_dir):
     return page.select(*RANKED_COLUMNS, F.col("_counts.total").alias("total"), F.col("_counts.total_pages").alias("total_pages"))
 
 
+@query(
+    "table_page_after",
+    on("ranked", f"""SELECT {_COLUMNS} FROM ranked WHERE risk_score < 0.5 OR (risk_score = 0.5 AND finding_id > '5')
+ORDER BY risk_score DESC, finding_id LIMIT 25"""),
+)
+def table_page_after_query(spark, sf_dir):
+    """The page that follows a known row, however deep it lies."""
+    return dashboard.page_after(ranked(spark, sf_dir), 0.5, "5")
+
+
+@query(
+    "table_search_literal",
+    on("ranked", f"SELECT {_COLUMNS} FROM ranked WHERE contains(lower(concat_ws(chr(10), cve_id, package_name, repo)), '-10.1')"
+       " OR contains(lower(concat_ws(chr(10), cve_id, package_name, repo)), 'cve-2021-1000')"),
+)
+def table_search_literal_query(spark, sf_dir):
+    """Plain-text search: a dot is a dot. Two searches, stacked."""
+    table = ranked(spark, sf_dir)
+    dotted = dashboard.table_filter(table, search="-10.1", literal=True)
+    return dotted.unionByName(dashboard.table_filter(table, search="cve-2021-1000", literal=True))
+
+
 _CVE = "CVE-2020-10001"
 
 

@@ -22,6 +22,32 @@ def release_pairs_query(spark, sf_dir):
     return releases.release_pairs(ranked(spark, sf_dir))
 
 
+@query(
+    "release_pairs_named",
+    on("ranked", """per_release AS (SELECT DISTINCT repo, release FROM ranked),
+placed AS (SELECT *, lag(release) OVER (PARTITION BY repo ORDER BY release) AS before, count(*) OVER (PARTITION BY repo) AS n_releases FROM per_release)
+SELECT repo, release AS current_release, coalesce(before, release) AS previous_release, n_releases FROM placed WHERE release = 'v3.0.0' AND n_releases >= 2"""),
+)
+def release_pairs_named_query(spark, sf_dir):
+    """A named release against the one before it."""
+    return releases.release_pairs(ranked(spark, sf_dir), current="v3.0.0")
+
+
+# Release numbers that text order and number order see differently.
+_LONG_RELEASE = "case when release in ('v1.0.0', 'v2.0.0') then concat(substr(release, 1, 2), '0.0.0') else release end"
+
+
+@query(
+    "release_pairs_version",
+    on("ranked", f"""per_release AS (SELECT DISTINCT repo, {_LONG_RELEASE} AS release FROM ranked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CAST(split_part(substr(release, 2), '.', 1) AS INTEGER) DESC) AS k, count(*) OVER (PARTITION BY repo) AS n_releases FROM per_release)
+SELECT a.repo, a.release AS current_release, b.release AS previous_release, a.n_releases FROM placed a JOIN placed b ON a.repo = b.repo AND a.k = 1 AND b.k = 2"""),
+)
+def release_pairs_version_query(spark, sf_dir):
+    """Pairs by version number instead of text."""
+    return releases.release_pairs(ranked(spark, sf_dir).withColumn("release", F.expr(_LONG_RELEASE)), order="version")
+
+
 # Some repos lose their releases and some keep one, so that each reason occurs.
 _THINNED = "case when repo like '%3' then null when repo like '%7' then 'v1.0.0' else release end"
 
@@ -121,9 +147,8 @@ def resolved_cwes_query(spark, sf_dir):
     return releases.resolved_cwes(ranked(spark, sf_dir).withColumn("primary_cwe", F.expr(_FINE_CWE)))
 
 
-@query(
-    "release_delta",
-    on("ranked", f"""{_SIDES_SQL}, {_STATS_SQL},
+def _delta_sql(sides: str) -> str:
+    return on("ranked", f"""{sides}, {_STATS_SQL},
 came AS (SELECT repo, count(*) AS n FROM (SELECT repo, cve_id FROM cur EXCEPT SELECT repo, cve_id FROM prev) GROUP BY repo),
 went AS (SELECT repo, count(*) AS n FROM (SELECT repo, cve_id FROM prev EXCEPT SELECT repo, cve_id FROM cur) GROUP BY repo)
 SELECT p.repo, current_release, previous_release, c.total_vulns - v.total_vulns AS vuln_count_change,
@@ -132,7 +157,19 @@ SELECT p.repo, current_release, previous_release, c.total_vulns - v.total_vulns
   c.high_count - v.high_count AS high_change, {settle_sql("c.patch_rate - v.patch_rate")} AS patch_rate_change,
   coalesce(came.n, 0) AS new_cve_count, coalesce(went.n, 0) AS resolved_cve_count
 FROM pairs p JOIN stats c ON c.repo = p.repo AND c.release = current_release JOIN stats v ON v.repo = p.repo AND v.release = previous_release
-LEFT JOIN came ON came.repo = p.repo LEFT JOIN went ON went.repo = p.repo"""),
-)
+LEFT JOIN came ON came.repo = p.repo LEFT JOIN went ON went.repo = p.repo""")
+
+
+@query("release_delta", _delta_sql(_SIDES_SQL))
 def release_delta_query(spark, sf_dir):
     return settled(releases.release_delta(ranked(spark, sf_dir)))
+
+
+_NAMED_SQL = _SIDES_SQL.replace("a.k = 1 AND b.k = 2", "a.release = 'v5.0.0' AND b.release = 'v2.0.0'")
+
+
+@query("release_delta_named", _delta_sql(_NAMED_SQL))
+def release_delta_named_query(spark, sf_dir):
+    """Any two releases by name."""
+    table = ranked(spark, sf_dir)
+    return settled(releases.release_delta(table, releases.release_pairs(table, current="v5.0.0", previous="v2.0.0")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findrisk.operators import scoring
-from findrisk.plans.findings import canonical, findings, on, round4_sql, score_canonical, scored
+from findrisk.plans.findings import findings, on, scored
 from findrisk.plans.registry import query, settle_sql, settled
 
 _PARTS = ("ml_score", "normalized_cvss", "normalized_epss", "exposure_score", "repo_criticality")
@@ -24,6 +24,22 @@ def hybrid_score_query(spark, sf_dir):
     return settled(scored(spark, sf_dir).select("finding_id", *_PARTS, "risk_score", "tier"))
 
 
+_ML_ONLY = {"ml": 0.7, "cvss": 0.3, "epss": 0.0, "exposure": 0.0, "repo_criticality": 0.0}
+
+
+@query(
+    "hybrid_score_weights",
+    on("scored", f"""raw AS (SELECT finding_id, is_withdrawn, cvss_score, exposure_score, 0.7::DOUBLE * ml_score + 0.3::DOUBLE * normalized_cvss AS raw FROM scored),
+done AS (SELECT finding_id, least(greatest(CASE WHEN cvss_score >= 9 AND exposure_score > 0.5 THEN greatest(CASE WHEN is_withdrawn = 1 THEN least(raw, 0.1::DOUBLE) ELSE raw END, 0.85::DOUBLE)
+  WHEN is_withdrawn = 1 THEN least(raw, 0.1::DOUBLE) ELSE raw END, 0), 1) AS score FROM raw)
+SELECT finding_id, {settle_sql('score')} AS risk_score, CASE WHEN score > 0.8::DOUBLE THEN 'CRITICAL' WHEN score > 0.6::DOUBLE THEN 'HIGH' WHEN score > 0.4::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM done"""),
+)
+def hybrid_score_weights_query(spark, sf_dir):
+    """The blend with weights of the caller's choice."""
+    table = scored(spark, sf_dir).drop("risk_score", "tier")
+    return settled(scoring.hybrid_score(table, weights=_ML_ONLY).select("finding_id", "risk_score", "tier"))
+
+
 _TERMS = {"ml": (0.45, "ml_score"), "cvss": (0.2, "normalized_cvss"), "epss": (0.15, "normalized_epss"), "exposure": (0.1, "exposure_score"), "repo_criticality": (0.1, "repo_criticality")}
 
 
