@@ -71,8 +71,8 @@ def risk_histogram(ranked: DataFrame, *, float_bounds: bool = False) -> DataFram
 
 
 def top_repos(ranked: DataFrame, n: int = 10) -> DataFrame:
-    """Repos by mean risk."""
-    stats = ranked.groupBy("repo").agg(
+    """Repos by mean risk; rows without a repo belong to none."""
+    stats = ranked.filter("repo is not null").groupBy("repo").agg(
         mean4(F.col("risk_score")).alias("avg_risk"),
         F.max("risk_score").alias("max_risk"),
         F.count("cve_id").alias("total_vulns"),
@@ -83,7 +83,7 @@ def top_repos(ranked: DataFrame, n: int = 10) -> DataFrame:
 
 def top_packages(ranked: DataFrame, n: int = 10) -> DataFrame:
     """Packages by number of findings."""
-    stats = ranked.groupBy("package_name").agg(
+    stats = ranked.filter("package_name is not null").groupBy("package_name").agg(
         F.count("cve_id").alias("total_vulns"),
         mean4(F.col("risk_score")).alias("avg_risk"),
         _critical().alias("critical_count"),
@@ -177,7 +177,7 @@ def finding_detail(ranked: DataFrame, cve_id: str, importance: DataFrame | None
 
 def repo_stats(ranked: DataFrame) -> DataFrame:
     """Statistics of every repo; the 30-day count is the plain count, as no window is applied."""
-    return ranked.groupBy("repo").agg(
+    return ranked.filter("repo is not null").groupBy("repo").agg(
         F.count(F.lit(1)).alias("repo_total_cves"),
         F.count(F.lit(1)).alias("repo_cve_count_30d"),
         _share(FIXED).alias("repo_fix_rate"),
@@ -201,7 +201,7 @@ def portfolio_totals(ranked: DataFrame) -> DataFrame:
 
 
 def portfolio_repos(ranked: DataFrame, n: int = 10) -> DataFrame:
-    stats = ranked.groupBy("repo").agg(
+    stats = ranked.filter("repo is not null").groupBy("repo").agg(
         mean4(F.col("risk_score")).alias("avg_risk"),
         F.count("cve_id").alias("cve_count"),
         _critical().alias("critical_count"),
@@ -219,7 +219,7 @@ def portfolio_cwes(ranked: DataFrame, n: int = 10) -> DataFrame:
 
 
 def portfolio_packages(ranked: DataFrame, n: int = 10) -> DataFrame:
-    stats = ranked.groupBy("package_name").agg(
+    stats = ranked.filter("package_name is not null").groupBy("package_name").agg(
         F.count("cve_id").alias("count"), mean4(F.col("risk_score")).alias("avg_risk")
     )
     return stats.orderBy(F.desc("count"), "package_name").limit(n).withColumnRenamed("package_name", "package")
@@ -255,7 +255,7 @@ def repo_catalogue(ranked: DataFrame) -> DataFrame:
     One aggregate over (repo, release); the totals are summed from its few rows
     per repo. A repo without releases keeps one row with a null release.
     """
-    per_release = ranked.groupBy("repo", "release").agg(
+    per_release = ranked.filter("repo is not null").groupBy("repo", "release").agg(
         F.count(F.lit(1)).alias("n"), _critical().alias("critical"), sum4(F.col("risk_score")).alias("risk")
     )
     totals = per_release.groupBy("repo").agg(

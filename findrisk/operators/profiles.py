@@ -39,7 +39,10 @@ BLOCK_INPUTS = {
     "user": ("_action", "_fixed", "_skipped", "_fp"),
 }
 # Where each profile keeps the number of rows of a group.
-ROW_COUNT = {"_package": "package_name_frequency", "_repo": "repo_total_cves", "_cwe": "_n_same_cwe", "_severity": "_n_same_severity"}
+ROW_COUNT = {
+    "_package": "package_name_frequency", "_repo": "repo_total_cves",
+    "_cwe": "_n_same_cwe", "_severity": "_n_same_severity", "_home": "_n_same_repo",
+}
 
 PACKAGE_NAMES = ("package_name_frequency", "package_name_cve_density")
 REPO_NAMES = (
@@ -52,7 +55,7 @@ REPO_NAMES = (
     "repo_has_patch_rate", "repo_avg_transitive_deps", "repo_cve_velocity",
 )
 # Suffix of the history features and the key they group by.
-HISTORY_KEYS = {"same_cwe": "_cwe", "same_package": "_package", "same_severity": "_severity", "same_repo": "_repo"}
+HISTORY_KEYS = {"same_cwe": "_cwe", "same_package": "_package", "same_severity": "_severity", "same_repo": "_home"}
 HISTORY_NAMES = (
     *[f"historical_{kind}_rate_{suffix}" for suffix in HISTORY_KEYS for kind in ("fix", "skip", "fp")],
     "cwe_action_consistency", "package_action_consistency", "repo_action_diversity", "severity_action_alignment",
@@ -66,12 +69,14 @@ def _action(df: DataFrame) -> Column:
 def _keyed(df: DataFrame) -> DataFrame:
     """Add the group keys with their stand-ins for null, and the three action flags.
 
-    Rows without a repo form one group, "unknown", in the profile and the history.
+    Rows without a repo count as repo "unknown" in the repo block and as repo ""
+    in the history; the two keys are equal for all other rows.
     """
     action = _action(df)
     return df.withColumns(
         {
             "_repo": F.coalesce(field(df, "repo", "").cast("string"), F.lit("unknown")),
+            "_home": F.coalesce(field(df, "repo", "").cast("string"), F.lit("")),
             "_package": F.coalesce(field(df, "package_name", "").cast("string"), F.lit("")),
             "_cwe": F.coalesce(field(df, "primary_cwe", "").cast("string"), F.lit("")),
             "_severity": F.coalesce(F.upper(field(df, "severity", "UNKNOWN")), F.lit("")),
@@ -101,8 +106,11 @@ def package_profile(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("_package").agg(*measures)
 
 
-def repo_profile(keyed: DataFrame, newest: datetime | None) -> DataFrame:
-    """Measures of a repo in one aggregate; ``newest`` is the last publication anywhere."""
+def repo_profile(keyed: DataFrame, newest: datetime | None, history: bool) -> DataFrame:
+    """Measures of a repo, and on request its history, in one aggregate.
+
+    ``newest`` is the last publication anywhere.
+    """
     published = F.col("published_date")
     rows = F.count(F.lit(1))
     severity = F.col("_severity")
@@ -133,13 +141,13 @@ def repo_profile(keyed: DataFrame, newest: datetime | None) -> DataFrame:
         F.avg(number(F.col("has_patch"))).alias("repo_has_patch_rate"),
         F.avg(number(F.col("transitive_dep_count"))).alias("repo_avg_transitive_deps"),
         F.coalesce(rows / days, F.lit(0.0)).alias("repo_cve_velocity"),
-        *_repo_history(),
+        *(_repo_history() if history else []),
     )
 
 
-def repo_history(keyed: DataFrame) -> DataFrame:
+def home_profile(keyed: DataFrame) -> DataFrame:
     """Only the action history of a repo."""
-    return keyed.groupBy("_repo").agg(F.count(F.lit(1)).alias("repo_total_cves"), *_repo_history())
+    return keyed.groupBy("_home").agg(*_repo_history())
 
 
 def _repo_history() -> list[Column]:
@@ -203,18 +211,8 @@ def grouped_features(
     ``leave_one_out`` takes the row itself out of its action rates (not out of
     the deviations and the diversity); a row alone in its group then gets 0.
     """
-    needs: dict[str, list[str]] = {"_package": [], "_repo": [], "_cwe": [], "_severity": []}
-    if "package" in blocks:
-        needs["_package"] += PACKAGE_NAMES
-    if "repo" in blocks:
-        needs["_repo"] += REPO_NAMES
-    if "user" in blocks:
-        for suffix, key in HISTORY_KEYS.items():
-            needs[key] += [f"{column}_{suffix}" for column in ("_fixed", "_skipped", "_fp", "_n")]
-        needs["_repo"].append("_repo_actions")
-
-    keys = [key for key, names in needs.items() if names]
-    inputs = [*keys, *[name for block in blocks for name in BLOCK_INPUTS[block]]]
+    keys = {"package": ["_package"], "repo": ["_repo"], "user": list(HISTORY_KEYS.values())}
+    inputs = [name for block in blocks for name in (*keys[block], *BLOCK_INPUTS[block])]
     keyed = stage(_keyed(canonical).select(*dict.fromkeys([*keep, row_id, *inputs])), "keyed")
     overall: dict = {}
     if "repo" in blocks or "user" in blocks:
@@ -222,16 +220,33 @@ def grouped_features(
         if "repo" in blocks:
             totals["newest"] = F.max("published_date")
             totals["named"] = F.coalesce(F.max((F.col("_repo") != "").cast("int")), F.lit(0))
+        if "repo" in blocks and "user" in blocks:
+            totals["nameless"] = F.count_if(F.col("_repo") != F.col("_home"))
         overall = keyed.agg(*[column.alias(name) for name, column in totals.items()]).first().asDict()
+
+    # Where no row lacks a repo, one aggregate serves the repo block and the history.
+    fused = overall.get("nameless") == 0
+    needs: dict[str, list[str]] = {key: [] for block in blocks for key in keys[block]}
+    if "package" in blocks:
+        needs["_package"] += PACKAGE_NAMES
+    if "repo" in blocks:
+        needs["_repo"] += REPO_NAMES
+    if "user" in blocks:
+        for suffix, key in HISTORY_KEYS.items():
+            place = "_repo" if fused and key == "_home" else key
+            needs[place] += [f"{column}_{suffix}" for column in ("_fixed", "_skipped", "_fp", "_n")]
+        needs["_repo" if fused else "_home"].append("_repo_actions")
+    needs = {key: names for key, names in needs.items() if names}
     makers = {
         "_package": package_profile,
-        "_repo": (lambda table: repo_profile(table, overall["newest"])) if "repo" in blocks else repo_history,
+        "_repo": lambda table: repo_profile(table, overall["newest"], fused),
+        "_home": home_profile,
         "_cwe": cwe_profile,
         "_severity": severity_profile,
     }
     own = ["_fixed", "_skipped", "_fp"] if leave_one_out and "user" in blocks else []
-    facts = keyed.select(*dict.fromkeys([*keep, row_id, *own, *keys]))
-    for key in keys:
+    facts = keyed.select(*dict.fromkeys([*keep, row_id, *own, *needs]))
+    for key in needs:
         stats = makers[key](keyed).select(key, F.col(ROW_COUNT[key]).alias("_weight"), *needs[key])
         facts = attach(facts, stats, key, weight="_weight", spread_by=F.col(row_id))
 

@@ -39,7 +39,7 @@ def _release_order(order: str) -> list[Column]:
 
 def release_list(ranked: DataFrame, order: str = "text") -> DataFrame:
     """Distinct releases per repo with position from the end, the one before, and row count."""
-    counted = ranked.filter("release is not null").groupBy("repo", "release").agg(F.count(F.lit(1)).alias("n"))
+    counted = ranked.filter("repo is not null and release is not null").groupBy("repo", "release").agg(F.count(F.lit(1)).alias("n"))
     keys = _release_order(order)
     forward = Window.partitionBy("repo").orderBy(*keys)
     backward = Window.partitionBy("repo").orderBy(*[key.desc() for key in keys])
@@ -73,7 +73,7 @@ def release_pairs(ranked: DataFrame, *, current: str | None = None, previous: st
 
 def release_eligibility(ranked: DataFrame, *, current: str | None = None, previous: str | None = None) -> DataFrame:
     """Release count per repo and why it cannot be compared, null if it can."""
-    per_release = ranked.groupBy("repo", "release").agg(F.count(F.lit(1)).alias("n"))
+    per_release = ranked.filter("repo is not null").groupBy("repo", "release").agg(F.count(F.lit(1)).alias("n"))
     facts = per_release.groupBy("repo").agg(
         F.count("release").alias("n_releases"),
         *[F.max(F.col("release") == name).alias(alias) for alias, name in (("_c", current), ("_p", previous)) if name],

@@ -178,3 +178,13 @@ def test_alignment_adds_drops_and_reorders(small):
     table = align_features(features.row_features(small, AS_OF, ["time"]), ["unknown", "cve_age_days"])
     assert table.columns == ["finding_id", "unknown", "cve_age_days"]
     assert {row.unknown for row in table.collect()} == {0}
+
+
+def test_missing_repos_are_unknown_in_one_block_and_blank_in_the_other(spark):
+    rows = [("1", None, "fixed"), ("2", "unknown", "skipped"), ("3", "", "skipped"), ("4", "a", "fixed")]
+    table = canonicalize(spark.createDataFrame(rows, "finding_id string, repo string, user_action string"))
+    result = by_id(profiles.grouped_features(table, ["repo", "user"]))
+    assert [result[i].repo_total_cves for i in "1234"] == [2, 2, 1, 1]
+    assert [result[i].historical_fix_rate_same_repo for i in "1234"] == [0.5, 0.0, 0.5, 1.0]
+    alone = by_id(profiles.grouped_features(table, ["user"]))
+    assert all(alone[i].historical_fix_rate_same_repo == result[i].historical_fix_rate_same_repo for i in "1234")
