@@ -117,10 +117,11 @@ def table_filter(
     if severity:
         table = table.filter(F.col("severity") == severity.upper())
     if search:
-        pattern = rf"(?iu)\Q{search}\E" if literal else f"(?iu){search}"
         hit = F.lit(False)
         for name in ("cve_id", "package_name", "repo"):
-            hit = hit | F.coalesce(F.col(name).rlike(pattern), F.lit(False))
+            column = F.col(name)
+            found = F.lower(column).contains(search.lower()) if literal else column.rlike(f"(?iu){search}")
+            hit = hit | F.coalesce(found, F.lit(False))
         table = table.filter(hit)
     return table
 

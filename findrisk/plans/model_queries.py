@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.assembly import FEATURE_NAMES
-from findrisk.operators.prompts import pattern_prompt
-from findrisk.operators.scoring import by_risk, hybrid_score, ranked_table
+from findrisk.operators.prompts import PATTERN_TASK, pattern_prompt
+from findrisk.operators.scoring import PARTS, WEIGHTS, by_risk, hybrid_score, ranked_table, score_terms
 from findrisk.plans.feature_queries import _LABEL_SQL
-from findrisk.plans.findings import AS_OF, findings, on
+from findrisk.plans.findings import AS_OF, findings, on, scored
 from findrisk.plans.registry import query, settle_sql, settled
 
 # Enough rounds to show a working model; the library default is 500.
@@ -112,6 +112,55 @@ def pattern_prompt_query(spark, sf_dir):
     return pattern_prompt(contributions.global_importance(explained(spark, sf_dir), FEATURE_NAMES))
 
 
+# The same operators over contributions SQL can state: how far each term of the
+# score lies from the middle of its range.
+_TERMS = ("ml", "cvss", "epss", "exposure", "repo_criticality")
+_TERMS_SQL = "terms AS (SELECT * FROM (UNPIVOT (SELECT finding_id, {} FROM scored) ON {} INTO NAME name VALUE v))".format(
+    ", ".join(f"{WEIGHTS[name]}::DOUBLE * {PARTS[name]} - {WEIGHTS[name] / 2}::DOUBLE AS {name}" for name in _TERMS), ", ".join(_TERMS)
+)
+_BEST_SQL = f"{_TERMS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY abs(v) DESC, name) AS k FROM terms)"
+
+
+def term_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = score_terms()
+    values = [terms[name] - WEIGHTS[name] / 2 for name in _TERMS]
+    return scored(spark, sf_dir).select("finding_id", F.array(*values).alias("contributions"))
+
+
+@query("importance_of_terms", on("scored", f"{_TERMS_SQL} SELECT name AS feature, {settle_sql('avg(abs(v))')} AS importance FROM terms GROUP BY name"))
+def importance_of_terms_query(spark, sf_dir):
+    return settled(contributions.global_importance(term_contributions(spark, sf_dir), _TERMS))
+
+
+@query("factors_of_terms", on("scored", f"{_BEST_SQL} SELECT finding_id, CAST(k - 1 AS INTEGER) AS rank, name AS feature, {settle_sql('v')} AS contribution FROM best WHERE k <= 3"))
+def factors_of_terms_query(spark, sf_dir):
+    factors = contributions.top_factors(term_contributions(spark, sf_dir), _TERMS, 3)
+    return settled(
+        factors.select("finding_id", F.posexplode("factors").alias("rank", "factor")).select(
+            "finding_id", "rank", F.col("factor.name").alias("feature"), F.col("factor.value").alias("contribution")
+        )
+    )
+
+
+@query(
+    "explanation_of_terms",
+    on("scored", f"""{_BEST_SQL} SELECT finding_id, 'Risk Score Explanation:' || chr(10) || string_agg('  - ' || name ||
+  CASE WHEN v > 0 THEN ' increases risk by ' ELSE ' decreases risk by ' END || printf('%.4f', abs(v)), chr(10) ORDER BY k) AS explanation FROM best GROUP BY finding_id"""),
+)
+def explanation_of_terms_query(spark, sf_dir):
+    return contributions.explanation_text(contributions.top_factors(term_contributions(spark, sf_dir), _TERMS))
+
+
+@query(
+    "pattern_prompt_of_terms",
+    on("scored", f"""{_TERMS_SQL}, means AS (SELECT name, avg(abs(v)) AS m FROM terms GROUP BY name),
+placed AS (SELECT *, row_number() OVER (ORDER BY m DESC, name) AS k FROM means)
+SELECT concat_ws(chr(10), '# Feature importance', string_agg(k || '. ' || name || ': ' || printf('%.4f', m), chr(10) ORDER BY k), '# Task', '{PATTERN_TASK[0]}') AS prompt FROM placed"""),
+)
+def pattern_prompt_of_terms_query(spark, sf_dir):
+    return pattern_prompt(contributions.global_importance(term_contributions(spark, sf_dir), _TERMS))
+
+
 @query("text_embed_pca")
 def text_embed_pca_query(spark, sf_dir):
     return embeddings.reduce_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", keep=("vec_id",))
