@@ -42,3 +42,10 @@ def test_scans_read_only_what_a_query_needs(spark):
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
     assert set(QUERIES) - set(CHECKS) == MODEL - CHECKED | {"synthetic_findings"}
+
+
+@pytest.mark.parametrize("name", ["feature_matrix", "portfolio_context", "features_user_behavior"])
+def test_statistics_are_attached_without_shuffling_the_findings(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
