@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from llm import mixing, quality_rules, sharding, token_files  # noqa: F401
+from llm import mixing, near_dedup, quality_rules, sharding, token_files  # noqa: F401
 from llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
