@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from findrisk.storage import stage
 
-__all__ = ["read_table", "require", "row_key", "running_totals", "stage", "shuffle_width", "sql_identifier"]
+__all__ = ["join_rows", "read_table", "require", "row_key", "running_totals", "stage", "shuffle_width", "sql_identifier"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,21 @@ def row_key(df: DataFrame, id_col: str) -> DataFrame:
     return keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash")))
 
 
+def join_rows(keyed: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a table that has a row key with rows that carry such keys.
+
+    The copy number is compared after the match on id and hash, so that the
+    partitioning that numbered the copies serves the join too.
+    """
+    renamed = other.withColumnsRenamed({"__id": "__other_id", "__hash": "__other_hash", "__copy": "__other_copy"})
+    matched = (
+        (F.col("__id") == F.col("__other_id"))
+        & (F.col("__hash") == F.col("__other_hash"))
+        & (F.col("__copy") - F.col("__other_copy") == 0)
+    )
+    return keyed.join(renamed, matched, how)
+
+
 def running_totals(
     df: DataFrame, order: Sequence[str | Column], values: Sequence[str], group: Sequence[str] = ()
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from llm.frames import read_table, require, row_key, running_totals, sql_identifier, stage
+from llm.frames import join_rows, read_table, require, row_key, running_totals, sql_identifier, stage
 from llm.registry import register
 
 #: Weights of the sources in code-point order, repeating.
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counts = copies(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=key, **settings)
     taken = counts.filter("copies > 0").select(*key, "copies")
     return (
-        keyed.join(taken, key)
+        join_rows(keyed, taken)
         .withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(*[sql_identifier(name) for name in docs.columns])
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import wordkernel
-from llm.frames import read_table, require, row_key, shuffle_width, sql_identifier, stage
+from llm.frames import join_rows, read_table, require, row_key, shuffle_width, sql_identifier, stage
 from llm.registry import register
 
 #: Words per shingle and similarity (percent) of the pipeline and the general operator.
@@ -317,7 +317,7 @@ def near_dedup(
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), *key)).alias("first")
     kept = found.filter("group IS NOT NULL").groupBy("group").agg(first).select(*[f"first.{name}" for name in key])
     kept = kept.unionByName(found.filter("group IS NULL").select(*key))
-    return keyed.join(kept, list(key)).select(*[sql_identifier(name) for name in docs.columns])
+    return join_rows(keyed, kept).select(*[sql_identifier(name) for name in docs.columns])
 
 
 @register("op7_near_dedup")
