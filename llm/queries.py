@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from llm import decontamination, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, token_files  # noqa: F401
+from llm import decontamination, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, token_files  # noqa: F401
 from llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
