@@ -127,10 +127,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = row_key(docs, id_col)
     key = ["__id", "__hash", "__copy"]
     counts = copies(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=key, **settings)
-    taken = counts.filter("copies > 0").select(*key, "copies")
+    taken = counts.filter("copies > 0").select(*key, F.col("copies").alias("__copies"))
     return (
         join_rows(keyed, taken)
-        .withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
         .select(*[sql_identifier(name) for name in docs.columns])
     )
 

@@ -1,6 +1,17 @@
 """All queries of this subpackage."""
 
-from llm import decontamination, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, token_files  # noqa: F401
+from llm import (  # noqa: F401
+    decontamination,
+    license_scan,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    token_files,
+)
 from llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
