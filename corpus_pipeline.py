@@ -1,10 +1,62 @@
-"""The corpus pipeline: from raw documents to balanced shards of a training mix."""
+"""The corpus pipeline: from raw documents to balanced shards of a training mix.
+
+Each stage takes (spark, documents, folder of the tables) and works on all that
+the stage before it kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from llm.decontamination import decontaminate
+from llm.frames import read_table, stage
+from llm.mixing import mix
+from llm.near_dedup import near_dedup
+from llm.quality_rules import quality_filter
+from llm.sharding import shard
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy of the quality rules keeps."""
+    return quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item, word for word or with other values."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: none, once or twice."""
+    return mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's documents with shard and slot."""
+    return shard(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", sharding),
+]
+
+#: Near duplicates are a question of reachability, template windows need lookarounds: no SQL.
+#: tests/llm/test_pipeline.py compares the rows with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``, each written and read again before the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
