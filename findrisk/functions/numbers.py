@@ -21,6 +21,15 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+# The words that count as true.
+TRUE_WORDS = ("true", "yes", "1", "patched")
+
+
+def truth(text: Column) -> Column:
+    """1 for a text that is one of the words for true, in any case and with blanks around, else 0."""
+    return flag(F.lower(F.trim(text)).isin(*TRUE_WORDS))
+
+
 def clip(column: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(column, F.lit(float(low))), F.lit(float(high)))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from findrisk.functions.dates import to_utc
-from findrisk.functions.numbers import flag, number, whole
+from findrisk.functions.numbers import TRUE_WORDS, flag, number, whole
 from findrisk.functions.text import list_head, list_size, lower_strip, mentions, text_or_blank, upper_strip
 from findrisk.storage import stage
 
@@ -52,7 +52,7 @@ def _truth(column: Column, data_type: T.DataType) -> Column:
         return flag(column)
     if isinstance(data_type, T.NumericType):
         return flag(column != 0)
-    return flag(lower_strip(column.cast("string")).isin("true", "yes", "1", "patched"))
+    return flag(lower_strip(column.cast("string")).isin(*TRUE_WORDS))
 
 
 def canonicalize(df: DataFrame, *, strict_cwe: bool = False) -> DataFrame:
@@ -99,12 +99,35 @@ def canonicalize(df: DataFrame, *, strict_cwe: bool = False) -> DataFrame:
 def add_finding_id(df: DataFrame) -> DataFrame:
     """Give every row an id if the source has none.
 
-    The numbers follow the partitions of this one run, so the table is staged
-    with them: later readers, and tasks run again, see the same ids.
+    The id is a hash of the row's values; rows equal in all of them are numbered.
+    It does not depend on partitions, so a table read again, or in other splits,
+    gets the same ids. The rows are staged once, with the partition they came in:
+    equal rows are numbered within a partition and the counts of the partitions
+    are added up, so a row that repeats very often is not sent to one task.
     """
     if "finding_id" in df.columns:
         return df
-    return stage(df.withColumn("finding_id", F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))), "numbered")
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    hashed = df.withColumns(
+        {
+            "__row": F.xxhash64(*columns, *[column.isNull() for column in columns]),
+            "__twin": F.hash(*columns),
+            "__part": F.spark_partition_id(),
+        }
+    )
+    rows = stage(hashed, "numbered")
+    key = ["__row", "__twin", "__part"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__row", "__twin").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*key, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("__row"))
+    number = F.col("__before") + F.col("__number")
+    name = F.concat(
+        F.lit("row-"), F.lower(F.hex("__row")), F.lower(F.hex("__twin")),
+        F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise(""),
+    )
+    numbered = rows.withColumn("__number", inside).join(offsets, key)
+    return numbered.withColumn("finding_id", name).drop(*key, "__number", "__before")
 
 
 def create_label(df: DataFrame, positive_actions: Sequence[str] = POSITIVE_ACTIONS) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from findrisk.batch import evaluate_model, explain_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.scoring import ranked_table, top_findings
-from findrisk.plans.findings import AS_OF
-from findrisk.sources.synthetic import generate_findings
+from findrisk.plans.findings import AS_OF, findings
 from findrisk.storage import stage
 
 NAMES = ["x0", "x1", "x2", "x3"]

@@ -41,7 +41,7 @@ def test_scans_read_only_what_a_query_needs(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
-    assert set(QUERIES) - set(CHECKS) == MODEL - CHECKED | {"synthetic_findings"}
+    assert set(QUERIES) - set(CHECKS) == MODEL - CHECKED
 
 
 @pytest.mark.parametrize("name", ["feature_matrix", "portfolio_context", "features_user_behavior"])
