@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from llm import wordkernel
 from llm.frames import join_rows, read_table, require, row_key, shuffle_width, sql_identifier, stage
@@ -25,6 +25,11 @@ ERRORS = 1
 MOST_DIFFERENT = CHUNKS * (ERRORS + 1) - 1
 #: Members that one task compares with one hub before the hub's text is repeated.
 MEMBERS_PER_SALT = 500
+#: Rows of a bucket, and shingles of a family, that a task holds of either side when it compares blocks.
+BUCKET_BLOCK = 2048
+FAMILY_BLOCK = 2_000_000
+#: Counted for every class at least, so that a block also holds a bounded number of classes.
+CLASS_WEIGHT = 2000
 
 _SIZE = CHUNKS * CHUNK
 _SEEDS = wordkernel.mix(np.arange(1, _SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -166,19 +171,22 @@ class _Corpus:
         b = self.classes.select(F.col("c").alias("b"), F.col("signature").alias("sig_b"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(_near, "a bigint, b bigint")
 
-    def similar(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """Of staged pairs (a, b), those similar on full shingle sets.
-
-        A hub ``a`` with many members is repeated for every MEMBERS_PER_SALT of
-        them on average, so no task has to take them all.
-        """
+    def texts_of(self, pairs: DataFrame) -> DataFrame:
+        """``c, text`` of every class in staged pairs (a, b), written once."""
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
         hashes = wanted.join(self.classes.select("c", "text_hash"), "c")
         # equal texts are cut down to one before they move
-        texts = stage(
+        return stage(
             self.texts.join(hashes, "text_hash").groupBy("text_hash").agg(F.first("c").alias("c"), F.first("text").alias("text")).select("c", "text"),
             "texts",
         )
+
+    def similar(self, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+        """Of staged pairs (a, b), those similar on full shingle sets.
+
+        A hub ``a`` with many members is repeated for every MEMBERS_PER_SALT of
+        them on average, so no task has to take them all.
+        """
         salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SALT).cast("int").alias("salts"))
         hubs = texts.withColumnRenamed("c", "a").join(salts, "a").select(
             "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text"
@@ -226,32 +234,179 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _block_pairs(blocks: DataFrame, group: str) -> DataFrame:
+    """``group, block, i, j``: the blocks of every pair of blocks i <= j that holds two components.
+
+    ``blocks`` has ``group, block, low, high``, the latter the least and the
+    greatest component of a block.
+    """
+    left = blocks.select(group, F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    right = blocks.select(group, F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    pairs = left.join(right, group).filter("i <= j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)")
+    return pairs.select(group, F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+
+
+def _groups(source: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows of a sorted partition, cut where any of the columns changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(name)[0] != batch.column(name)[0] for name in names):
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(low, high - low))
+            if high < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _across_families(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket under the signature distance, neither connected nor of one family, each from its first bucket."""
+    for table in _groups(source, ["key", "i", "j"]):
+        block, c = _column(table, "block"), _column(table, "c")
+        component, family = _column(table, "component"), _column(table, "family")
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, _SIZE)
+        i, j, key = (int(_column(table, name)[0]) for name in ("i", "j", "key"))
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = [], []
+        step = max(1, (1 << 22) // max(1, len(columns)))
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            open_pair = (component[some, None] != component[columns]) & (family[some, None] != family[columns])
+            if i == j:
+                open_pair &= some[:, None] < columns
+            a, b = np.nonzero(open_pair)
+            for at in range(0, len(a), 1 << 20):
+                x, y = some[a[at : at + (1 << 20)]], columns[b[at : at + (1 << 20)]]
+                same = sig[x] == sig[y]
+                close = same.sum(axis=1) >= _SIZE - MOST_DIFFERENT
+                x, y, same = x[close], y[close], same[close].reshape(-1, CHUNKS, CHUNK)
+                shares = same.sum(axis=2) >= CHUNK - ERRORS
+                first = shares.argmax(axis=1)
+                inside = same[np.arange(len(first)), first]
+                mask = np.where(inside.all(axis=1), 0, inside.argmin(axis=1))
+                mine = first * CHUNK + mask == key >> 48
+                left.append(np.minimum(c[x], c[y])[mine])
+                right.append(np.maximum(c[x], c[y])[mine])
+        both = [np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right)]
+        yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in both], ["a", "b"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    values = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    common = np.intersect1d(values[0], values[1])
+    spots = [np.searchsorted(common, v) for v in values]
+    found = [(s < len(common)) & (common[np.minimum(s, len(common) - 1)] == v) if len(common) else np.zeros(len(v), bool) for s, v in zip(spots, values, strict=True)]
+    entries = []
+    for spot, owner, real in zip(spots, owners, found, strict=True):
+        order = np.argsort(spot[real], kind="stable")
+        entries.append((spot[real][order], owner[real][order]))
+    counts = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for low in range(0, len(common), width):
+        sides = []
+        for (spot, owner), side in zip(entries, (left, right), strict=True):
+            a, b = np.searchsorted(spot, [low, low + width])
+            matrix = np.zeros((len(side), min(width, len(common) - low)), np.float32)
+            matrix[owner[a:b], spot[a:b] - low] = 1
+            sides.append(matrix)
+        counts += sides[0] @ sides[1].T
+    return counts.astype(np.int64)
+
+
+def _inside_families(size: int, percent: int):
+    """Links between components of a family, one for every two components that a pair of blocks connects."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(source, ["family", "i", "j"]):
+            block, c, component = (_column(table, name) for name in ("block", "c", "component"))
+            sets = list(shingle_sets([text.encode() for text in table.column("text").to_pylist()], size))
+            i, j = int(_column(table, "i")[0]), int(_column(table, "j")[0])
+            rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            both = overlaps([sets[k] for k in rows], [sets[k] for k in columns])
+            n = np.array([len(x) for x in sets], np.int64)
+            union = n[rows][:, None] + n[columns] - both
+            linked = (100 * both >= percent * union) & (component[rows][:, None] != component[columns])
+            x, y = np.nonzero(linked)
+            ends = np.stack([np.minimum(component[rows[x]], component[columns[y]]), np.maximum(component[rows[x]], component[columns[y]])], axis=1)
+            _, keep = np.unique(ends, axis=0, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows[x[keep]]], pa.int64()), pa.array(c[columns[y[keep]]], pa.int64())], ["a", "b"])
+
+    return batches
+
+
 def _links(corpus: _Corpus, percent: int) -> DataFrame:
-    """Edges between classes that connect exactly the classes that similar pairs connect."""
-    # a bucket's first class is compared with all others: as many pairs as rows
+    """Edges between classes that connect exactly the classes that similar pairs connect.
+
+    A bucket's first class is compared with all its others, as many pairs as
+    rows. What is then not connected is compared in blocks, inside tasks that
+    give back links only: two classes of one family (connected by pairs under the
+    signature distance, similar or not) on their full sets, two classes of
+    different families by their signatures first.
+    """
+    spark = corpus.classes.sparkSession
     shared = stage(corpus.keys.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     busy = stage(corpus.keys.join(shared, "key").select("key", "c", "hub", "n"), "bucket-rows")
-    tried = stage(corpus.close(busy.filter("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()), "pairs")
-    edges = stage(corpus.similar(tried, percent), "links")
+    near = stage(corpus.close(busy.filter("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()), "pairs")
+    texts = corpus.texts_of(near)
+    edges = stage(corpus.similar(near, texts, percent), "links")
     crowded = busy.filter("n > 2").select("key", "c")
     if crowded.isEmpty():
         return edges
-    # the rest: pairs of a bucket that are not connected yet, neither side being its hub
-    for last in (False, True):
-        joined = crowded.join(components(edges), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        open_keys = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("c").alias("hub")).filter("low <> high")
-        rows = stage(joined.join(open_keys.select("key", "hub"), "key"), "open-buckets")
-        if not last:
-            # first one more hub, the last class, to connect most of them with few pairs
-            pairs = rows.filter("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
-        else:
-            left = rows.select("key", F.col("c").alias("a"), F.col("component").alias("left"))
-            right = rows.select("key", F.col("c").alias("b"), F.col("component").alias("right"))
-            pairs = left.join(right, "key").filter("a < b AND left <> right").select("a", "b").distinct()
-        fresh = stage(corpus.close(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
-        edges = stage(edges.unionByName(corpus.similar(fresh, percent)), "links")
-        tried = tried.unionByName(fresh)
-    return edges
+    state = stage(
+        corpus.classes.select("c", "n_shingles")
+        .join(crowded.select("c").union(texts.select("c")).distinct(), "c")
+        .join(components(edges), "c", "left")
+        .join(components(near).withColumnRenamed("component", "family"), "c", "left")
+        .select("c", "n_shingles", F.coalesce("component", "c").alias("component"), F.coalesce("family", "c").alias("family")),
+        "state",
+    )
+    width = shuffle_width(spark)
+
+    # different families: buckets that hold two of them
+    rows = crowded.join(state.drop("n_shingles"), "c")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high")
+    blocked = stage(
+        rows.join(several.select("key", F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks")), "key").withColumn(
+            "block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+        ),
+        "bucket-blocks",
+    )
+    pairs = _block_pairs(blocked.groupBy("key", "block").agg(F.min("family").alias("low"), F.max("family").alias("high")), "key")
+    dealt = blocked.join(pairs, ["key", "block"]).join(corpus.classes.select("c", "signature"), "c")
+    dealt = dealt.select("key", "i", "j", "block", "c", "component", "family", "signature").repartition(width, "key", "i", "j")
+    fresh = stage(dealt.sortWithinPartitions("key", "i", "j").mapInArrow(_across_families, "a bigint, b bigint").distinct(), "pairs")
+    across = stage(corpus.similar(fresh, corpus.texts_of(fresh), percent), "links")
+
+    # one family: those that are not connected as a whole, in blocks along their components
+    mixed = state.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family")
+    along = Window.partitionBy("family").orderBy("component", "c").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.greatest(F.col("n_shingles"), F.lit(CLASS_WEIGHT))
+    members = stage(
+        state.join(mixed, "family")
+        .withColumn("block", F.floor(F.coalesce(F.sum(weight).over(along), F.lit(0)) / FAMILY_BLOCK).cast("int"))
+        .select("family", "block", "c", "component"),
+        "families",
+    )
+    pairs = _block_pairs(members.groupBy("family", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), "family")
+    dealt = members.join(pairs, ["family", "block"]).join(texts, "c")
+    dealt = dealt.select("family", "i", "j", "block", "c", "component", "text").repartition(width, "family", "i", "j")
+    inside = stage(
+        dealt.sortWithinPartitions("family", "i", "j").mapInArrow(_inside_families(corpus.size, percent), "a bigint, b bigint"), "links"
+    )
+    return edges.unionByName(across).unionByName(inside)
 
 
 def _grouped(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,37 @@ def test_keys_guarantee_the_distance():
     for _ in range(500):
         differ = set(rng.sample(range(near.CHUNKS * near.CHUNK), near.MOST_DIFFERENT))
         assert any(not differ & set(kept) for _, kept in near.KEYS)
+
+
+def family(seed, n):
+    """Edits of one text by up to a third of its words: links of every strength, several components."""
+    rng = random.Random(seed)
+    base = ["w%d" % rng.randrange(9999) for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(0, 18)):
+            words[rng.randrange(150)] = "x%d" % rng.randrange(10**6)
+        texts.append(" ".join(words))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("bucket, block, weight", [(2048, 2_000_000, 2000), (7, 3000, 150)])
+def test_graded_family(spark, monkeypatch, bucket, block, weight):
+    monkeypatch.setattr(near, "BUCKET_BLOCK", bucket)
+    monkeypatch.setattr(near, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(near, "CLASS_WEIGHT", weight)
+    rows = family(4, 90)
+    want = expected(rows, 4)
+    assert len({component for _, component in want.values()}) > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs, shingle_words=4).collect()}
+    assert got == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 20_000, rng.integers(0, 9000)).astype(np.uint64)) for _ in range(9)]
+    got = near.overlaps(sets[:4], sets[4:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+    assert near.overlaps([], sets).shape == (0, 9)
