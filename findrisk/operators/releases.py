@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from findrisk.functions.numbers import mean4
 from findrisk.functions.versions import version_number, version_parts
 from findrisk.operators.dashboard import FIXED
-from findrisk.operators.lookup import attach
+from findrisk.operators.lookup import BROADCAST_BYTES, attach
 from findrisk.operators.scoring import TIERS
 from findrisk.operators.topk import first_per_group
 from findrisk.storage import stage
@@ -124,15 +124,21 @@ def release_top_packages(ranked: DataFrame, n: int = 5) -> DataFrame:
     return top.withColumnRenamed("package_name", "package")
 
 
-def compared_rows(ranked: DataFrame, pairs: DataFrame | None = None, order: str = "text") -> DataFrame:
+def compared_rows(
+    ranked: DataFrame, pairs: DataFrame | None = None, order: str = "text", broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Rows of the two compared releases of each repo, with both release names.
 
     The table is staged: the functions below accept it in place of the ranked
     table, so several answers about the same pairs read it instead of scoring again.
     """
     pairs = release_pairs(ranked, order=order) if pairs is None else pairs
-    named = pairs.select("repo", "current_release", "previous_release", F.lit(1).alias("_one"))
-    rows = attach(ranked.select(*COMPARED_COLUMNS), named, "repo", weight="_one", spread_by=F.col("finding_id"))
+    # row counts tell which repos are too large to join by shuffle in one task
+    sizes = ranked.filter("repo is not null").groupBy("repo").agg(F.count(F.lit(1)).alias("_rows"))
+    named = pairs.select("repo", "current_release", "previous_release").join(sizes, "repo")
+    rows = attach(
+        ranked.select(*COMPARED_COLUMNS), named, "repo", weight="_rows", spread_by=F.col("finding_id"), broadcast_bytes=broadcast_bytes
+    )
     return stage(rows.filter("release = current_release or release = previous_release"), "compared")
 
 
@@ -141,12 +147,12 @@ def _compared(table: DataFrame, pairs: DataFrame | None) -> DataFrame:
 
 
 def _changed_cves(table: DataFrame, pairs: DataFrame | None, mine: str, other: str, n: int) -> DataFrame:
-    """Top rows of CVEs on one side only.
+    """Top rows of CVEs on one side only; rows without a CVE are on neither, as in the counts.
 
     Rows are first cut to ``n`` per (repo, CVE): no others can be among the
     first ``n`` of the repo, and a CVE with very many rows does not reach one task.
     """
-    rows = _compared(table, pairs)
+    rows = _compared(table, pairs).filter("cve_id is not null")
     order = [F.desc("risk_score"), F.asc("finding_id")]
     short = first_per_group(rows.filter(F.col("release") == F.col(mine)), ["repo", "cve_id"], order, n, "_rank")
     others = rows.filter(F.col("release") == F.col(other)).select("repo", "cve_id").distinct()

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from findrisk.operators.lookup import attach
+from findrisk.operators.releases import COMPARED_COLUMNS, compared_rows
 
 
 def facts_and_stats(spark):
@@ -43,3 +44,24 @@ def test_hot_rows_are_spread_when_statistics_are_too_large(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
     assert len(sizes) == 4 and max(sizes) < 9_000
+
+
+def test_hot_repo_is_spread_in_release_comparison(spark):
+    """A third of all rows in one repo, pairs too large to broadcast."""
+    columns = {name: "'x'" for name in COMPARED_COLUMNS} | {
+        "finding_id": "cast(id as string)", "repo": "if(id % 3 = 0, 'hot', concat('r', id % 3000))",
+        "release": "concat('v', id div 3000 % 2)", "risk_score": "0.5", "has_patch": "1",
+    }
+    table = spark.range(30_000).selectExpr(*[f"{expression} as {name}" for name, expression in columns.items()])
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = compared_rows(table, broadcast_bytes=0)
+        files = [row["count"] for row in spread.groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert sum(files) == 30_000
+    assert max(files) < 9_000
+    assert compared_rows(table).exceptAll(spread.select(*compared_rows(table).columns)).count() == 0
