@@ -143,3 +143,17 @@ def test_one_vector_cannot_be_reduced(spark):
     table = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, v array<double>")
     row = embeddings.reduce_vectors(table, "v", keep=("vec_id",)).first()
     assert all(row[f"text_embed_{i}"] == 0.0 for i in range(100))
+
+
+def test_deep_trees_are_explained(spark, matrix):
+    """Paths longer than any table of patterns could hold: the parts still add up to the margin."""
+    draw = [((F.col("finding_id").cast("int") * (i * 2 + 3) * 7919) % 101 / 10).cast("double").alias(f"d{i}") for i in range(16)]
+    names = [f"d{i}" for i in range(16)]
+    noise = F.pmod(F.xxhash64("finding_id"), F.lit(2)).cast("int")
+    table = stage(matrix.select("finding_id", *draw, noise.alias("label")))
+    model = training.train(table, names, rounds=2, max_depth=15, eta=0.3, subsample=1.0, colsample=1.0)
+    longest = max(group["features"].shape[1] for group in contributions.compile_trees(model, spark)["groups"])
+    assert longest > 6
+    parts = contributions.contributions(model, training.feature_vectors(model, table))
+    raw = model.transform(table).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    assert parts.join(raw, "finding_id").agg(F.max(F.abs(F.col("margin") - F.col("raw")))).first()[0] < 1e-9
