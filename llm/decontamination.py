@@ -35,9 +35,10 @@ def _marked(text: Column) -> Column:
     """Words between single blanks, sentence ends as a mark of their own."""
     text = F.coalesce(text, F.lit(""))
     # 3.5 and 1,000 stay one word; 5km and 5% become a number and a unit
-    text = F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", "·")
-    text = F.regexp_replace(text, "(?<=[0-9])%", " percent ")
-    text = F.regexp_replace(text, f"(?<![0-9{_LETTER}])([0-9]++(?:·[0-9]++)*+)(?=[A-Za-z])", "$1 ")
+    numbers = F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", "·")
+    numbers = F.regexp_replace(numbers, "(?<=[0-9])%", " percent ")
+    numbers = F.regexp_replace(numbers, f"(?<![0-9{_LETTER}])([0-9]++(?:·[0-9]++)*+)(?=[A-Za-z])", "$1 ")
+    text = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
     text = F.regexp_replace(text, "[.!?\\n\\x02]++", f" {_END} ")
     text = F.regexp_replace(text, f"[^0-9{_LETTER}\\x02]++", " ")
     return F.concat(F.lit(f" {_END} "), F.trim(text), F.lit(" "))
@@ -49,58 +50,57 @@ def _plain(marked: Column) -> Column:
 
 def _template(marked: Column) -> Column:
     """Numbers, units after numbers, and capitalised words inside sentences as typed slots."""
-    marked = F.regexp_replace(marked, "(?<= )[0-9]++(?:·[0-9]++)*+(?= )", NUMBER)
-    marked = F.regexp_replace(marked, f"(?<={NUMBER} )(?i:{'|'.join(UNITS)})(?= )", UNIT)
+    numbers = F.regexp_replace(marked, "(?<= )[0-9]++(?:·[0-9]++)*+(?= )", NUMBER)
+    numbers = F.regexp_replace(numbers, f"(?<={NUMBER} )(?i:{'|'.join(UNITS)})(?= )", UNIT)
+    marked = F.when(marked.rlike("[0-9]"), numbers).otherwise(marked)
     marked = F.regexp_replace(marked, f"(?<=[^ {_END}] )\\p{{Lu}}\\p{{Ll}}++(?= )", NAME)
     return F.lower(_plain(marked))
 
 
 def _canonical(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    """``keep, words, template``: as many words in the template as in the array."""
+    """``keep, words, tokens``: the words of a text and, in the same places, of its template."""
     marked = df.select(*keep, _marked(text).alias("__marked"))
-    plain = marked.withColumns({"__plain": _plain(F.col("__marked")), "template": _template(F.col("__marked"))}).drop("__marked")
-    return plain.withColumn("words", F.split("__plain", " ")).drop("__plain")
-
-
-def _windows(canonical: DataFrame, size: int, *keep: str) -> DataFrame:
-    """Every run of ``size`` template words: ``keep, words, position, window``."""
-    pattern = f"(?=(\\S++(?: \\S++){{{size - 1}}}))\\S++"
-    return canonical.select(*keep, "words", F.posexplode(F.regexp_extract_all("template", F.lit(pattern), 1)).alias("position", "window"))
+    return marked.withColumns(
+        {"words": F.split(_plain(F.col("__marked")), " "), "tokens": F.split(_template(F.col("__marked")), " ")}
+    ).drop("__marked")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``size, window, item_id, item_position, item_windows, item_words, literals`` of all items, written once.
+    """Every window of every item, written once; items equal in id and words count once.
 
-    Items equal in id and words count once.
+    ``anchor`` is the window's longest literal word (the last of equals), which
+    stands ``anchor_offset`` words after its start: only where a document has an
+    anchor its window is put together and compared.
     """
     items = _canonical(benchmark, F.col(sql_identifier(text_col)), F.col(sql_identifier(id_col)).alias("item_id")).distinct()
     items = items.withColumn("n_words", F.size("words")).filter(F.col("n_words") >= LEAST_WORDS)
-    parts = []
-    for size in range(LEAST_WORDS, WINDOW + 1):
-        fitting = items.filter(F.col("n_words") == size if size < WINDOW else F.col("n_words") >= size)
-        rows = _windows(fitting.withColumn("item_windows", F.col("n_words") - size + 1), size, "item_id", "item_windows")
-        literals = size - (F.length("window") - F.length(F.replace("window", F.lit("<"), F.lit(""))))
-        parts.append(
-            rows.select(
-                F.lit(size).alias("size"),
-                "window",
-                F.xxhash64("window").alias("key"),
-                "item_id",
-                F.col("position").alias("item_position"),
-                "item_windows",
-                F.slice("words", F.col("position") + 1, F.lit(size)).alias("item_words"),
-                literals.alias("literals"),
-            )
-        )
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
+    size = F.least(F.col("n_words"), F.lit(WINDOW))
+    starts = F.explode(F.sequence(F.lit(1), F.col("n_words") - size + 1)).alias("start")
+    placed = items.select("*", size.alias("size"), (F.col("n_words") - size + 1).alias("item_windows"), starts)
+    rows = placed.select(
+        "item_id",
+        "size",
+        "item_windows",
+        (F.col("start") - 1).alias("item_position"),
+        F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
+        F.slice("tokens", F.col("start"), F.col("size")).alias("window"),
+    )
     # a capitalised first word is a plain word here, but a name where a document goes on with it
     first = F.element_at("item_words", 1)
-    opened = table.filter((F.col("item_position") == 0) & first.rlike("^\\p{Lu}\\p{Ll}+$") & ~F.col("window").startswith("<"))
-    opened = opened.withColumn("window", F.concat(F.lit(NAME), F.expr("substring(window, length(element_at(item_words, 1)) + 1)")))
-    opened = opened.withColumns({"key": F.xxhash64("window"), "literals": F.col("literals") - 1})
-    return stage(table.unionByName(opened), "benchmark-windows")
+    opened = rows.filter((F.col("item_position") == 0) & first.rlike("^\\p{Lu}\\p{Ll}+$") & ~F.element_at("window", 1).startswith("<"))
+    opened = opened.withColumn("window", F.concat(F.array(F.lit(NAME)), F.slice("window", F.lit(2), F.col("size"))))
+    literals = F.filter("window", lambda w: ~w.startswith("<"))
+    ranked = F.transform(
+        "window", lambda w, i: F.struct(F.when(w.startswith("<"), 0).otherwise(F.length(w)).alias("rank"), i.alias("place"), w.alias("word"))
+    )
+    table = rows.unionByName(opened).withColumn("__best", F.array_max(ranked)).select(
+        "item_id", "size", "item_windows", "item_position", "item_words",
+        F.concat_ws(" ", "window").alias("window"),
+        F.size(literals).alias("literals"),
+        F.col("__best.word").alias("anchor"),
+        F.col("__best.place").alias("anchor_offset"),
+    )
+    return stage(table, "benchmark-windows")
 
 
 def leaks(
@@ -118,7 +118,8 @@ def leaks(
     Returns ``doc_id, text_hash, item_id, n_windows, item_windows, n_slots,
     n_changed, kind``. Texts are cut into words; numbers, units after numbers and
     capitalised words inside sentences become typed slots, the rest lower case.
-    Every document window is looked up among the benchmark's. Hits on one
+    Every document window is looked up among the benchmark's, by its longest literal
+    word first and as a whole where that is known. Hits on one
     alignment of document and item (same distance of positions) are taken
     together; an alignment counts if each slot value of the item stands for one
     value in the document throughout. ``kind`` is ``exact`` if no slot value
@@ -133,34 +134,31 @@ def leaks(
     require(docs, id_col, text_col)
     require(benchmark, item_id_col, item_text_col)
     items = benchmark_windows(benchmark, item_id_col, item_text_col)
-    sizes = {row["size"]: row["n"] for row in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if items.count() <= broadcast_windows:
+        items = F.broadcast(items)
     text = F.col(sql_identifier(text_col))
     canonical = _canonical(docs, text, F.col(sql_identifier(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    found = None
-    for size in sorted(sizes) or [WINDOW]:
-        wanted = items.filter(F.col("size") == size).drop("size").withColumnRenamed("window", "item_window")
-        if sum(sizes.values()) <= broadcast_windows:
-            wanted = F.broadcast(wanted)
-        hits = (
-            _windows(canonical, size, "doc_id", "text_hash")
-            .withColumn("key", F.xxhash64("window"))
-            .join(wanted, "key")
-            .filter("window = item_window")
-            .select(
-                "doc_id", "text_hash", "item_id", "item_windows", "item_position", "literals",
-                (F.col("position") - F.col("item_position")).alias("shift"),
-                _slots(F.split("window", " "), F.col("item_words"), F.slice("words", F.col("position") + 1, F.lit(size))).alias("slots"),
-            )
-        )
-        found = hits if found is None else found.unionByName(hits)
-    changed = F.filter("slots", lambda slot: slot["item"] != slot["doc"])
-    found = found.filter((F.col("literals") >= LEAST_LITERALS) | (F.size(changed) == 0))
-    # one row per window of an alignment, then one per alignment: bounded by the item's own windows
-    alignment = ["doc_id", "text_hash", "item_id", "item_windows", "shift"]
-    once = found.groupBy(*alignment, "item_position").agg(F.first("slots").alias("slots"))
-    aligned = once.groupBy(*alignment).agg(
-        F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs")
+    # an outer explode: for an inner one, Spark would put the texts into words twice to see if there are any
+    spread = canonical.select("doc_id", "text_hash", "words", "tokens", F.posexplode_outer("tokens").alias("position", "anchor"))
+    start = F.col("position") - F.col("anchor_offset")
+    met = F.concat_ws(" ", F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.col("size")))
+    doc_words = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size"))
+    same = F.lower(F.concat_ws(" ", doc_words)) == F.lower(F.concat_ws(" ", "item_words"))
+    # only expressions that Spark compiles up to here, so that a text's arrays are not copied for each of its words
+    hits = (
+        spread.join(items, "anchor")
+        .filter((start >= 0) & (met == F.col("window")) & ((F.col("literals") >= LEAST_LITERALS) | same))
+        .select(
+            "doc_id", "text_hash", "item_id", "item_windows", "item_position", (start - F.col("item_position")).alias("shift"),
+            F.struct("window", "item_words", doc_words.alias("doc_words")).alias("met"),
+        )
+    )
+    # one row per alignment: bounded by the item's own windows
+    gathered = hits.groupBy("doc_id", "text_hash", "item_id", "item_windows", "shift").agg(
+        F.size(F.collect_set("item_position")).cast("long").alias("n"), F.collect_set("met").alias("met")
     )
+    slots = F.transform("met", lambda m: _slots(F.split(m["window"], " "), m["item_words"], m["doc_words"]))
+    aligned = gathered.withColumn("pairs", F.array_distinct(F.flatten(slots)))
     givers = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"]))))
     consistent = aligned.filter(givers == F.size("pairs"))
     # an item interrupted by other words stands on several alignments
