@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from findrisk.operators import contributions, evaluation, splits, training
 from findrisk.operators.assembly import BLOCKS, feature_matrix, feature_names
-from findrisk.operators.canonical import add_finding_id, canonicalize
+from findrisk.operators.canonical import add_finding_id, canonicalize, create_label, drop_unlabelled
+from findrisk.operators.embeddings import fit_vectors
 from findrisk.operators.scoring import (
     EXPOSURE_WEIGHTS, RANKED_COLUMNS, WEIGHTS, by_risk, hybrid_score, ranked_table, top_findings,
 )
@@ -20,7 +21,7 @@ from findrisk.storage import stage
 SCORE_INPUTS = ("cvss_score", "epss_percentile", "is_withdrawn", "repo_criticality", *EXPOSURE_WEIGHTS)
 
 
-def train_model(
+def split_findings(
     raw: DataFrame,
     as_of: str | datetime,
     *,
@@ -28,28 +29,66 @@ def train_model(
     test_size: float = 0.2,
     blocks: Sequence[str] = BLOCKS,
     keep: Sequence[str] = (),
-    validation_share: float = 0.0,
-    **settings,
-) -> tuple[PipelineModel, DataFrame]:
-    """Fit a model on the train part of the labelled findings.
+    leave_one_out: bool = False,
+    vectors: str | None = None,
+    vector_model: PipelineModel | None = None,
+) -> DataFrame:
+    """Staged feature matrix of all labelled findings with their ``split``.
 
-    Returns the model and the staged feature matrix of all labelled findings with
-    their ``split``: by "time" (newest rows are the test part) or "random" (same
-    share of every label). With a validation share, that part of the train rows
-    ends the rounds early. Other settings go to ``training.train``.
+    By "time" the newest rows are the test part, by "random" the same share of
+    every label.
     """
-    matrix = stage(training.prepare_training(add_finding_id(raw), as_of, blocks=blocks, keep=keep), "matrix")
+    prepared = training.prepare_training(
+        add_finding_id(raw), as_of, blocks=blocks, keep=keep, leave_one_out=leave_one_out, vectors=vectors, vector_model=vector_model
+    )
+    matrix = stage(prepared, "matrix")
     if split == "time":
-        parted = splits.time_split(matrix, test_size=test_size)
-    elif split == "random":
-        parted = splits.stratified_split(matrix, test_size=test_size)
-    else:
-        raise ValueError(f"unknown split: {split}")
+        return splits.time_split(matrix, test_size=test_size)
+    if split == "random":
+        return splits.stratified_split(matrix, test_size=test_size)
+    raise ValueError(f"unknown split: {split}")
+
+
+def fit_model(
+    parted: DataFrame, *, blocks: Sequence[str] = BLOCKS, vectors: bool = False, validation_share: float = 0.0, **settings
+) -> PipelineModel:
+    """Fit a model on the train part; with a validation share, that part of it ends the rounds early."""
     rows = parted.filter("split = 'train'")
     if validation_share > 0:
         rows = training.mark_validation(rows, validation_share)
         settings["validation"] = "validation"
-    return training.train(rows, feature_names(blocks), **settings), parted
+    return training.train(rows, feature_names(blocks, vectors), **settings)
+
+
+def train_model(
+    raw: DataFrame,
+    as_of: str | datetime,
+    *,
+    split: str = "time",
+    test_size: float = 0.2,
+    blocks: Sequence[str] = BLOCKS,
+    keep: Sequence[str] = (),
+    validation_share: float = 0.0,
+    leave_one_out: bool = False,
+    vectors: str | None = None,
+    **settings,
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit a model on the train part of the labelled findings.
+
+    Returns the model and the split matrix (``split_findings``, ``fit_model``).
+    ``vectors`` names a column of text vectors: their components are fitted once,
+    kept with the model and used for all rows it scores. ``leave_one_out`` takes
+    each row out of its own group rates. Other settings go to ``training.train``.
+    """
+    table = add_finding_id(raw)
+    fitted = fit_vectors(drop_unlabelled(create_label(canonicalize(table))), vectors) if vectors else None
+    parted = split_findings(
+        table, as_of, split=split, test_size=test_size, blocks=blocks, keep=keep,
+        leave_one_out=leave_one_out, vectors=vectors, vector_model=fitted,
+    )
+    model = fit_model(parted, blocks=blocks, vectors=vectors is not None, validation_share=validation_share, **settings)
+    model.vector_model = fitted
+    return model, parted
 
 
 def evaluate_model(model: PipelineModel, parted: DataFrame, *, part: str = "test", threshold: float = 0.5) -> DataFrame:
@@ -68,21 +107,28 @@ def score_findings(
     *,
     blocks: Sequence[str] = BLOCKS,
     weights: Mapping[str, float] = WEIGHTS,
+    leave_one_out: bool = False,
+    vectors: str | None = None,
 ) -> DataFrame:
     """Scored findings, unrounded; ``ranked_table`` and ``by_risk`` turn them into the ranked table.
 
     The columns the score and its readers need travel through the feature matrix,
-    so the probabilities need not be joined back to the findings.
+    so the probabilities need not be joined back to the findings. ``vectors``
+    names the column of text vectors for a model that was trained with one.
     """
-    matrix = _carrying_matrix(raw, as_of, blocks)
+    matrix = _carrying_matrix(raw, model, as_of, blocks, leave_one_out, vectors)
     return _score_matrix(matrix, model, weights)
 
 
-def _carrying_matrix(raw: DataFrame, as_of: str | datetime, blocks: Sequence[str]) -> DataFrame:
+def _carrying_matrix(
+    raw: DataFrame, model: PipelineModel, as_of: str | datetime, blocks: Sequence[str], leave_one_out: bool, vectors: str | None
+) -> DataFrame:
     """Feature matrix that also holds what the score and the ranked table read."""
     table = canonicalize(add_finding_id(raw))
     carried = [name for name in dict.fromkeys([*RANKED_COLUMNS, *SCORE_INPUTS]) if name in table.columns]
-    return feature_matrix(table, as_of, blocks, keep=carried)
+    return feature_matrix(
+        table, as_of, blocks, keep=carried, leave_one_out=leave_one_out, vectors=vectors, vector_model=training.vector_model_of(model)
+    )
 
 
 def _score_matrix(matrix: DataFrame, model: PipelineModel, weights: Mapping[str, float]) -> DataFrame:
@@ -99,15 +145,43 @@ def explain_top(
     factors: int = 5,
     blocks: Sequence[str] = BLOCKS,
     weights: Mapping[str, float] = WEIGHTS,
+    leave_one_out: bool = False,
+    vectors: str | None = None,
 ) -> DataFrame:
     """The ``n`` riskiest findings with their largest factors and the explanation text.
 
     Contributions are worked out for those rows only.
     """
-    matrix = stage(_carrying_matrix(raw, as_of, blocks), "matrix")
+    matrix = stage(_carrying_matrix(raw, model, as_of, blocks, leave_one_out, vectors), "matrix")
     top = stage(top_findings(ranked_table(_score_matrix(matrix, model, weights)), n), "top")
     chosen = matrix.join(F.broadcast(top.select("finding_id")), "finding_id", "left_semi")
     explained = contributions.contributions(model, training.feature_vectors(model, chosen))
     largest = contributions.top_factors(explained, training.model_features(model), factors)
     told = contributions.explanation_text(largest, keep=("factors",))
     return by_risk(top.join(told, "finding_id"))
+
+
+def explain_cve(
+    raw: DataFrame,
+    model: PipelineModel,
+    as_of: str | datetime,
+    cve_id: str,
+    *,
+    factors: int = 5,
+    blocks: Sequence[str] = BLOCKS,
+    weights: Mapping[str, float] = WEIGHTS,
+    leave_one_out: bool = False,
+    vectors: str | None = None,
+) -> DataFrame:
+    """All findings of one CVE, scored, with their largest factors and the explanation text.
+
+    The matrix needs all findings for its group statistics; only rows of the CVE
+    are scored and explained.
+    """
+    matrix = _carrying_matrix(raw, model, as_of, blocks, leave_one_out, vectors).filter(F.col("cve_id") == cve_id)
+    chosen = stage(matrix, "one-cve")
+    explained = contributions.contributions(model, training.feature_vectors(model, chosen))
+    told = contributions.explanation_text(
+        contributions.top_factors(explained, training.model_features(model), factors), keep=("factors",)
+    )
+    return by_risk(ranked_table(_score_matrix(chosen, model, weights)).join(told, "finding_id"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from findrisk.operators import features, profiles
-from findrisk.operators.embeddings import VECTOR_NAMES, reduce_vectors
+from findrisk.operators.embeddings import VECTOR_NAMES, apply_vectors, fit_vectors
 
 BLOCK_NAMES = {
     "cve_core": features.CVE_CORE_NAMES,
@@ -54,11 +55,13 @@ def feature_matrix(
     row_id: str = "finding_id",
     leave_one_out: bool = False,
     vectors: str | None = None,
+    vector_model: PipelineModel | None = None,
 ) -> DataFrame:
     """Kept columns plus all features of the active blocks.
 
     ``vectors`` names a column with text vectors; its reduced form then adds 100
-    columns to the text block.
+    columns to the text block, by the components of ``vector_model`` or, without
+    one, by components fitted on this table.
 
     Row-local features come first: long texts are thereby reduced to a few
     numbers before the grouped blocks stage the rows and attach their statistics.
@@ -73,7 +76,8 @@ def feature_matrix(
     if grouped:
         wide = profiles.grouped_features(wide, grouped, keep=wide.columns, row_id=row_id, leave_one_out=leave_one_out)
     if use_vectors:
-        wide = reduce_vectors(wide, vectors, keep=[name for name in wide.columns if name != vectors])
+        fitted = vector_model or fit_vectors(canonical, vectors)
+        wide = apply_vectors(wide, vectors, fitted, keep=[name for name in wide.columns if name != vectors])
     types = {f.name: f.dataType for f in wide.schema.fields}
     kept = [name for name in keep if name not in names]
     return wide.select(*kept, *[_clean(name, types[name]) for name in names])

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from findrisk.operators.assembly import BLOCKS, align_features, feature_matrix
 from findrisk.operators.canonical import canonicalize, create_label, drop_unlabelled
-from findrisk.storage import ensure_checkpoint_dir
+from findrisk.storage import ensure_checkpoint_dir, stage, staging_path
 
 # Default training parameters.
-DEFAULTS = {"max_depth": 6, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "rounds": 500, "seed": 42}
+DEFAULTS = {"max_depth": 6, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "rounds": 500, "patience": 50, "seed": 42}
+# Labelled rows that trees are grown from, and validation rows that choose how many trees stay, at most;
+# both are chosen by a hash of the finding id.
+MOST_ROWS = 100_000
+MOST_VALIDATION_ROWS = 20_000
+# Rounds of the first fit where validation may end the rounds early; doubled while it does not.
+FIRST_ROUNDS = 100
 
 
 def prepare_training(
@@ -26,14 +34,19 @@ def prepare_training(
     blocks: Sequence[str] = BLOCKS,
     keep: Sequence[str] = (),
     leave_one_out: bool = False,
+    vectors: str | None = None,
+    vector_model: PipelineModel | None = None,
 ) -> DataFrame:
     """Labelled feature matrix with finding_id, label, published_date and the columns in ``keep``.
 
     Unlabelled rows are dropped first, so group statistics see labelled rows only.
+    ``vectors`` names a column of text vectors, ``vector_model`` their fitted components.
     """
     labelled = drop_unlabelled(create_label(canonicalize(raw)))
     kept = dict.fromkeys(["finding_id", "label", "published_date", *keep])
-    return feature_matrix(labelled, as_of, blocks, keep=list(kept), leave_one_out=leave_one_out)
+    return feature_matrix(
+        labelled, as_of, blocks, keep=list(kept), leave_one_out=leave_one_out, vectors=vectors, vector_model=vector_model
+    )
 
 
 def mark_validation(matrix: DataFrame, share: float = 0.1, seed: int = DEFAULTS["seed"]) -> DataFrame:
@@ -42,6 +55,23 @@ def mark_validation(matrix: DataFrame, share: float = 0.1, seed: int = DEFAULTS[
     return matrix.withColumn("validation", chance < share)
 
 
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The rows themselves if there are at most ``most``, else those of the smallest hashes of their ids."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = most / n
+    return rows.filter(F.pmod(F.xxhash64(F.lit("rows"), F.col("finding_id")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def _fit(rows: DataFrame, names: Sequence[str], label: str, rounds: int, settings: dict) -> PipelineModel:
+    trees = GBTClassifier(
+        featuresCol="features", labelCol=label, maxIter=rounds, checkpointInterval=10, maxMemoryInMB=1024, **settings
+    )
+    narrow = rows.select(*[F.col(name).cast("double").alias(name) for name in names], label)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), trees]).fit(narrow)
+
+
 def train(
     matrix: DataFrame,
     names: Sequence[str],
@@ -53,28 +83,113 @@ def train(
     subsample: float = DEFAULTS["subsample"],
     colsample: float = DEFAULTS["colsample"],
     rounds: int = DEFAULTS["rounds"],
+    patience: int = DEFAULTS["patience"],
     seed: int = DEFAULTS["seed"],
+    most_rows: int = MOST_ROWS,
 ) -> PipelineModel:
-    """Fit boosted trees for a 0/1 label.
+    """Fit boosted trees for a 0/1 label on at most ``most_rows`` rows.
 
-    ``validation`` names a boolean column: rows where it is true are held out and
-    end the rounds early once the loss on them no longer falls. They should be
-    part of the training data, not of the test data.
+    ``validation`` names a boolean column: rows where it is true are held out, and
+    of the trees those up to the best area under the curve on these rows stay. The
+    rounds end once it has not risen for ``patience`` rounds. Trees do not depend on
+    the number of rounds, so a first fit of FIRST_ROUNDS is repeated with twice as
+    many only where the best round lies within its last ``patience``. Validation rows
+    should be part of the training data, not of the test data.
 
     The estimator keeps its binned rows in memory or on local disk and cuts the
     lineage of its residuals every ten rounds, for which it needs a checkpoint folder.
     """
     ensure_checkpoint_dir(matrix.sparkSession)
-    settings = dict(
-        featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=eta, subsamplingRate=subsample,
-        featureSubsetStrategy=str(colsample), maxIter=rounds, seed=seed, checkpointInterval=10, maxMemoryInMB=1024,
+    settings = dict(maxDepth=max_depth, stepSize=eta, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed)
+    if not validation:
+        return _fit(_bounded(matrix, most_rows), names, label, rounds, settings)
+    rows = stage(_bounded(matrix.filter(~F.col(validation)), most_rows), "training-rows")
+    held_out = stage(_bounded(matrix.filter(validation), MOST_VALIDATION_ROWS), "validation-rows")
+    tried = min(rounds, FIRST_ROUNDS)
+    while True:
+        model = _fit(rows, names, label, tried, settings)
+        best = best_prefix(model, held_out, names, label)
+        if tried >= rounds or best + patience <= tried:
+            return first_trees(model, best)
+        tried = min(rounds, 2 * tried)
+
+
+def _tree_arrays(model: PipelineModel, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:
+    """Per tree: feature, threshold, left and right child, weighted value of every node; leaves are their own children."""
+    path = staging_path(spark, "trees")
+    model.stages[-1].write().save(path)
+    nodes: dict[int, dict[int, Row]] = {}
+    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
+        nodes.setdefault(row["treeID"], {})[row["id"]] = row
+    out = []
+    for tree, weight in enumerate(model.stages[-1].treeWeights):
+        rows = [nodes[tree][i] for i in range(len(nodes[tree]))]
+        inner = np.array([row["leftChild"] >= 0 for row in rows])
+        out.append(
+            (
+                np.array([row["split"]["featureIndex"] if i else 0 for row, i in zip(rows, inner, strict=True)]),
+                np.array([row["split"]["leftCategoriesOrThreshold"][0] if i else 0.0 for row, i in zip(rows, inner, strict=True)]),
+                np.array([row["leftChild"] if i else k for k, (row, i) in enumerate(zip(rows, inner, strict=True))]),
+                np.array([row["rightChild"] if i else k for k, (row, i) in enumerate(zip(rows, inner, strict=True))]),
+                np.array([weight * row["prediction"] for row in rows]),
+            )
+        )
+    return out
+
+
+def best_prefix(model: PipelineModel, rows: DataFrame, names: Sequence[str], label: str = "label") -> int:
+    """Number of first trees with the largest area under the curve on ``rows``, the smallest such number.
+
+    ``rows`` are a bounded sample; each task handles the scores of one prefix.
+    """
+    trees = _tree_arrays(model, rows.sparkSession)
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[list(names)].to_numpy(float)
+            total = np.zeros(len(x))
+            for k, (feature, threshold, left, right, value) in enumerate(trees):
+                at = np.zeros(len(x), np.int64)
+                while True:
+                    goes = np.where(x[np.arange(len(x)), feature[at]] <= threshold[at], left[at], right[at])
+                    if (goes == at).all():
+                        break
+                    at = goes
+                total = total + value[at]
+                yield pd.DataFrame({"trees": k + 1, "margin": total, "label": batch["label"].to_numpy(float)})
+
+    def area(group: pd.DataFrame) -> pd.DataFrame:
+        ranks = group["margin"].rank().to_numpy()
+        positive = group["label"].to_numpy() > 0.5
+        n, m = int(positive.sum()), int((~positive).sum())
+        auc = (ranks[positive].sum() - n * (n + 1) / 2) / (n * m) if n and m else 0.5
+        return pd.DataFrame({"trees": [int(group["trees"].iloc[0])], "auc": [auc]})
+
+    narrow = rows.select(*[F.col(name).cast("double").alias(name) for name in names], F.col(label).cast("double").alias("label"))
+    scores = narrow.mapInPandas(margins, "trees int, margin double, label double")
+    areas = scores.groupBy("trees").applyInPandas(area, "trees int, auc double")
+    best = areas.orderBy(F.desc(F.round("auc", 12)), "trees").first()
+    return best["trees"] if best else len(trees)
+
+
+def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    """The model cut to its first ``n`` trees."""
+    full = model.stages[-1]
+    if n >= full.getNumTrees:
+        return model
+    spark = SparkSession.active()
+    path = staging_path(spark, "cut-model")
+    full.write().save(f"{path}/full")
+    data = spark.read.parquet(f"{path}/full/data").filter(F.col("treeID") < n)
+    side = spark.read.parquet(f"{path}/full/treesMetadata")
+    side = side.filter(F.col(side.columns[0]) < n)  # the tree's number comes first
+    data.write.parquet(f"{path}/cut/data")
+    side.write.parquet(f"{path}/cut/treesMetadata")
+    about = spark.read.text(f"{path}/full/metadata").select(
+        F.regexp_replace("value", '"numTrees":\\d+', f'"numTrees":{n}').alias("value")
     )
-    if validation:
-        settings["validationIndicatorCol"] = validation
-    trees = GBTClassifier(**settings)
-    columns = [label, *([validation] if validation else [])]
-    narrow = matrix.select(*[F.col(name).cast("double").alias(name) for name in names], *columns)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), trees]).fit(narrow)
+    about.coalesce(1).write.text(f"{path}/cut/metadata")
+    return PipelineModel([model.stages[0], GBTClassificationModel.load(f"{path}/cut")])
 
 
 def model_features(model: PipelineModel) -> list[str]:
@@ -96,9 +211,24 @@ def feature_vectors(model: PipelineModel, matrix: DataFrame, keep: Sequence[str]
     return aligned.select(*keep, F.array(*[F.col(name).cast("double") for name in names]).alias("features"))
 
 
+def vector_model_of(model: PipelineModel) -> PipelineModel | None:
+    """Components of the text vectors a model was trained with, None if it was without."""
+    return getattr(model, "vector_model", None)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
+    """Write a model and, if it has some, the components of its text vectors beside it."""
     model.write().overwrite().save(path)
+    fitted = vector_model_of(model)
+    if fitted is not None:
+        fitted.write().overwrite().save(f"{path}/text_vectors")
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """A saved model, with the components of its text vectors if it has some."""
+    model = PipelineModel.load(path)
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/text_vectors")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        model.vector_model = PipelineModel.load(f"{path}/text_vectors")
+    return model

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_top, score_findings, train_model
+from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_top, fit_model, score_findings, split_findings
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.assembly import FEATURE_NAMES
 from findrisk.operators.prompts import PATTERN_TASK, pattern_prompt
@@ -16,13 +16,22 @@ from findrisk.plans.feature_queries import _LABEL_SQL
 from findrisk.plans.findings import AS_OF, findings, on, scored
 from findrisk.plans.registry import query, settle_sql, settled
 
-# Enough rounds to show a working model; the library default is 500.
-ROUNDS = 10
+# Models fitted in this process, by application, folder and split: the ten queries about
+# a model ask about the same one, with the library's own rounds and patience.
+_fitted: dict[tuple, object] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str, split: str, keep=()):
+    key = (spark.sparkContext.applicationId, sf_dir, split)
+    parted = split_findings(findings(spark, sf_dir), AS_OF, split=split, keep=keep)
+    if key not in _fitted:
+        _fitted[key] = fit_model(parted, validation_share=0.1)
+    return _fitted[key], parted
 
 
 def trained(spark: SparkSession, sf_dir: str, keep=()):
     """Model fitted on the oldest 80 percent of labelled findings, and the whole split matrix."""
-    return train_model(findings(spark, sf_dir), AS_OF, keep=keep, rounds=ROUNDS)
+    return _model(spark, sf_dir, "time", keep)
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +56,7 @@ def train_evaluate_query(spark, sf_dir):
 @query("train_score_findings")
 def train_score_findings_query(spark, sf_dir):
     """Every finding, labelled or not, scored by a model trained on a random split and ranked."""
-    model, _ = train_model(findings(spark, sf_dir), AS_OF, split="random", validation_share=0.1, rounds=ROUNDS)
+    model, _ = _model(spark, sf_dir, "random")
     return by_risk(ranked_table(score_findings(findings(spark, sf_dir), model, AS_OF)))
 
 
@@ -177,3 +186,15 @@ def text_embed_energy_query(spark, sf_dir):
     table = text_embed_pca_query(spark, sf_dir)
     squares = [F.col(name) * F.col(name) for name in table.columns if name != "vec_id"]
     return settled(table.select("vec_id", reduce(lambda a, b: a + b, squares).alias("energy")))
+
+
+@query("text_embed_batches", "SELECT vec_id, 1 AS same FROM embeddings")
+def text_embed_batches_query(spark, sf_dir):
+    """Vectors reduced in two batches by one fit against all reduced at once."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    fitted = embeddings.fit_vectors(table, "embedding")
+    whole = embeddings.apply_vectors(table, "embedding", fitted, keep=("vec_id",))
+    halves = [embeddings.apply_vectors(table.filter(F.col("vec_id") % 2 == half), "embedding", fitted, keep=("vec_id",)) for half in (0, 1)]
+    both = halves[0].unionByName(halves[1])
+    values = lambda df, name: df.select("vec_id", F.array(*embeddings.VECTOR_NAMES).alias(name))
+    return values(whole, "a").join(values(both, "b"), "vec_id").select("vec_id", (F.col("a") == F.col("b")).cast("int").alias("same"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from findrisk.batch import evaluate_model, explain_top, score_findings, train_model
+from findrisk.batch import evaluate_model, explain_cve, explain_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.scoring import ranked_table, top_findings
 from findrisk.plans.findings import AS_OF, findings
@@ -101,8 +101,54 @@ def test_validation_rows_stop_early(matrix):
     assert len(model.stages[-1].treeWeights) < 60
 
 
+def test_best_prefix_and_cut_model(spark, model, matrix, tmp_path):
+    """The chosen number of trees has the largest area, and the cut model sums exactly these trees."""
+    trees = contributions._tree_nodes(model, spark)
+    weights = model.stages[-1].treeWeights
+    rows = matrix.limit(200).collect()
+    labels = np.array([row["label"] for row in rows])
+    areas, totals = [], np.zeros(len(rows))
+    for t in range(len(weights)):
+        totals = totals + np.array([weights[t] * _conditional(trees[t], 0, [row[n] for n in NAMES], set(range(4))) for row in rows])
+        pairs = [(a > b) + (a == b) / 2 for a in totals[labels == 1] for b in totals[labels == 0]]
+        areas.append(np.mean(pairs))
+    held_out = spark.createDataFrame(rows)
+    best = training.best_prefix(model, held_out, NAMES)
+    assert areas[best - 1] == pytest.approx(max(areas)) and max(areas[: best - 1], default=0) < max(areas)
+    cut = training.first_trees(model, 2)
+    assert len(cut.stages[-1].treeWeights) == 2
+    raw = cut.transform(held_out).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw")).collect()
+    want = {row["finding_id"]: sum(weights[t] * _conditional(trees[t], 0, [row[n] for n in NAMES], set(range(4))) for t in range(2)) for row in rows}
+    assert {r.finding_id: r.raw for r in raw} == pytest.approx(want)
+    training.save_model(cut, str(tmp_path / "cut"))
+    assert training.predict(training.load_model(str(tmp_path / "cut")), matrix).exceptAll(training.predict(cut, matrix)).count() == 0
+
+
+def test_text_vectors_travel_with_the_model(spark, tmp_path):
+    """Scored whole or in two batches, by the model or its saved form, a finding gets the same score."""
+    vector = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.sin(F.xxhash64("finding_id", i).cast("double") % 97))
+    table = findings(spark, "/root/testdata/sf0.001").limit(500).withColumn("v", F.when(F.xxhash64("finding_id") % 7 != 0, vector))
+    raw = stage(table)
+    model, _ = train_model(raw, AS_OF, rounds=2, max_depth=3, blocks=("cve_core", "text"), vectors="v", leave_one_out=True)
+    assert len(training.model_features(model)) > 100
+    training.save_model(model, str(tmp_path / "m"))
+    loaded = training.load_model(str(tmp_path / "m"))
+    settings = dict(blocks=("cve_core", "text"), vectors="v")
+    whole = score_findings(raw, model, AS_OF, **settings).select("finding_id", "ml_score")
+    parts = [score_findings(raw.filter(F.xxhash64("finding_id") % 2 == k), loaded, AS_OF, **settings) for k in (-1, 0, 1)]
+    both = parts[0].select("finding_id", "ml_score").union(parts[1].select("finding_id", "ml_score")).union(parts[2].select("finding_id", "ml_score"))
+    assert whole.exceptAll(both).count() == 0 and both.count() == raw.count()
+
+
+def test_null_vectors_become_zeros(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, -1.0]), (4, [0.0, 0.5])], "vec_id long, v array<double>")
+    rows = {r.vec_id: r for r in embeddings.reduce_vectors(table, "v", keep=("vec_id",)).collect()}
+    assert all(rows[2][name] == 0.0 for name in embeddings.VECTOR_NAMES)
+    assert any(rows[1][name] != 0.0 for name in embeddings.VECTOR_NAMES)
+
+
 def test_train_save_load_and_score_end_to_end(spark, tmp_path):
-    raw = generate_findings(spark, 600).drop("finding_id")
+    raw = stage(findings(spark, "/root/testdata/sf0.001").filter("user_action <> 'monitoring'").limit(600).drop("finding_id"))
     model, parted = train_model(raw, AS_OF, rounds=2, max_depth=3, validation_share=0.2)
     assert len(training.model_features(model)) == 129
     assert {r.split: r["count"] for r in parted.groupBy("split").count().collect()} == {"train": 480, "test": 120}
@@ -118,10 +164,14 @@ def test_train_save_load_and_score_end_to_end(spark, tmp_path):
     told = explain_top(raw, model, AS_OF, n=4, factors=2).collect()
     assert [r.risk_score for r in told] == [r.risk_score for r in rows[:4]]
     assert all(len(r.factors) == 2 and r.explanation.count("\n") == 2 for r in told)
+    one = explain_cve(raw, model, AS_OF, told[0].cve_id, factors=3).collect()
+    assert {r.cve_id for r in one} == {told[0].cve_id} and len(one) == scored.filter(F.col("cve_id") == told[0].cve_id).count()
+    first = next(r for r in one if r.finding_id == told[0].finding_id)
+    assert first.risk_score == told[0].risk_score and [f.name for f in first.factors[:2]] == [f.name for f in told[0].factors]
 
 
 def test_random_split_is_the_other_choice(spark):
-    raw = generate_findings(spark, 300)
+    raw = stage(findings(spark, "/root/testdata/sf0.001").filter("user_action <> 'monitoring'").limit(300))
     _, parted = train_model(raw, AS_OF, split="random", blocks=("cve_core", "time"), rounds=1, max_depth=2)
     assert parted.filter("split = 'test'").count() == pytest.approx(60, abs=2)
     with pytest.raises(ValueError):
