@@ -165,9 +165,9 @@ class WordEncoder:
     lately go through the tokenizer. At most ``remember`` of them are kept.
     """
 
-    _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -196,19 +196,29 @@ class WordEncoder:
     def _split(self, words: list[bytes]) -> list[list[str] | None]:
         """The pre-tokenizer's pieces of each word; None for words that only the whole tokenizer handles."""
         out: list[list[str] | None] = [None] * len(words)
-        other, plain = [], []
+        plain = [i for i, word in enumerate(words) if word.isascii() and b"<|" not in word]
+        text = b" ".join([words[i] for i in plain]).decode()
+        if not text.isprintable():
+            plain = [i for i in plain if words[i].decode().isprintable()]
+            text = b" ".join([words[i] for i in plain]).decode()
+        # pieces hold all characters but the blanks, so their lengths tell which word each is of
+        pieces = self._ASCII.findall(text.lower())
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        lengths = np.cumsum(np.fromiter((len(words[i]) for i in plain), np.int64, len(plain)))
+        low = 0
+        for i, high in zip(plain, np.searchsorted(ends, lengths, side="right").tolist(), strict=True):
+            out[i] = pieces[low:high]
+            low = high
+        other, texts = [], []
         for i, word in enumerate(words):
-            text = word.decode()
-            if "<|" in text or text.split() != [text]:  # the latter: other white space than ASCII's
-                continue
-            if text.isascii() and text.isprintable():
-                out[i] = self._ASCII.findall(text.lower())
-            else:
-                other.append(i)
-                plain.append(text)
-                out[i] = []
+            if not word.isascii() and b"<|" not in word:
+                text = word.decode()
+                if text.split() == [text]:  # no other white space than ASCII's
+                    other.append(i)
+                    texts.append(text)
+                    out[i] = []
         if other:
-            text = self.full.normalizer.normalize_str(" ".join(plain))
+            text = self.full.normalizer.normalize_str(" ".join(texts))
             gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20)
             if len(gaps) != len(other) - 1:
                 raise ValueError("the tokenizer's normalizer moves word bounds")
@@ -220,14 +230,16 @@ class WordEncoder:
 
     def _learn(self, codes: list[int], words: list[bytes]) -> None:
         split = self._split(words)
-        self._encode_parts(list({piece for pieces in split if pieces for piece in pieces if piece not in self.parts}))
-        parts = self.parts
+        parts, known = self.parts, self.words
+        wanted = {piece for pieces in split if pieces for piece in pieces}
+        self._encode_parts([piece for piece in wanted if piece not in parts])
         for code, word, pieces in zip(codes, words, split, strict=True):
             if pieces is None:
-                ids = np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+                known[code] = np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+            elif len(pieces) == 1:
+                known[code] = parts[pieces[0]]
             else:
-                ids = b"".join([parts[piece] for piece in pieces])
-            self.words[code] = ids
+                known[code] = b"".join([parts[piece] for piece in pieces])
 
     def encode(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text), each text closed by ``end_id``."""
