@@ -8,10 +8,12 @@ from datetime import datetime
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from findrisk.functions.dates import elapsed_days, moment
 from findrisk.operators import contributions, evaluation, splits, training
 from findrisk.operators.assembly import BLOCKS, feature_matrix, feature_names
 from findrisk.operators.canonical import add_finding_id, canonicalize, create_label, drop_unlabelled
 from findrisk.operators.embeddings import fit_vectors
+from findrisk.operators.prompts import finding_prompts
 from findrisk.operators.scoring import (
     EXPOSURE_WEIGHTS, RANKED_COLUMNS, WEIGHTS, by_risk, hybrid_score, ranked_table, top_findings,
 )
@@ -185,3 +187,35 @@ def explain_cve(
         contributions.top_factors(explained, training.model_features(model), factors), keep=("factors",)
     )
     return by_risk(ranked_table(_score_matrix(chosen, model, weights)).join(told, "finding_id"))
+
+
+def prompt_top(
+    raw: DataFrame,
+    model: PipelineModel,
+    as_of: str | datetime,
+    *,
+    n: int = 10,
+    factors: int = 5,
+    blocks: Sequence[str] = BLOCKS,
+    weights: Mapping[str, float] = WEIGHTS,
+    leave_one_out: bool = False,
+    vectors: str | None = None,
+) -> DataFrame:
+    """Prompts for the ``n`` riskiest findings, with the model's largest factors.
+
+    All findings are scored once; their staged ranked table gives the order and
+    the figures of repositories and portfolio. Only the chosen ones are explained.
+    """
+    table = add_finding_id(raw)
+    matrix = stage(_carrying_matrix(table, model, as_of, blocks, leave_one_out, vectors), "matrix")
+    ranked = stage(ranked_table(_score_matrix(matrix, model, weights)), "ranked")
+    top = stage(top_findings(ranked, n).select("finding_id", "risk_score", "tier", "ml_score"), "top")
+    # n rows, the caller's number
+    chosen = matrix.join(F.broadcast(top.select("finding_id")), "finding_id", "left_semi")
+    explained = contributions.contributions(model, training.feature_vectors(model, chosen))
+    largest = contributions.top_factors(explained, training.model_features(model), factors)
+    canonical = canonicalize(table)
+    names = [name for name in canonical.columns if name not in ("risk_score", "tier", "ml_score", "factors")]
+    facts = canonical.select(*names).join(F.broadcast(top.join(largest, "finding_id")), "finding_id")
+    facts = facts.withColumn("days_since_published", elapsed_days(moment(as_of), F.col("published_date")))
+    return finding_prompts(stage(facts, "facts"), ranked)

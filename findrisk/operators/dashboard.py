@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findrisk.functions.numbers import exact_mean, exact_round, mean4, sum4
 from findrisk.operators.scoring import TIERS, by_risk
+from findrisk.storage import stage
 
 # Severities shown, and actions the dashboards count.
 SHOWN_SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -156,10 +157,19 @@ def table_page(
     return table_sort(table, sort_by, sort_order).offset((page - 1) * page_size).limit(page_size)
 
 
-def page_after(table: DataFrame, risk_score: float, finding_id: str, page_size: int = 25) -> DataFrame:
-    """The page that follows a given row in the order by risk."""
-    later = (F.col("risk_score") < risk_score) | ((F.col("risk_score") == risk_score) & (F.col("finding_id") > finding_id))
-    return by_risk(table.filter(later)).limit(page_size)
+def page_after(
+    table: DataFrame, value, finding_id: str, page_size: int = 25, sort_by: str = "risk_score", sort_order: str = "desc"
+) -> DataFrame:
+    """The page that follows a given row, told by its sort value and id, in any order of ``table_sort``."""
+    if sort_by not in table.columns:
+        sort_by, sort_order = "risk_score", "desc"
+    column, behind = F.col(sort_by), F.col("finding_id") > finding_id
+    if value is None:
+        later = column.isNull() & behind
+    else:
+        beyond = column > F.lit(value) if sort_order == "asc" else column < F.lit(value)
+        later = beyond | ((column == F.lit(value)) & behind) | column.isNull()
+    return table_sort(table.filter(later), sort_by, sort_order).limit(page_size)
 
 
 def finding_detail(ranked: DataFrame, cve_id: str, importance: DataFrame | None = None, top: int = 10) -> DataFrame:
@@ -234,8 +244,10 @@ def portfolio_compact(ranked: DataFrame) -> DataFrame:
     """The short form as one long table (section, item, measure, tier).
 
     Three repos by mean risk, five findings by risk, five weaknesses by count;
-    scores to three decimals.
+    scores to three decimals. The columns they need are staged once.
     """
+    names = ("finding_id", "cve_id", "repo", "risk_score", "tier", "package_name", "primary_cwe", "user_action")
+    ranked = stage(ranked.select(*names), "compact")
     repos = portfolio_repos(ranked, 3).select(
         F.lit("repo").alias("section"), F.col("repo").alias("item"), _round3("avg_risk").alias("measure"), F.col("cve_count").alias("count")
     )

@@ -23,7 +23,7 @@ DEFAULTS = {"max_depth": 6, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "ro
 # both are chosen by a hash of the finding id.
 MOST_ROWS = 100_000
 MOST_VALIDATION_ROWS = 20_000
-# Rounds of the first fit where validation may end the rounds early; doubled while it does not.
+# Rounds of the first fit where validation may end the rounds early; two and a half times as many while it does not.
 FIRST_ROUNDS = 100
 
 
@@ -92,8 +92,8 @@ def train(
     ``validation`` names a boolean column: rows where it is true are held out, and
     of the trees those up to the best area under the curve on these rows stay. The
     rounds end once it has not risen for ``patience`` rounds. Trees do not depend on
-    the number of rounds, so a first fit of FIRST_ROUNDS is repeated with twice as
-    many only where the best round lies within its last ``patience``. Validation rows
+    the number of rounds, so a first fit of FIRST_ROUNDS is repeated with more
+    rounds only where the best one lies within its last ``patience``. Validation rows
     should be part of the training data, not of the test data.
 
     The estimator keeps its binned rows in memory or on local disk and cuts the
@@ -111,7 +111,7 @@ def train(
         best = best_prefix(model, held_out, names, label)
         if tried >= rounds or best + patience <= tried:
             return first_trees(model, best)
-        tried = min(rounds, 2 * tried)
+        tried = min(rounds, 5 * tried // 2)
 
 
 def _tree_arrays(model: PipelineModel, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:

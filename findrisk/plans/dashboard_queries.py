@@ -141,6 +141,16 @@ def table_page_after_query(spark, sf_dir):
     return dashboard.page_after(ranked(spark, sf_dir), 0.5, "5")
 
 
+@query(
+    "table_page_after_sorted",
+    on("ranked", f"""SELECT {_COLUMNS} FROM ranked WHERE epss_score > 0.3 OR (epss_score = 0.3 AND finding_id > '5') OR epss_score IS NULL
+ORDER BY epss_score NULLS LAST, finding_id LIMIT 25"""),
+)
+def table_page_after_sorted_query(spark, sf_dir):
+    """The same in another order."""
+    return dashboard.page_after(ranked(spark, sf_dir), 0.3, "5", sort_by="epss_score", sort_order="asc")
+
+
 @query(
     "table_search_literal",
     on("ranked", f"SELECT {_COLUMNS} FROM ranked WHERE contains(lower(concat_ws(chr(10), cve_id, package_name, repo)), '-10.1')"

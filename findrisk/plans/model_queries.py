@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_top, fit_model, score_findings, split_findings
+from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_cve, explain_top, fit_model, prompt_top, score_findings, split_findings
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.assembly import FEATURE_NAMES
 from findrisk.operators.prompts import PATTERN_TASK, pattern_prompt
@@ -67,6 +67,35 @@ def explain_top_findings_query(spark, sf_dir):
     return explain_top(findings(spark, sf_dir), model, AS_OF).drop("factors")
 
 
+@query(
+    "explain_one_cve",
+    on("canonical", "SELECT finding_id, cve_id, 5 AS factors, 1 AS agree FROM canonical WHERE cve_id = (SELECT min(cve_id) FROM canonical)"),
+)
+def explain_one_cve_query(spark, sf_dir):
+    """All findings of one CVE: the lines of the explanation against the factors."""
+    model, _ = trained(spark, sf_dir)
+    table = findings(spark, sf_dir)
+    cve_id = table.agg(F.min("cve_id")).first()[0]
+    told = explain_cve(table, model, AS_OF, cve_id)
+    agree = F.forall("factors", lambda p: F.contains("explanation", F.concat(F.lit("  - "), p["name"], F.lit(" "))))
+    return told.select("finding_id", "cve_id", F.size("factors").alias("factors"), agree.cast("int").alias("agree"))
+
+
+@query("prompt_top_findings", "SELECT 10 AS prompts, CAST(50 AS BIGINT) AS factor_lines, 1 AS agree")
+def prompt_top_findings_query(spark, sf_dir):
+    """Prompts of the ten riskiest findings: their factor lines against the explanations of the same findings."""
+    model, _ = trained(spark, sf_dir)
+    written = prompt_top(findings(spark, sf_dir), model, AS_OF)
+    told = explain_top(findings(spark, sf_dir), model, AS_OF).select("finding_id", "factors")
+    lines = F.filter("factors", lambda p: F.contains("prompt", F.concat(F.lit("  - "), p["name"], F.lit(": "))))
+    both = written.join(told, "finding_id").select(F.size(lines).alias("lines"))
+    return both.agg(
+        F.count(F.lit(1)).cast("int").alias("prompts"),
+        F.sum("lines").alias("factor_lines"),
+        F.min((F.col("lines") == 5).cast("int")).alias("agree"),
+    )
+
+
 @query("tree_contributions")
 def tree_contributions_query(spark, sf_dir):
     """Base, margin, size and sum of the contributions of every test finding."""

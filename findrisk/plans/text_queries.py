@@ -12,6 +12,7 @@ from findrisk.plans.findings import AS_OF, on, scored
 from findrisk.plans.registry import query
 from findrisk.plans.release_queries import _SIDES_SQL, _STATS_SQL
 from findrisk.plans.score_queries import ranked
+from findrisk.storage import stage
 
 _KIND_SQL = """CASE WHEN cvss_score > 0 AND epss_score > cvss_score / 10.0::DOUBLE * 1.5::DOUBLE THEN 'high'
   WHEN cvss_score > 0 AND epss_score < cvss_score / 10.0::DOUBLE * 0.3::DOUBLE AND cvss_score >= 7 THEN 'low' ELSE 'none' END"""
@@ -98,8 +99,8 @@ p AS (SELECT package_name AS k, count(*) AS n FROM ranked WHERE package_name <>
 SELECT finding_id, {_FINDING_SQL} AS prompt FROM scored s JOIN r ON s.repo = r.repo LEFT JOIN c ON c.k = primary_cwe LEFT JOIN p ON p.k = package_name, t"""),
 )
 def finding_prompt_query(spark, sf_dir):
-    """Prompts whose factors are the terms of the score."""
-    table = scored(spark, sf_dir)
+    """Prompts whose factors are the terms of the score; the scored table serves as facts and as ranked table."""
+    table = stage(scored(spark, sf_dir), "scored")
     terms = [F.struct(F.lit(name).alias("name"), term.alias("value")) for name, term in score_terms().items()]
     facts = table.withColumns(
         {"days_since_published": elapsed_days(moment(AS_OF), F.col("published_date")), "factors": F.array(*terms)}

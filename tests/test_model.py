@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from findrisk.batch import evaluate_model, explain_cve, explain_top, score_findings, train_model
+from findrisk.batch import evaluate_model, explain_cve, explain_top, prompt_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.scoring import ranked_table, top_findings
 from findrisk.plans.findings import AS_OF, findings
@@ -164,6 +164,9 @@ def test_train_save_load_and_score_end_to_end(spark, tmp_path):
     told = explain_top(raw, model, AS_OF, n=4, factors=2).collect()
     assert [r.risk_score for r in told] == [r.risk_score for r in rows[:4]]
     assert all(len(r.factors) == 2 and r.explanation.count("\n") == 2 for r in told)
+    asked = prompt_top(raw, model, AS_OF, n=4, factors=2).collect()
+    lines = {r.finding_id: r.prompt for r in asked}
+    assert all(f"  - {f.name}: {f.value:+.4f}" in lines[r.finding_id] for r in told for f in r.factors)
     one = explain_cve(raw, model, AS_OF, told[0].cve_id, factors=3).collect()
     assert {r.cve_id for r in one} == {told[0].cve_id} and len(one) == scored.filter(F.col("cve_id") == told[0].cve_id).count()
     first = next(r for r in one if r.finding_id == told[0].finding_id)

@@ -8,7 +8,10 @@ from conftest import SMALL
 from findrisk.plans.catalog import CHECKS, QUERIES
 
 PYTHON = {"explain_top_findings", "tree_contributions", "global_importance", "top_factors", "explanation_text", "pattern_prompt"}
-CHECKED = {"tree_contributions_check", "text_embed_energy", "feature_matrix_vectors"}
+CHECKED = {
+    "tree_contributions_check", "text_embed_energy", "feature_matrix_vectors", "text_embed_batches", "explain_one_cve", "prompt_top_findings",
+    "importance_of_terms", "pattern_prompt_of_terms",
+}
 MODEL = PYTHON | CHECKED | {"train_predict", "train_evaluate", "train_score_findings", "text_embed_pca"}
 
 
