@@ -1,7 +1,7 @@
 """Signature rules of the license scan, over lower-case words between single blanks.
 
-A rule has a priority (1 strongest), a label, a keyword that any match contains,
-and a regular expression. Most families are written once, as (label, keyword,
+A rule has a priority (1 strongest), a label, a keyword that any match contains at
+the start of a word, and a regular expression. Most families are written once, as (label, keyword,
 name), and stand in each of FORMS; order within a priority is rule order.
 """
 
@@ -33,14 +33,16 @@ FAMILIES = [
     ("apache-2.0", "apache", "apache (?:software )?(?:license |licence )?(?:version |v ?)?2(?: 0)?"),
     ("apache-1.1", "apache", "apache (?:software )?(?:license |licence )?(?:version |v ?)?1 1"),
     ("apache-1.0", "apache", "apache (?:software )?(?:license |licence )?(?:version |v ?)?1 0"),
-    ("mit", "mit li", "mit (?:license|licence)"),
+    ("mit", "mit licen", "mit (?:license|licence)"),
     ("mit", "expat", "expat (?:license|licence)"),
     ("mit-0", "mit 0", "mit 0(?: license)?"),
     ("mit-0", "no attribution", "mit no attribution(?: license)?"),
     ("x11", "x11", "(?:mit )?x11 (?:license|licence)"),
-    ("isc", "isc li", "isc (?:license|licence)"),
-    ("0bsd", "bsd", "(?:0bsd|zero clause bsd|bsd zero clause)(?: license)?"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: license)?"),
+    ("isc", "isc licen", "isc (?:license|licence)"),
+    ("0bsd", "0bsd", "0bsd(?: license)?"),
+    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)(?: license)?"),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: license)?"),
+    ("bsd-2-clause", "freebsd", "freebsd license"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)(?: license)?"),
     ("gpl-1.0", "gpl", f"gpl ?(?:version |v ?)?1(?: 0)?{_OR_LATER}"),
@@ -87,7 +89,7 @@ FAMILIES = [
     ("odc-by-1.0", "open data commons", "open data commons attribution(?: license)?"),
     ("pddl-1.0", "public domain dedication", "(?:open data commons )?public domain dedication and (?:license|licence)"),
     ("python-2.0", "python", "python(?: software foundation)? (?:license|licence)(?: version 2)?"),
-    ("php-3.01", "php li", "php (?:license|licence)(?: (?:version |v ?)?3 01)?"),
+    ("php-3.01", "php licen", "php (?:license|licence)(?: (?:version |v ?)?3 01)?"),
     ("postgresql", "postgresql", "postgresql (?:license|licence)"),
     ("openssl", "openssl", "openssl (?:license|licence)"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? (?:license|licence)"),
@@ -95,7 +97,7 @@ FAMILIES = [
     ("afl-3.0", "academic free", "academic free (?:license|licence)(?: (?:version |v ?)?3 0)?"),
     ("osl-3.0", "open software", "open software (?:license|licence)(?: (?:version |v ?)?3 0)?"),
     ("upl-1.0", "universal permissive", "universal permissive (?:license|licence)(?: (?:version |v ?)?1 0)?"),
-    ("vim", "vim li", "vim (?:license|licence)"),
+    ("vim", "vim licen", "vim (?:license|licence)"),
     ("json", "json", "json (?:license|licence)"),
     ("beerware", "beerware", "beerware(?: license)?"),
     ("ruby", "ruby", "ruby (?:license|licence)"),

@@ -31,8 +31,9 @@ _START, _STOP = "\u0001", "\u0002"
 def gate_pattern(rules: list[Rule]) -> str:
     """One expression that any text with a match of a rule or a base phrase contains."""
     words = {rule.keyword for rule in rules} | {phrase for phrase, _ in BASE}
-    shortest = sorted(w for w in words if not any(o != w and o in w for o in words))
-    return "(?i)(?:" + "|".join(w.replace(" ", f"{_BETWEEN_ANY_CASE}++") for w in shortest) + ")"
+    shortest = sorted(w for w in words if not any(o != w and w.startswith(o) for o in words))
+    # keywords start words, so they are only tried behind something that is no word
+    return f"(?i)(?:^|{_BETWEEN_ANY_CASE})(?:" + "|".join(w.replace(" ", f"{_BETWEEN_ANY_CASE}++") for w in shortest) + ")"
 
 
 def _blanks(text: Column) -> Column:
