@@ -11,7 +11,7 @@ from llm.registry import register
 WINDOW = 8
 #: Items with fewer words than this are never reported.
 LEAST_WORDS = 4
-#: Windows with fewer literal words must agree in their slots too.
+#: Windows with fewer literal words are compared by their words only.
 LEAST_LITERALS = 4
 #: Share of an item's windows that must be found, in percent.
 COVERAGE_PERCENT = 30
@@ -65,12 +65,17 @@ def _canonical(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
     ).drop("__marked")
 
 
+def _lowered(words: str) -> Column:
+    return F.split(F.lower(F.concat_ws(" ", words)), " ")
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Every window of every item, written once; items equal in id and words count once.
 
-    ``anchor`` is the window's longest literal word (the last of equals), which
-    stands ``anchor_offset`` words after its start: only where a document has an
-    anchor its window is put together and compared.
+    A window stands as its lower-case words (``verbatim``) and, if it has slots and
+    LEAST_LITERALS literal words, as its template. ``anchor`` is the window's longest
+    literal word (the last of equals), which stands ``anchor_offset`` words after its
+    start: only where a document has an anchor its window is put together and compared.
     """
     items = _canonical(benchmark, F.col(sql_identifier(text_col)), F.col(sql_identifier(id_col)).alias("item_id")).distinct()
     items = items.withColumn("n_words", F.size("words")).filter(F.col("n_words") >= LEAST_WORDS)
@@ -83,20 +88,25 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         "item_windows",
         (F.col("start") - 1).alias("item_position"),
         F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
-        F.slice("tokens", F.col("start"), F.col("size")).alias("window"),
+        F.slice("tokens", F.col("start"), F.col("size")).alias("template"),
     )
     # a capitalised first word is a plain word here, but a name where a document goes on with it
     first = F.element_at("item_words", 1)
-    opened = rows.filter((F.col("item_position") == 0) & first.rlike("^\\p{Lu}\\p{Ll}+$") & ~F.element_at("window", 1).startswith("<"))
-    opened = opened.withColumn("window", F.concat(F.array(F.lit(NAME)), F.slice("window", F.lit(2), F.col("size"))))
-    literals = F.filter("window", lambda w: ~w.startswith("<"))
+    opened = rows.filter((F.col("item_position") == 0) & first.rlike("^\\p{Lu}\\p{Ll}+$") & ~F.element_at("template", 1).startswith("<"))
+    opened = opened.withColumn("template", F.concat(F.array(F.lit(NAME)), F.slice("template", F.lit(2), F.col("size"))))
+    literals = F.size(F.filter("template", lambda w: ~w.startswith("<")))
+    typed = rows.unionByName(opened).filter((literals >= LEAST_LITERALS) & (literals < F.col("size")))
+    forms = typed.withColumns({"verbatim": F.lit(False), "window": F.col("template")}).unionByName(
+        rows.withColumns({"verbatim": F.lit(True), "window": _lowered("item_words")})
+    )
     ranked = F.transform(
         "window", lambda w, i: F.struct(F.when(w.startswith("<"), 0).otherwise(F.length(w)).alias("rank"), i.alias("place"), w.alias("word"))
     )
-    table = rows.unionByName(opened).withColumn("__best", F.array_max(ranked)).select(
-        "item_id", "size", "item_windows", "item_position", "item_words",
+    table = forms.withColumn("__best", F.array_max(ranked)).select(
+        "item_id", "size", "item_windows", "item_position", "verbatim",
+        _lowered("item_words").alias("item_words"),
+        F.concat_ws(" ", "template").alias("template"),
         F.concat_ws(" ", "window").alias("window"),
-        F.size(literals).alias("literals"),
         F.col("__best.word").alias("anchor"),
         F.col("__best.place").alias("anchor_offset"),
     )
@@ -119,7 +129,8 @@ def leaks(
     n_changed, kind``. Texts are cut into words; numbers, units after numbers and
     capitalised words inside sentences become typed slots, the rest lower case.
     Every document window is looked up among the benchmark's, by its longest literal
-    word first and as a whole where that is known. Hits on one
+    word first and as a whole where that is known: by its lower-case words, whatever
+    their case and punctuation, or by its template. Hits on one
     alignment of document and item (same distance of positions) are taken
     together; an alignment counts if each slot value of the item stands for one
     value in the document throughout. ``kind`` is ``exact`` if no slot value
@@ -138,26 +149,26 @@ def leaks(
         items = F.broadcast(items)
     text = F.col(sql_identifier(text_col))
     canonical = _canonical(docs, text, F.col(sql_identifier(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    canonical = canonical.withColumn("words", _lowered("words"))
     # an outer explode: for an inner one, Spark would put the texts into words twice to see if there are any
-    spread = canonical.select("doc_id", "text_hash", "words", "tokens", F.posexplode_outer("tokens").alias("position", "anchor"))
+    spread = canonical.select("doc_id", "text_hash", "words", "tokens", F.posexplode_outer("words").alias("position", "anchor"))
     start = F.col("position") - F.col("anchor_offset")
-    met = F.concat_ws(" ", F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.col("size")))
-    doc_words = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size"))
-    same = F.lower(F.concat_ws(" ", doc_words)) == F.lower(F.concat_ws(" ", "item_words"))
+    cut = lambda column: F.slice(column, F.greatest(start, F.lit(0)) + 1, F.col("size"))
+    met = F.when(F.col("verbatim"), F.concat_ws(" ", cut("words"))).otherwise(F.concat_ws(" ", cut("tokens")))
     # only expressions that Spark compiles up to here, so that a text's arrays are not copied for each of its words
     hits = (
         spread.join(items, "anchor")
-        .filter((start >= 0) & (met == F.col("window")) & ((F.col("literals") >= LEAST_LITERALS) | same))
+        .filter((start >= 0) & (met == F.col("window")))
         .select(
             "doc_id", "text_hash", "item_id", "item_windows", "item_position", (start - F.col("item_position")).alias("shift"),
-            F.struct("window", "item_words", doc_words.alias("doc_words")).alias("met"),
+            F.struct("template", "item_words", cut("words").alias("doc_words")).alias("met"),
         )
     )
     # one row per alignment: bounded by the item's own windows
     gathered = hits.groupBy("doc_id", "text_hash", "item_id", "item_windows", "shift").agg(
         F.size(F.collect_set("item_position")).cast("long").alias("n"), F.collect_set("met").alias("met")
     )
-    slots = F.transform("met", lambda m: _slots(F.split(m["window"], " "), m["item_words"], m["doc_words"]))
+    slots = F.transform("met", lambda m: _slots(F.split(m["template"], " "), m["item_words"], m["doc_words"]))
     aligned = gathered.withColumn("pairs", F.array_distinct(F.flatten(slots)))
     givers = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"]))))
     consistent = aligned.filter(givers == F.size("pairs"))
@@ -183,7 +194,7 @@ def _slots(window: Column, item: Column, doc: Column) -> Column:
     """(type, item's value, document's value) of each slot in a window."""
     zipped = F.arrays_zip(window.alias("t"), item.alias("i"), doc.alias("d"))
     slots = F.filter(zipped, lambda z: z["t"].startswith("<"))
-    return F.transform(slots, lambda z: F.struct(z["t"].alias("type"), F.lower(z["i"]).alias("item"), F.lower(z["d"]).alias("doc")))
+    return F.transform(slots, lambda z: F.struct(z["t"].alias("type"), z["i"].alias("item"), z["d"].alias("doc")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -79,3 +79,15 @@ def test_no_python_and_broadcast(spark):
     plan = clean.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+def _found(spark, docs, items, **settings):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in clean.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **settings).collect()}
+
+
+def test_copies_in_other_case_and_punctuation(spark):
+    text = ITEMS[0][1]
+    docs = [(1, f"see {text.lower()} so"), (2, text.upper()), (3, text.replace(".", "").replace("?", "")), (4, text.replace(" ", ". "))]
+    got = _found(spark, docs, ITEMS[:1])
+    assert {key: (r.kind, r.n_windows, r.item_windows) for key, r in got.items()} == {(i, 1): ("exact", 13, 13) for i in (1, 2, 3, 4)}
