@@ -132,10 +132,11 @@ def leaks(
     word first and as a whole where that is known: by its lower-case words, whatever
     their case and punctuation, or by its template. Hits on one
     alignment of document and item (same distance of positions) are taken
-    together; an alignment counts if each slot value of the item stands for one
-    value in the document throughout. ``kind`` is ``exact`` if no slot value
-    differs, else ``reparameterised``. A leak needs ``coverage_percent`` of the
-    item's windows.
+    together. Windows whose words equal the item's always count, those that match
+    by template alone if each slot value of the item stands for one value in the
+    document throughout the alignment. ``kind`` is ``exact`` if no slot value
+    differs in the windows that count, else ``reparameterised``. A leak needs
+    ``coverage_percent`` of the item's windows.
 
     Null and empty texts hold no item; items of fewer than LEAST_WORDS words are
     never found. Null ids are kept as such. Rows equal in id and text give one
@@ -161,20 +162,25 @@ def leaks(
         .filter((start >= 0) & (met == F.col("window")))
         .select(
             "doc_id", "text_hash", "item_id", "item_windows", "item_position", (start - F.col("item_position")).alias("shift"),
-            F.struct("template", "item_words", cut("words").alias("doc_words")).alias("met"),
+            "verbatim", F.struct("verbatim", "template", "item_words", cut("words").alias("doc_words")).alias("met"),
         )
     )
     # one row per alignment: bounded by the item's own windows
     gathered = hits.groupBy("doc_id", "text_hash", "item_id", "item_windows", "shift").agg(
-        F.size(F.collect_set("item_position")).cast("long").alias("n"), F.collect_set("met").alias("met")
+        F.collect_set("item_position").alias("all_places"),
+        F.collect_set(F.when(F.col("verbatim"), F.col("item_position"))).alias("verbatim_places"),
+        F.collect_set("met").alias("met"),
     )
-    slots = F.transform("met", lambda m: _slots(F.split(m["template"], " "), m["item_words"], m["doc_words"]))
-    aligned = gathered.withColumn("pairs", F.array_distinct(F.flatten(slots)))
-    givers = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"]))))
-    consistent = aligned.filter(givers == F.size("pairs"))
+    slots = lambda met: F.array_distinct(F.flatten(F.transform(met, lambda m: _slots(F.split(m["template"], " "), m["item_words"], m["doc_words"]))))
+    aligned = gathered.withColumns({"all_pairs": slots(F.col("met")), "verbatim_pairs": slots(F.filter("met", lambda m: m["verbatim"]))})
+    givers = F.size(F.array_distinct(F.transform("all_pairs", lambda p: F.struct(p["type"], p["item"]))))
+    consistent = givers == F.size("all_pairs")
+    counted = aligned.withColumns(
+        {name: F.when(consistent, F.col(f"all_{name}")).otherwise(F.col(f"verbatim_{name}")) for name in ("places", "pairs")}
+    ).filter(F.size("places") > 0)
     # an item interrupted by other words stands on several alignments
-    whole = consistent.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
-        F.sum("n").alias("n"),
+    whole = counted.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
+        F.sum(F.size("places")).alias("n"),
         F.sum(F.size("pairs")).alias("n_slots"),
         F.sum(F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))).alias("n_changed"),
     )

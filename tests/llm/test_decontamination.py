@@ -91,3 +91,11 @@ def test_copies_in_other_case_and_punctuation(spark):
     docs = [(1, f"see {text.lower()} so"), (2, text.upper()), (3, text.replace(".", "").replace("?", "")), (4, text.replace(" ", ". "))]
     got = _found(spark, docs, ITEMS[:1])
     assert {key: (r.kind, r.n_windows, r.item_windows) for key, r in got.items()} == {(i, 1): ("exact", 13, 13) for i in (1, 2, 3, 4)}
+
+
+def test_one_changed_value_leaves_the_equal_windows(spark):
+    item = "Tom buys 12 red apples at the old market on a very cold winter morning and later he sells all of the 12 apples again"
+    docs = [(1, item.replace("the 12", "the 13")), (2, item.replace("12", "13")), (3, "Tom buys 7 red apples at the old market, and sells all of the 9 apples again")]
+    got = _found(spark, docs, [(1, item)])
+    # by hand: 18 windows, of which 15 end before the second number
+    assert {key: (r.kind, r.n_windows, r.n_changed) for key, r in got.items()} == {(1, 1): ("exact", 15, 0), (2, 1): ("reparameterised", 18, 1)}
