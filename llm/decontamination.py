@@ -9,8 +9,10 @@ from llm.registry import register
 
 #: Words per template window; items with fewer words are matched as one window.
 WINDOW = 8
-#: Items with fewer words than this are never reported.
+#: Items with fewer words than this are short: looked for on request only, by exact words.
 LEAST_WORDS = 4
+#: This many words of an item in a row (the whole item if it has fewer), equal word for word, are a leak.
+RUN_WORDS = 13
 #: Windows with fewer literal words are compared by their words only.
 LEAST_LITERALS = 4
 #: Share of an item's windows that must be found, in percent.
@@ -69,16 +71,22 @@ def _lowered(words: str) -> Column:
     return F.split(F.lower(F.concat_ws(" ", words)), " ")
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """Every window of every item, written once; items equal in id and words count once.
 
+    Items of fewer than LEAST_WORDS words (``short``) are left out unless
+    ``short_items``, and then stand as their lower-case words only.
+
     A window stands as its lower-case words (``verbatim``) and, if it has slots and
     LEAST_LITERALS literal words, as its template. ``anchor`` is the window's longest
     literal word (the last of equals), which stands ``anchor_offset`` words after its
     start: only where a document has an anchor its window is put together and compared.
     """
     items = _canonical(benchmark, F.col(sql_identifier(text_col)), F.col(sql_identifier(id_col)).alias("item_id")).distinct()
-    items = items.withColumn("n_words", F.size("words")).filter(F.col("n_words") >= LEAST_WORDS)
+    # a text without words splits into one empty word
+    least = F.lit(1 if short_items else LEAST_WORDS)
+    items = items.withColumn("n_words", F.size("words")).filter((F.col("n_words") >= least) & (F.element_at("words", 1) != ""))
+    short = (F.col("n_words") < LEAST_WORDS).alias("short")
     size = F.least(F.col("n_words"), F.lit(WINDOW))
     starts = F.explode(F.sequence(F.lit(1), F.col("n_words") - size + 1)).alias("start")
     placed = items.select("*", size.alias("size"), (F.col("n_words") - size + 1).alias("item_windows"), starts)
@@ -86,6 +94,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         "item_id",
         "size",
         "item_windows",
+        short,
         (F.col("start") - 1).alias("item_position"),
         F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
         F.slice("tokens", F.col("start"), F.col("size")).alias("template"),
@@ -95,7 +104,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     opened = rows.filter((F.col("item_position") == 0) & first.rlike("^\\p{Lu}\\p{Ll}+$") & ~F.element_at("template", 1).startswith("<"))
     opened = opened.withColumn("template", F.concat(F.array(F.lit(NAME)), F.slice("template", F.lit(2), F.col("size"))))
     literals = F.size(F.filter("template", lambda w: ~w.startswith("<")))
-    typed = rows.unionByName(opened).filter((literals >= LEAST_LITERALS) & (literals < F.col("size")))
+    typed = rows.unionByName(opened).filter(~F.col("short") & (literals >= LEAST_LITERALS) & (literals < F.col("size")))
     forms = typed.withColumns({"verbatim": F.lit(False), "window": F.col("template")}).unionByName(
         rows.withColumns({"verbatim": F.lit(True), "window": _lowered("item_words")})
     )
@@ -103,7 +112,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         "window", lambda w, i: F.struct(F.when(w.startswith("<"), 0).otherwise(F.length(w)).alias("rank"), i.alias("place"), w.alias("word"))
     )
     table = forms.withColumn("__best", F.array_max(ranked)).select(
-        "item_id", "size", "item_windows", "item_position", "verbatim",
+        "item_id", "size", "item_windows", "short", "item_position", "verbatim",
         _lowered("item_words").alias("item_words"),
         F.concat_ws(" ", "template").alias("template"),
         F.concat_ws(" ", "window").alias("window"),
@@ -122,6 +131,7 @@ def leaks(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     broadcast_windows: int = BROADCAST_WINDOWS,
+    short_items: bool = False,
 ) -> DataFrame:
     """Benchmark items that stand in documents, one row per document and item.
 
@@ -136,16 +146,18 @@ def leaks(
     by template alone if each slot value of the item stands for one value in the
     document throughout the alignment. ``kind`` is ``exact`` if no slot value
     differs in the windows that count, else ``reparameterised``. A leak needs
-    ``coverage_percent`` of the item's windows.
+    ``coverage_percent`` of the item's windows, or RUN_WORDS words in a row (the
+    whole item if it has fewer) that equal the item's.
 
-    Null and empty texts hold no item; items of fewer than LEAST_WORDS words are
-    never found. Null ids are kept as such. Rows equal in id and text give one
+    Null and empty texts hold no item. Items of fewer than LEAST_WORDS words, which
+    stand in many documents by chance, are found only with ``short_items``, by their
+    exact words and as kind ``short``. Null ids are kept as such. Rows equal in id and text give one
     row per item. Empty tables on either side give no rows. Other columns of both
     tables are not read.
     """
     require(docs, id_col, text_col)
     require(benchmark, item_id_col, item_text_col)
-    items = benchmark_windows(benchmark, item_id_col, item_text_col)
+    items = benchmark_windows(benchmark, item_id_col, item_text_col, short_items)
     if items.count() <= broadcast_windows:
         items = F.broadcast(items)
     text = F.col(sql_identifier(text_col))
@@ -161,12 +173,12 @@ def leaks(
         spread.join(items, "anchor")
         .filter((start >= 0) & (met == F.col("window")))
         .select(
-            "doc_id", "text_hash", "item_id", "item_windows", "item_position", (start - F.col("item_position")).alias("shift"),
+            "doc_id", "text_hash", "item_id", "item_windows", "short", "item_position", (start - F.col("item_position")).alias("shift"),
             "verbatim", F.struct("verbatim", "template", "item_words", cut("words").alias("doc_words")).alias("met"),
         )
     )
     # one row per alignment: bounded by the item's own windows
-    gathered = hits.groupBy("doc_id", "text_hash", "item_id", "item_windows", "shift").agg(
+    gathered = hits.groupBy("doc_id", "text_hash", "item_id", "item_windows", "short", "shift").agg(
         F.collect_set("item_position").alias("all_places"),
         F.collect_set(F.when(F.col("verbatim"), F.col("item_position"))).alias("verbatim_places"),
         F.collect_set("met").alias("met"),
@@ -178,13 +190,18 @@ def leaks(
     counted = aligned.withColumns(
         {name: F.when(consistent, F.col(f"all_{name}")).otherwise(F.col(f"verbatim_{name}")) for name in ("places", "pairs")}
     ).filter(F.size("places") > 0)
+    # windows in a row that make up RUN_WORDS words
+    least_run = F.least(F.lit(RUN_WORDS - WINDOW + 1), F.col("item_windows"))
+    in_order = counted.withColumns({"verbatim_places": F.array_sort("verbatim_places"), "least_run": least_run})
+    run_ends = F.filter("verbatim_places", lambda place, i: F.get("verbatim_places", i + F.col("least_run") - 1) == place + F.col("least_run") - 1)
     # an item interrupted by other words stands on several alignments
-    whole = counted.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
+    whole = in_order.withColumn("run", F.size(run_ends) > 0).groupBy("doc_id", "text_hash", "item_id", "item_windows", "short").agg(
+        F.max("run").alias("run"),
         F.sum(F.size("places")).alias("n"),
         F.sum(F.size("pairs")).alias("n_slots"),
         F.sum(F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))).alias("n_changed"),
     )
-    return whole.filter(100 * F.col("n") >= coverage_percent * F.col("item_windows")).select(
+    return whole.filter(F.col("run") | (100 * F.col("n") >= coverage_percent * F.col("item_windows"))).select(
         "doc_id",
         "text_hash",
         "item_id",
@@ -192,7 +209,7 @@ def leaks(
         F.col("item_windows").cast("long").alias("item_windows"),
         "n_slots",
         "n_changed",
-        F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("short"), "short").when(F.col("n_changed") == 0, "exact").otherwise("reparameterised").alias("kind"),
     )
 
 
@@ -213,5 +230,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 @register("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), short_items=True)
     return found.drop("text_hash")

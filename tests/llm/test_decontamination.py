@@ -99,3 +99,15 @@ def test_one_changed_value_leaves_the_equal_windows(spark):
     got = _found(spark, docs, [(1, item)])
     # by hand: 18 windows, of which 15 end before the second number
     assert {key: (r.kind, r.n_windows, r.n_changed) for key, r in got.items()} == {(1, 1): ("exact", 15, 0), (2, 1): ("reparameterised", 18, 1)}
+
+
+def test_runs_of_words_and_short_items(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    cut = lambda low, n: "start " + " ".join(words[low : low + n]) + " stop"
+    items = [(1, " ".join(words)), (2, "Blue whale"), (3, "..."), (4, "yes"), (5, "Who wrote the old red book?")]
+    docs = [(1, cut(50, 80)), (2, cut(287, 13)), (3, cut(20, 12)), (4, "a BLUE, whale swims"), (5, "blue and whale"), (6, "Yes"), (7, "..."), (8, "who wrote the old red book")]
+    docs.append((9, cut(0, 10) + " " + cut(100, 10)))
+    want = {(1, 1): ("exact", 73), (2, 1): ("exact", 6), (8, 5): ("exact", 1)}
+    assert {key: (r.kind, r.n_windows) for key, r in _found(spark, docs, items).items()} == want
+    want |= {(4, 2): ("short", 1), (6, 4): ("short", 1)}
+    assert {key: (r.kind, r.n_windows) for key, r in _found(spark, docs, items, short_items=True).items()} == want
