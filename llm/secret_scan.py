@@ -22,10 +22,14 @@ THRESHOLD = 0.5
 
 KEYWORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth[_-]?key|credential"
 _ASSIGNED = f"(?i:(?:{KEYWORDS}))[A-Za-z0-9_]{{0,20}}[\"']?[ \\t]{{0,3}}(?:[:=]|=>|:=)[ \\t]{{0,3}}[\"']?"
-_LONG = (
-    "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{16,200}={0,2}"
-)
-CANDIDATE = f"{_ASSIGNED}[^\\s\"'<>\\x01\\x02]{{6,200}}|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|{_LONG}"
+# every match goes on to the end of its run; possessive, so that a run is read once
+_LONG = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
+# up to the END line, if nothing but what stands in a key's lines (also quoted, in strings or comments) comes before it
+_KEY = (
+    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    "(?:(?:[A-Za-z0-9+/=\\s\\\\:,.;\"'|>#*]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
+)
+CANDIDATE = f"{_ASSIGNED}(?:{_KEY}|[^\\s\"'<>\\x01\\x02]{{6,}}+)|{_KEY}|{_LONG}"
 #: Only texts with one of these go through the candidate pattern.
 GATE = f"(?i:{KEYWORDS})|PRIVATE KEY|[A-Za-z0-9+/_-]{{16}}"
 

@@ -86,3 +86,41 @@ def test_query_finds_the_planted_tokens(spark):
     want = {(r.doc_id, m.start(1)) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
     got = {(r.doc_id, r.start) for r in scan.op9_secret_scan(spark, folder).filter("is_secret").collect()}
     assert want <= got
+
+
+def test_values_of_any_length(spark):
+    """Each value whole, 201 and 100,000 characters long, assigned or not, first digit late, and private keys to their END line."""
+    import zlib
+
+    rows, want = [], []
+    for n in (201, 100_000):
+        mixed = (HEX * (n // len(HEX) + 1))[:n]
+        late = "aBcD" * (n // 4) + "7"
+        for before, value, after in (('token = "', mixed, '" x'), ("see ", mixed, "== x"), ("see ", late, " x"), ("password: ", mixed[:-5] + ".$%&!", "\n")):
+            rows.append((len(rows), before + value + after, "s"))
+            want.append((len(want), len(before), value + ("==" if after.startswith("==") else "")))
+        body = "\n".join(mixed[i : i + 64] for i in range(0, n, 64))
+        for kind in ("RSA ", "OPENSSH ", ""):
+            key = f"-----BEGIN {kind}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n{body}=\n-----END {kind}PRIVATE KEY-----"
+            for before, text in (("k:\n", key), ('private_key = "', key.replace("\n", "\\n"))):
+                rows.append((len(rows), before + text + '"\nplain words', "s"))
+                want.append((len(want), len(before), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.start, r.candidate) for r in scan.candidates(docs).collect()]
+    assert sorted(got) == want
+    secrets = {r.doc_id: (r.length, r.is_secret) for r in scan.scan(docs).select("doc_id", "length", "is_secret").collect()}
+    assert all(secrets[d][0] == len(value) for d, _, value in want)
+    assert all(secrets[d][1] for d, _, value in want if value.startswith("-----BEGIN"))
+    folder = __import__("tempfile").mkdtemp()
+    docs.write.parquet(f"{folder}/documents.parquet")
+    query = {r.doc_id: (r.length, r.candidate_crc32) for r in scan.op9_secret_scan(spark, folder).collect()}
+    assert query == {d: (len(value), zlib.crc32(value.encode())) for d, _, value in want}
+
+
+def test_keys_without_end_line(spark):
+    """A header alone stays the candidate; a text of many headers is read once."""
+    begin = "-----BEGIN RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"{begin} (cut) {begin}\nabc", "s"), (2, f"{begin}\n" * 50_000, "s")], "doc_id long, text string, source string")
+    rows = scan.candidates(docs).filter("doc_id = 1").collect()
+    assert [r.candidate for r in rows] == [begin] * 2
+    assert scan.CANDIDATE and len(re.findall(scan.CANDIDATE, f"{begin}\n" * 50_000)) == 50_000
