@@ -133,6 +133,74 @@ for _kind in CC_KINDS:
         FAMILIES.append((_label, "cc by", f"cc {_short}{_number}(?: license)?"))
         FAMILIES.append((_label, "creative commons", f"creative commons (?:{_short}|{_long})(?: license)?{_number}"))
 
+_ONLY = "(?: only| or later)?"
+#: SPDX ids that the names above do not match, as words: (label, id, verbs of a grant).
+#: "in use": what is "available under Python" is no license, so only "licensed under" counts.
+SPDX_IDS = [
+    ("mit", "mit", "any"),
+    ("isc", "isc", "any"),
+    ("zlib", "zlib", "any"),
+    ("x11", "x11", "in use"),
+    ("libpng", "libpng(?: 2 0)?", "in use"),
+    ("epl-1.0", "epl 1 0", "any"),
+    ("epl-2.0", "epl 2 0", "any"),
+    ("cddl-1.0", "cddl 1 0", "any"),
+    ("cddl-1.1", "cddl 1 1", "any"),
+    ("cpl-1.0", "cpl 1 0", "any"),
+    ("mpl-1.0", "mpl 1 0", "any"),
+    ("artistic-1.0", "artistic 1 0(?: perl| cl8)?", "any"),
+    ("artistic-2.0", "artistic 2 0", "any"),
+    ("bsl-1.0", "bsl 1 0", "any"),
+    ("ms-pl", "ms pl", "any"),
+    ("ms-rl", "ms rl", "any"),
+    ("eupl-1.1", "eupl 1 1", "any"),
+    ("eupl-1.2", "eupl 1 2", "any"),
+    ("ofl-1.1", "ofl 1 1(?: rfn| no rfn)?", "any"),
+    ("odbl-1.0", "odbl 1 0", "any"),
+    ("odc-by-1.0", "odc by 1 0", "any"),
+    ("pddl-1.0", "pddl 1 0", "any"),
+    ("python-2.0", "python 2 0(?: 1)?", "in use"),
+    ("python-2.0", "psf 2 0", "any"),
+    ("php-3.01", "php 3 01", "in use"),
+    ("postgresql", "postgresql", "in use"),
+    ("openssl", "openssl", "in use"),
+    ("ncsa", "ncsa", "any"),
+    ("ecl-2.0", "ecl 2 0", "any"),
+    ("afl-3.0", "afl 3 0", "any"),
+    ("osl-3.0", "osl 3 0", "any"),
+    ("upl-1.0", "upl 1 0", "any"),
+    ("vim", "vim", "in use"),
+    ("json", "json", "in use"),
+    ("ruby", "ruby", "in use"),
+    ("w3c", "w3c", "in use"),
+    ("unicode-dfs", "unicode dfs", "any"),
+    ("sspl-1.0", "sspl 1 0", "any"),
+    ("busl-1.1", "busl 1 1", "any"),
+    ("elastic-2.0", "elastic 2 0", "any"),
+    ("mulanpsl-2.0", "mulanpsl 2 0", "any"),
+    ("blueoak-1.0.0", "blueoak 1 0 0", "any"),
+    ("gfdl-1.1", f"gfdl 1 1(?: invariants| no invariants)?{_ONLY}", "any"),
+    ("gfdl-1.2", f"gfdl 1 2(?: invariants| no invariants)?{_ONLY}", "any"),
+    ("gfdl-1.3", f"gfdl 1 3(?: invariants| no invariants)?{_ONLY}", "any"),
+]
+_VERBS = {"any": "(?:licensed|licenced|released|distributed|published|provided|available|redistributed)", "in use": "(?:licensed|licenced)"}
+_TERMS = "(?: terms| conditions)?(?: and conditions)?"
+
+
+def _of_id(label: str, name: str, verbs: str) -> list[Rule]:
+    """An id under a tag, in grants and before "licensed"; keywords are short of words that stand in any text."""
+    first = name.split("(")[0]
+    grant = f"{_VERBS[verbs]} under"
+    return [
+        Rule(1, label, "spdx license identifier", f"spdx license identifier {name}"),
+        Rule(1, label, f"under {first}", f"{grant} {name}"),
+        Rule(1, label, f"the {first}", f"{grant} the {name}"),
+        Rule(1, label, f"of {first}", f"{grant}(?: the)?{_TERMS} of {name}"),
+        Rule(1, label, f"of the {first}", f"{grant}(?: the)?{_TERMS} of the {name}"),
+        Rule(1, label, f"{first} licen" if first == name else first, f"{name} (?:licensed|licenced)"),
+    ]
+
+
 #: Names without a version and sentences of license texts.
 SINGLE = [
     Rule(3, "gpl", "gpl", "gpl"),
@@ -162,4 +230,5 @@ SINGLE = [
 RULES = [
     *(Rule(priority, label, keyword, form.format(name=f"(?:{name})")) for label, keyword, name in FAMILIES for priority, form in FORMS),
     *SINGLE,
+    *(rule for of_id in SPDX_IDS for rule in _of_id(*of_id)),
 ]

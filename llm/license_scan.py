@@ -33,7 +33,16 @@ def gate_pattern(rules: list[Rule]) -> str:
     words = {rule.keyword for rule in rules} | {phrase for phrase, _ in BASE}
     shortest = sorted(w for w in words if not any(o != w and w.startswith(o) for o in words))
     # keywords start words, so they are only tried behind something that is no word
-    return f"(?i)(?:^|{_BETWEEN_ANY_CASE})(?:" + "|".join(w.replace(" ", f"{_BETWEEN_ANY_CASE}++") for w in shortest) + ")"
+    return f"(?i)(?:^|{_BETWEEN_ANY_CASE}){_one_of(shortest)}"
+
+
+def _one_of(words: list[str]) -> str:
+    """An expression for any of some words, none the start of another; what they start with is tried once."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(word[1:])
+    branches = [(f"{_BETWEEN_ANY_CASE}++" if c == " " else c) + (_one_of(rest) if rest[0] else "") for c, rest in tails.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
 def _blanks(text: Column) -> Column:
@@ -61,13 +70,17 @@ def _places(words: Column, pattern: Column) -> Column:
 def _detections(words: Column, rules: list[Rule]) -> Column:
     """Matches of all rules whose keyword is there, sorted by start, longest first, then strength."""
     # one folded literal; hundreds of struct expressions would be analysed one by one
-    entries = [[rule.priority, i, rule.label, rule.keyword, rule.pattern] for i, rule in enumerate(rules)]
-    names = ("priority", "rank", "label", "keyword", "pattern")
+    by_keyword: dict[str, list[dict]] = {}
+    for i, rule in enumerate(rules):
+        entry = {"priority": rule.priority, "rank": i, "label": rule.label, "pattern": rule.pattern}
+        by_keyword.setdefault(rule.keyword, []).append(entry)
+    # rules of one keyword together, so that a text is searched for it once
     table = F.from_json(
-        F.lit(json.dumps([dict(zip(names, entry, strict=True)) for entry in entries])),
-        "array<struct<priority:int,rank:int,label:string,keyword:string,pattern:string>>",
+        F.lit(json.dumps([{"keyword": keyword, "rules": entries} for keyword, entries in by_keyword.items()])),
+        "array<struct<keyword:string,rules:array<struct<priority:int,rank:int,label:string,pattern:string>>>>",
     )
-    near = F.filter(table, lambda rule: F.contains(words, rule["keyword"]))
+    there = F.filter(table, lambda group: F.contains(words, group["keyword"]))
+    near = F.flatten(F.transform(there, lambda group: group["rules"]))
     found = F.transform(
         near,
         lambda rule: F.transform(

@@ -130,3 +130,37 @@ def test_empty_table_and_plan(spark):
     assert scan.scan(docs).count() == 0
     plan = scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+#: SPDX ids as they stand in tags, and the label of each family.
+TAGS = {
+    "MIT": "mit", "MIT-0": "mit-0", "ISC": "isc", "Zlib": "zlib", "X11": "x11", "Libpng": "libpng", "EPL-1.0": "epl-1.0", "EPL-2.0": "epl-2.0",
+    "CDDL-1.0": "cddl-1.0", "CDDL-1.1": "cddl-1.1", "CPL-1.0": "cpl-1.0", "Artistic-1.0": "artistic-1.0", "Artistic-2.0": "artistic-2.0",
+    "BSL-1.0": "bsl-1.0", "MS-PL": "ms-pl", "MS-RL": "ms-rl", "EUPL-1.1": "eupl-1.1", "EUPL-1.2": "eupl-1.2", "OFL-1.1": "ofl-1.1",
+    "PostgreSQL": "postgresql", "OpenSSL": "openssl", "NCSA": "ncsa", "Python-2.0": "python-2.0", "PHP-3.01": "php-3.01", "Ruby": "ruby",
+    "Vim": "vim", "UPL-1.0": "upl-1.0", "AFL-3.0": "afl-3.0", "OSL-3.0": "osl-3.0", "ECL-2.0": "ecl-2.0", "SSPL-1.0": "sspl-1.0",
+    "BUSL-1.1": "busl-1.1", "Elastic-2.0": "elastic-2.0", "ODbL-1.0": "odbl-1.0", "ODC-By-1.0": "odc-by-1.0", "PDDL-1.0": "pddl-1.0",
+    "GFDL-1.1-only": "gfdl-1.1", "GFDL-1.2-or-later": "gfdl-1.2", "GFDL-1.3-only": "gfdl-1.3", "JSON": "json", "W3C": "w3c",
+    "Unicode-DFS-2016": "unicode-dfs", "MulanPSL-2.0": "mulanpsl-2.0", "BlueOak-1.0.0": "blueoak-1.0.0", "MPL-1.0": "mpl-1.0",
+    "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2.0", "Apache-1.0": "apache-1.0", "Apache-1.1": "apache-1.1", "Apache-2.0": "apache-2.0",
+    "0BSD": "0bsd", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "BSD-4-Clause": "bsd-4-clause", "GPL-1.0-only": "gpl-1.0",
+    "GPL-2.0-or-later": "gpl-2.0", "GPL-3.0-only": "gpl-3.0", "LGPL-2.0-only": "lgpl-2.0", "LGPL-2.1-only": "lgpl-2.1", "LGPL-3.0-only": "lgpl-3.0",
+    "AGPL-3.0-only": "agpl-3.0", "Unlicense": "unlicense", "WTFPL": "wtfpl", "Beerware": "beerware", "CECILL-2.1": "cecill-2.1",
+    "CC0-1.0": "cc0-1.0", "CC-BY-4.0": "cc-by-4.0", "CC-BY-NC-SA-3.0": "cc-by-nc-sa-3.0", "PolyForm-Noncommercial-1.0.0": "polyform-nc",
+}
+GRANTS = [
+    ("released under MIT", "mit"), ("It is MIT licensed.", "mit"), ("available under the terms of the ISC", "isc"), ("Distributed under the EPL-2.0", "epl-2.0"),
+    ("licensed under Ruby", "ruby"), ("provided under the terms and conditions of BSL-1.0", "bsl-1.0"), ("available under Python 2.0", ""), ("mit der Lizenz", ""),
+]
+
+
+def test_tags_and_grants_of_ids(spark):
+    texts = [(f"// SPDX-License-Identifier: {tag}\n", label) for tag, label in TAGS.items()] + GRANTS
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in scan.scan(docs).collect()}
+    for i, (text, label) in enumerate(texts):
+        assert [d.label for d in got[i].detections if d.priority == 1] == [label] * bool(label), text
+        assert got[i].score == float(bool(label)), text
+    # every family that has a version or a name is tagged here; the rest of creative commons differs in its parts only
+    labels = {r.label for r in RULES if r.priority == 1 and not r.label.startswith("cc-")}
+    assert labels - set(TAGS.values()) <= {"bsd", "gpl"}
