@@ -23,6 +23,14 @@ def spoken_lines(text: bytes) -> list[bytes]:
     return [stripped for line in text.split(b"\n") if (stripped := line.strip())]
 
 
+def _run_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hash of each run: a polynomial in the lines' scrambled hashes, from sums over all lines before."""
+    powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), _POWER, np.uint64))))
+    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), pow(_POWER, -1, 1 << 64), np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers[:-1])))
+    return wordkernel.mix((sums[stops] - sums[starts]) * inverse[starts] ^ (stops - starts).astype(np.uint64))
+
+
 def winnow(hashes: np.ndarray, words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chosen line, its hash, window's hash) of every window of a document.
 
@@ -38,12 +46,25 @@ def winnow(hashes: np.ndarray, words: np.ndarray, least_words: int) -> tuple[np.
     chosen = np.empty(len(stops), np.int64)
     for k, (low, high) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
         chosen[k] = high - 1 - int(np.argmin(order[low:high][::-1]))
-    # hash of the run: a polynomial in the line hashes, from sums over all lines before
-    powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), _POWER, np.uint64))))
-    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), pow(_POWER, -1, 1 << 64), np.uint64))))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(order * powers[:-1])))
-    runs = wordkernel.mix((sums[stops] - sums[starts]) * inverse[starts] ^ (stops - starts).astype(np.uint64))
-    return chosen, hashes[chosen], runs
+    return chosen, hashes[chosen], _run_hashes(order, starts, stops)
+
+
+def shortest_runs(hashes: np.ndarray, words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash of the run, second hash of it) of the shortest runs of ``least_words`` words that end or start at a line.
+
+    Every line of a longer run lies in one of these inside that run: the one that
+    starts at the line, or, where the run's end leaves too few words for that, the
+    one that ends with the run.
+    """
+    before = np.concatenate(([0], np.cumsum(words)))
+    ends = np.flatnonzero(before[1:] >= least_words) + 1
+    begun = np.searchsorted(before, before[ends] - least_words, side="right") - 1
+    begins = np.flatnonzero(before[:-1] <= before[-1] - least_words)
+    ended = np.searchsorted(before, before[begins] + least_words, side="left")
+    both = np.unique(np.stack([np.concatenate((begun, begins)), np.concatenate((ends, ended))], axis=1), axis=0)
+    starts, stops = both[:, 0], both[:, 1]
+    codes = wordkernel.mix(hashes)
+    return starts, stops, _run_hashes(codes, starts, stops), _run_hashes(wordkernel.mix(~codes), starts, stops)
 
 
 def repeated_runs(mine: np.ndarray, other: np.ndarray, shift: int, anchors: np.ndarray) -> list[tuple[int, int]]:
@@ -86,6 +107,48 @@ def _windows(least_words: int):
     return batches
 
 
+def _shortest(least_words: int):
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = [np.zeros((5, 0), np.int64)]
+            for d, hashes, words in zip(batch.column("d").to_pylist(), batch.column("hashes"), batch.column("words"), strict=True):
+                values = hashes.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                if len(values):
+                    starts, stops, run, check = shortest_runs(values, words.values.to_numpy(zero_copy_only=False), least_words)
+                    rows.append(np.stack([np.full(len(starts), d, np.int64), starts, stops, run.view(np.int64), check.view(np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in np.concatenate(rows, axis=1)], ["d", "start", "stop", "run", "check"])
+
+    return batches
+
+
+def _joined(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching runs of each document as one."""
+    for batch in source:
+        out = []
+        for runs in batch.column("runs").to_pylist():
+            merged: list[dict] = []
+            for start, stop in sorted((run["start"], run["stop"]) for run in runs):
+                if merged and start <= merged[-1]["stop"]:
+                    merged[-1]["stop"] = max(merged[-1]["stop"], stop)
+                else:
+                    merged.append({"start": start, "stop": stop})
+            out.append(merged)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, kind)], ["d", "__runs"])
+
+
+def _runs_of_any_place(sorted_lines: DataFrame, least_words: int) -> DataFrame:
+    """``d, __runs``: the lines of runs that stand at any earlier place."""
+    shape = "d bigint, start bigint, stop bigint, run bigint, check bigint"
+    places = stage(sorted_lines.select("d", "hashes", "words").mapInArrow(_shortest(least_words), shape), "windows")
+    originals = (
+        places.groupBy("run", "check").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
+    later = places.join(originals, ["run", "check"]).filter(F.struct("d", "start") > F.col("first"))
+    gathered = later.groupBy("d").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    return gathered.mapInArrow(_joined, "d bigint, __runs array<struct<start:bigint,stop:bigint>>")
+
+
 def _extend(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         docs, starts, stops = [], [], []
@@ -99,6 +162,25 @@ def _extend(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, stops)], ["d", "start", "stop"])
 
 
+def _runs_of_first_place(sorted_lines: DataFrame, least_words: int) -> DataFrame:
+    """``d, __runs``: the runs that extend from a window's first place."""
+    places = stage(sorted_lines.select("d", "hashes", "words").mapInArrow(_windows(least_words), "d bigint, line bigint, mark bigint, run bigint"), "windows")
+    originals = (
+        places.groupBy("mark", "run").agg(F.min(F.struct("d", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
+    later = places.join(originals, ["mark", "run"]).filter(F.struct("d", "line") > F.col("first"))
+    # one row per pair of documents and distance of lines
+    matches = later.groupBy("d", F.col("first.d").alias("d0"), (F.col("first.line") - F.col("line")).alias("shift")).agg(
+        F.collect_set("line").alias("anchors")
+    )
+    arrays = sorted_lines.select("d", "hashes")
+    aligned = matches.join(arrays.withColumnRenamed("hashes", "mine"), "d").join(
+        arrays.withColumnsRenamed({"d": "d0", "hashes": "other"}), "d0"
+    )
+    runs = aligned.select("d", "shift", "anchors", "mine", "other").mapInArrow(_extend, "d bigint, start bigint, stop bigint")
+    return runs.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__runs"))
+
+
 def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
     """Each text without the lines of its runs (counted among lines with a word)."""
     out = []
@@ -120,7 +202,12 @@ def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
 
 
 def dedup_lines(
-    docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", into: str = "dropped_runs"
+    docs: DataFrame,
+    least_words: int = LEAST_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    into: str = "dropped_runs",
+    every_place: bool = False,
 ) -> DataFrame:
     """Delete later repetitions of runs of lines; every document stays.
 
@@ -130,17 +217,26 @@ def dedup_lines(
 
     Documents stand in the order of id (null first), then row hash; equal rows in
     any order among themselves. Lines are compared without white space at their
-    ends. Every window of lines that holds ``least_words`` words is looked up by
-    the hash of its chosen line and of the whole window; its first place in the
-    order, within a document from the top, is the original. All later places are
-    joined with that one, extended up and down as long as lines are equal, and
-    deleted. A deleted line therefore always has an equal earlier one, and the
-    earliest never goes. Every repeated run of ``least_words`` words or more goes,
-    however often it stands; shorter ones stay. Blank lines stay.
+    ends.
+
+    With ``every_place``, a line is deleted if it lies in a run of ``least_words``
+    words or more that stands at any earlier place too, in another document or
+    further up. Each line's shortest runs of that many words, downwards and upwards,
+    are looked up by hash; all but the first place of each in the order go. Deleted
+    lines that touch are one run.
+
+    Without, a run is compared with one place only: every window of lines that holds
+    ``least_words`` words is looked up by the hash of its chosen line and of the whole
+    window; its first place is the original. All later places are joined with that
+    one, extended up and down as long as lines are equal, and deleted. Lines at the
+    edge of a run that equal another earlier place, but not the first, stay.
+
+    A deleted line always has an equal earlier one, and the earliest never goes.
+    Shorter runs stay. Blank lines stay.
 
     Null texts stay null; empty texts have no lines. Texts of one line can only
-    go whole. An empty table stays empty. The matching work is one row per line,
-    each joined with one original: no pairs among repetitions.
+    go whole. An empty table stays empty. The matching work is one row per line (two
+    with ``every_place``), each joined with one original: no pairs among repetitions.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -155,21 +251,8 @@ def dedup_lines(
         .withColumn("d", F.monotonically_increasing_id()),
         "sorted-lines",
     )
-    places = stage(sorted_lines.select("d", "hashes", "words").mapInArrow(_windows(least_words), "d bigint, line bigint, mark bigint, run bigint"), "windows")
-    originals = (
-        places.groupBy("mark", "run").agg(F.min(F.struct("d", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    )
-    later = places.join(originals, ["mark", "run"]).filter(F.struct("d", "line") > F.col("first"))
-    # one row per pair of documents and distance of lines
-    matches = later.groupBy("d", F.col("first.d").alias("d0"), (F.col("first.line") - F.col("line")).alias("shift")).agg(
-        F.collect_set("line").alias("anchors")
-    )
-    arrays = sorted_lines.select("d", "hashes")
-    aligned = matches.join(arrays.withColumnRenamed("hashes", "mine"), "d").join(
-        arrays.withColumnsRenamed({"d": "d0", "hashes": "other"}), "d0"
-    )
-    runs = aligned.select("d", "shift", "anchors", "mine", "other").mapInArrow(_extend, "d bigint, start bigint, stop bigint")
-    dropped = stage(runs.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__runs")), "dropped")
+    find = _runs_of_any_place if every_place else _runs_of_first_place
+    dropped = stage(find(sorted_lines, least_words), "dropped")
     number = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("d")).alias("__copy")
     cuts = sorted_lines.select("__id", "__hash", "d", number).join(dropped, "d").select("__id", "__hash", "__copy", "__runs")
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
@@ -181,7 +264,7 @@ def dedup_lines(
 
 @register("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every_place=True)
     gone = F.aggregate("dropped_runs", F.lit(0).cast("long"), lambda total, run: total + run["stop"] - run["start"])
     return cut.select(
         "doc_id",

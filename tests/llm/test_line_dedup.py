@@ -123,3 +123,44 @@ def test_query_on_given_table(spark):
 
 def test_empty_table(spark):
     assert dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def expected_of_any_place(rows, least):
+    """Every run of enough words, compared with all places before it."""
+    seen, gone = set(), []
+    for _, text in rows:
+        lines = [line.strip() for line in (text or "").split("\n") if line.strip()]
+        gone.append(set())
+        for start in range(len(lines)):
+            for stop in range(start + 1, len(lines) + 1):
+                run = tuple(lines[start:stop])
+                if sum(len(line.split()) for line in run) >= least:
+                    if run in seen:
+                        gone[-1] |= set(range(start, stop))
+                    seen.add(run)
+    return gone
+
+
+def test_every_earlier_place(spark):
+    """A heading that only a later copy has goes too, as any run that stands before."""
+    passage, heading = " ".join(map(str, range(60))), "a heading of five words"
+    by_hand = [(0, passage), (1, f"{heading}\n{passage}"), (2, f"{heading}\n{passage}\nend"), (3, f"{passage}\nend")]
+    for rows, least, want in ((by_hand, 50, [set(), {1}, {0, 1}, {0, 1}]), *((rows, 10, expected_of_any_place(rows, 10)) for rows in (corpus(1), corpus(2)))):
+        assert want == expected_of_any_place(rows, least)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        for row in dedup.dedup_lines(docs, least_words=least, every_place=True).collect():
+            gone = [line for run in row.dropped_runs for line in range(run.start, run.stop)]
+            assert len(gone) == len(set(gone)) and set(gone) == want[row.doc_id], row.doc_id
+            assert row.text == _without(rows[row.doc_id][1], gone)
+
+
+def test_query_takes_every_place(spark):
+    import tempfile
+
+    folder, passage = tempfile.mkdtemp(), " ".join(map(str, range(60)))
+    spark.createDataFrame([(0, passage), (1, f"h\n{passage}"), (2, f"h\n{passage}")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    assert sorted((r.doc_id, r.n_runs, r.run_lines) for r in dedup.op3_line_dedup(spark, folder).collect()) == [(0, 0, 0), (1, 1, 1), (2, 1, 2)]
+
+
+def test_empty_table_of_every_place(spark):
+    assert dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), every_place=True).count() == 0
