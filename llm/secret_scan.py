@@ -182,13 +182,13 @@ SEED_FINDINGS = [
 def train(labelled: DataFrame, most_labelled: int = MOST_LABELLED) -> RandomForestClassificationModel:
     """A forest from rows with FEATURES and ``label``; null labels are left out.
 
-    At most ``most_labelled`` findings, those of the smallest hashes, and the seed
-    findings are used. They are put in one order, so equal findings give equal
+    At most ``most_labelled`` distinct findings, those of the smallest hashes, and the
+    seed findings are used. They are put in one order, so equal findings give equal
     trees.
     """
     spark = labelled.sparkSession
     seeds = with_features(spark.createDataFrame(SEED_FINDINGS, "path string, before string, candidate string, after string, label double"))
-    used = labelled.filter("label IS NOT NULL").select(*FEATURES, "label", F.xxhash64("candidate", "before", "after", "path").alias("order"))
+    used = labelled.filter("label IS NOT NULL").select(*FEATURES, "label", F.xxhash64("candidate", "before", "after", "path").alias("order")).distinct()
     # top n by hash: each task keeps n rows at most
     sample = used.orderBy("order", *FEATURES).limit(most_labelled).drop("order").unionByName(seeds.select(*FEATURES, "label"))
     rows = sample.coalesce(1).sortWithinPartitions(*FEATURES, "label")

@@ -124,3 +124,12 @@ def test_keys_without_end_line(spark):
     rows = scan.candidates(docs).filter("doc_id = 1").collect()
     assert [r.candidate for r in rows] == [begin] * 2
     assert scan.CANDIDATE and len(re.findall(scan.CANDIDATE, f"{begin}\n" * 50_000)) == 50_000
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [("a.py", 'token = "', f"{HEX[i:]}{i}Zq", '"', float(i % 2)) for i in range(12)]
+    trees = []
+    for copies in (1, 50):
+        found = scan.with_features(spark.createDataFrame(rows * copies, "path string, before string, candidate string, after string, label double"))
+        trees.append(scan.train(found, most_labelled=10).toDebugString.split("\n", 1)[1])
+    assert trees[0] == trees[1]
