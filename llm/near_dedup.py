@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import wordkernel
-from llm.frames import join_rows, read_table, require, row_key, shuffle_width, sql_identifier, stage
+from llm.frames import join_rows, read_table, require, row_key, running_totals, shuffle_width, sql_identifier, stage
 from llm.registry import register
 
 #: Words per shingle and similarity (percent) of the pipeline and the general operator.
@@ -347,6 +347,13 @@ def _inside_families(size: int, percent: int):
     return batches
 
 
+def _family_blocks(state: DataFrame) -> DataFrame:
+    """``family, block, c, component``: the classes of each family cut at equal weights along their components, in key ranges."""
+    weighed = state.withColumn("weight", F.greatest(F.col("n_shingles"), F.lit(CLASS_WEIGHT)))
+    placed = running_totals(weighed, ["component", "c"], ["weight"], ["family"])
+    return placed.select("family", F.floor(F.col("before_weight") / FAMILY_BLOCK).cast("int").alias("block"), "c", "component")
+
+
 def _links(corpus: _Corpus, percent: int) -> DataFrame:
     """Edges between classes that connect exactly the classes that similar pairs connect.
 
@@ -392,14 +399,7 @@ def _links(corpus: _Corpus, percent: int) -> DataFrame:
 
     # one family: those that are not connected as a whole, in blocks along their components
     mixed = state.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family")
-    along = Window.partitionBy("family").orderBy("component", "c").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.greatest(F.col("n_shingles"), F.lit(CLASS_WEIGHT))
-    members = stage(
-        state.join(mixed, "family")
-        .withColumn("block", F.floor(F.coalesce(F.sum(weight).over(along), F.lit(0)) / FAMILY_BLOCK).cast("int"))
-        .select("family", "block", "c", "component"),
-        "families",
-    )
+    members = stage(_family_blocks(state.join(mixed, "family")), "families")
     pairs = _block_pairs(members.groupBy("family", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), "family")
     dealt = members.join(pairs, ["family", "block"]).join(texts, "c")
     dealt = dealt.select("family", "i", "j", "block", "c", "component", "text").repartition(width, "family", "i", "j")

@@ -128,3 +128,18 @@ def test_overlaps():
     got = near.overlaps(sets[:4], sets[4:])
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
     assert near.overlaps([], sets).shape == (0, 9)
+
+
+def test_one_family_is_cut_in_key_ranges(spark, monkeypatch):
+    """Blocks are prefix sums along the components; no task takes a whole family."""
+    rows = [(7, c, c // 3, 5 + c % 40) for c in range(4000)] + [(8, 9000 + c, 9000, 1) for c in range(5)]
+    state = spark.createDataFrame(rows, "family long, c long, component long, n_shingles long").repartition(4)
+    groups, totals = [], near.running_totals
+    monkeypatch.setattr(near, "running_totals", lambda *args: (groups.append(args[-1]), totals(*args))[1])
+    got = {r.c: r.block for r in near._family_blocks(state).collect()}
+    before = {7: 0, 8: 0}
+    for family, c, _, n in rows:
+        assert got[c] == before[family] // near.FAMILY_BLOCK
+        before[family] += max(n, near.CLASS_WEIGHT)
+    assert len(got) == len(rows)
+    assert groups == [["family"]]
