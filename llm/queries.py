@@ -2,6 +2,7 @@
 
 from llm import (  # noqa: F401
     decontamination,
+    language_id,
     license_scan,
     line_dedup,
     mixing,

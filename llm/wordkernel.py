@@ -88,20 +88,23 @@ class Words:
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
         self.start, self.end = edge[0::2], edge[1::2]
         self.bounds = np.concatenate(([0], np.searchsorted(self.start, self.text_end)))
-        self.code = self._codes()
-
-    def _codes(self) -> np.ndarray:
-        powers, inverse = _power_tables(len(self.raw) + 1)
-        terms = BYTE_CODE[self.raw]
-        terms *= powers[: len(self.raw)]
-        sums = np.empty(len(terms) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(terms, out=sums[1:])
-        codes = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        codes = mix(codes ^ (self.end - self.start).astype(np.uint64))
-        for i in np.flatnonzero(self.end - self.start > LONG_WORD):
-            codes[i] = digest64(self.bytes[self.start[i] : self.end[i]])
-        return codes
+        self.code = span_codes(self.bytes, self.start, self.end)
+
+
+def span_codes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges ``start[i]:end[i]`` of ``data``."""
+    raw = np.frombuffer(data, np.uint8)
+    powers, inverse = _power_tables(len(raw) + 1)
+    terms = BYTE_CODE[raw]
+    terms *= powers[: len(raw)]
+    sums = np.empty(len(terms) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(terms, out=sums[1:])
+    codes = (sums[end] - sums[start]) * inverse[start]
+    codes = mix(codes ^ (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        codes[i] = digest64(data[start[i] : end[i]])
+    return codes
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
