@@ -7,6 +7,7 @@ from llm import (  # noqa: F401
     line_dedup,
     mixing,
     near_dedup,
+    phrases,
     quality_classifier,
     quality_rules,
     secret_scan,
