@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from llm import (  # noqa: F401
+    alignment,
     decontamination,
     language_id,
     license_scan,
