@@ -40,6 +40,8 @@ NO_LANGUAGE = "und"
 BITMAP_BITS = 1 << 26
 #: Bytes of dictionary text whose n-grams are added up before they leave a task.
 ROUND_BYTES = 1 << 24
+#: Rows whose texts are put together at once.
+ROW_BLOCK = 1 << 17
 #: Parts that a language's phrases are ranked in before the parts are ranked together.
 RANKING_PARTS = 16
 
@@ -160,18 +162,19 @@ def _rounds(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, np.n
     yield from close()
 
 
-def _summed(tokens: Tokens, codes: np.ndarray, at: np.ndarray, weight: np.ndarray, words: int) -> tuple[pa.Array, pa.Array]:
-    """Distinct n-grams as text and their weights' sums, n-grams told apart by hash."""
+def _summed(tokens: Tokens, codes: np.ndarray, at: np.ndarray, weight: np.ndarray, words: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Distinct n-grams as text and their weights' sums, in blocks; n-grams are told apart by hash."""
     unique, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
     totals = np.zeros(len(unique), np.int64)
     np.add.at(totals, inverse, weight)
     low, high = tokens.start[at[first]], tokens.end[at[first] + words - 1]
-    lengths = high - low
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    where = np.repeat(low - offsets[:-1], lengths) + np.arange(offsets[-1])
-    data = np.frombuffer(tokens.data, np.uint8)[where]
-    texts = pa.Array.from_buffers(pa.string(), len(unique), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-    return texts, pa.array(totals)
+    raw = np.frombuffer(tokens.data, np.uint8)
+    for k in range(0, len(unique), ROW_BLOCK):
+        lengths = high[k : k + ROW_BLOCK] - low[k : k + ROW_BLOCK]
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        where = np.repeat(low[k : k + ROW_BLOCK] - offsets[:-1], lengths) + np.arange(offsets[-1])
+        texts = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[where])])
+        yield texts, pa.array(totals[k : k + ROW_BLOCK])
 
 
 def _pair_codes(tokens: Tokens) -> np.ndarray:
@@ -183,12 +186,11 @@ def _bits(codes: np.ndarray, lang: str, bits: int) -> np.ndarray:
     return (wordkernel.mix(codes ^ np.uint64(wordkernel.digest64(lang.encode()))) % np.uint64(bits)).astype(np.int64)
 
 
-def _rows(lang: str, words: int, counted: tuple[pa.Array, pa.Array]) -> pa.RecordBatch:
-    texts, totals = counted
-    n = len(totals)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, words, np.int32)), texts, totals], ["lang", "words", "phrase", "f"]
-    )
+def _rows(lang: str, words: int, counted: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    for texts, totals in counted:
+        n = len(totals)
+        columns = [pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, words, np.int32)), texts, totals]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
 
 
 _GRAM = "lang string, words int, phrase string, f bigint"
@@ -201,9 +203,9 @@ def count_short(dictionary: DataFrame) -> DataFrame:
         for lang, data, weight in _rounds(source):
             tokens = Tokens(data)
             one = np.flatnonzero(tokens.word & (weight > 0))
-            yield _rows(lang, 1, _summed(tokens, tokens.code[one], one, weight[one], 1))
+            yield from _rows(lang, 1, _summed(tokens, tokens.code[one], one, weight[one], 1))
             two = np.flatnonzero(tokens.word[:-1] & tokens.word[1:] & (weight[:-1] > 0))
-            yield _rows(lang, 2, _summed(tokens, _pair_codes(tokens)[two], two, weight[two], 2))
+            yield from _rows(lang, 2, _summed(tokens, _pair_codes(tokens)[two], two, weight[two], 2))
 
     return dictionary.mapInArrow(count, _GRAM).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
@@ -242,7 +244,7 @@ def count_triples(dictionary: DataFrame, bitmap: np.ndarray) -> DataFrame:
             known = (shared.value[place >> 6] >> (place & 63)) & 1 != 0
             word = tokens.word
             at = np.flatnonzero(known[:-1] & known[1:] & word[:-2] & word[1:-1] & word[2:] & (weight[:-2] > 0))
-            yield _rows(lang, 3, _summed(tokens, wordkernel.mix(pair[at] + _STEP) ^ tokens.code[at + 2], at, weight[at], 3))
+            yield from _rows(lang, 3, _summed(tokens, wordkernel.mix(pair[at] + _STEP) ^ tokens.code[at + 2], at, weight[at], 3))
 
     return dictionary.mapInArrow(count, _GRAM).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
