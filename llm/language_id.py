@@ -222,8 +222,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 def _sample(rows: DataFrame, most: int) -> DataFrame:
     """At most ``most`` of ``rows`` (``key, text, label``), as even over the labels as they allow.
 
-    Rows are ordered by a hash of their key, equal keys by a hash of the text; a
-    first cut by the hash keeps what is numbered per label small.
+    Rows are ordered by a hash of their key, equal keys by a hash of the text. A
+    first cut by the hash keeps what is numbered per label small: the cuts, a row per
+    label, are broadcast, as the model with its weights per label is.
     """
     place = F.xxhash64(F.lit("language"), "key")
     hashed = rows.withColumn("place", F.shiftrightunsigned(place, 1))
@@ -231,7 +232,7 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     each = sizes.agg(F.greatest(F.lit(1), F.floor(F.lit(most) / F.count(F.lit(1)))).alias("each"))
     share = F.least(F.lit(1.0), (1.25 * F.col("each") + 100) / F.col("size"))
     cuts = sizes.join(F.broadcast(each)).select("label", "each", (share * float(2**63 - 1)).alias("cut"))
-    chosen = hashed.join(cuts, "label").filter(F.col("place") <= F.col("cut"))
+    chosen = hashed.join(F.broadcast(cuts), "label").filter(F.col("place") <= F.col("cut"))
     order = Window.partitionBy("label").orderBy("place", F.xxhash64("text"))
     return chosen.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("each")).select("place", "nth", "text", "label")
 
