@@ -17,6 +17,7 @@ from findrisk.operators.prompts import finding_prompts
 from findrisk.operators.scoring import (
     EXPOSURE_WEIGHTS, RANKED_COLUMNS, WEIGHTS, by_risk, hybrid_score, ranked_table, top_findings,
 )
+from findrisk.operators.training import BoostedModel
 from findrisk.storage import stage
 
 # Columns the score and the ranked table read beside the model probability.
@@ -53,7 +54,7 @@ def split_findings(
 
 def fit_model(
     parted: DataFrame, *, blocks: Sequence[str] = BLOCKS, vectors: bool = False, validation_share: float = 0.0, **settings
-) -> PipelineModel:
+) -> BoostedModel:
     """Fit a model on the train part; with a validation share, that part of it ends the rounds early."""
     rows = parted.filter("split = 'train'")
     if validation_share > 0:
@@ -74,7 +75,7 @@ def train_model(
     leave_one_out: bool = False,
     vectors: str | None = None,
     **settings,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[BoostedModel, DataFrame]:
     """Fit a model on the train part of the labelled findings.
 
     Returns the model and the split matrix (``split_findings``, ``fit_model``).
@@ -93,7 +94,7 @@ def train_model(
     return model, parted
 
 
-def evaluate_model(model: PipelineModel, parted: DataFrame, *, part: str = "test", threshold: float = 0.5) -> DataFrame:
+def evaluate_model(model: BoostedModel, parted: DataFrame, *, part: str = "test", threshold: float = 0.5) -> DataFrame:
     """AUC and threshold metrics of one part in one row."""
     scores = stage(
         training.predict(model, parted.filter(F.col("split") == part), keep=("finding_id", "label")), "predictions"
@@ -104,7 +105,7 @@ def evaluate_model(model: PipelineModel, parted: DataFrame, *, part: str = "test
 
 def score_findings(
     raw: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     as_of: str | datetime,
     *,
     blocks: Sequence[str] = BLOCKS,
@@ -123,7 +124,7 @@ def score_findings(
 
 
 def _carrying_matrix(
-    raw: DataFrame, model: PipelineModel, as_of: str | datetime, blocks: Sequence[str], leave_one_out: bool, vectors: str | None
+    raw: DataFrame, model: BoostedModel, as_of: str | datetime, blocks: Sequence[str], leave_one_out: bool, vectors: str | None
 ) -> DataFrame:
     """Feature matrix that also holds what the score and the ranked table read."""
     table = canonicalize(add_finding_id(raw))
@@ -133,14 +134,14 @@ def _carrying_matrix(
     )
 
 
-def _score_matrix(matrix: DataFrame, model: PipelineModel, weights: Mapping[str, float]) -> DataFrame:
+def _score_matrix(matrix: DataFrame, model: BoostedModel, weights: Mapping[str, float]) -> DataFrame:
     present = [name for name in dict.fromkeys([*RANKED_COLUMNS, *SCORE_INPUTS]) if name in matrix.columns]
     return hybrid_score(training.predict(model, matrix, keep=present), weights=weights)
 
 
 def explain_top(
     raw: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     as_of: str | datetime,
     *,
     n: int = 10,
@@ -165,7 +166,7 @@ def explain_top(
 
 def explain_cve(
     raw: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     as_of: str | datetime,
     cve_id: str,
     *,
@@ -191,7 +192,7 @@ def explain_cve(
 
 def prompt_top(
     raw: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     as_of: str | datetime,
     *,
     n: int = 10,

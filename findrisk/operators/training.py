@@ -1,30 +1,45 @@
-"""Boosted-tree training, prediction and storage with MLlib."""
+"""Boosted-tree training, prediction and storage."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from findrisk.operators import boosting
 from findrisk.operators.assembly import BLOCKS, align_features, feature_matrix
+from findrisk.operators.boosting import Settings, Tree
 from findrisk.operators.canonical import canonicalize, create_label, drop_unlabelled
-from findrisk.storage import ensure_checkpoint_dir, stage, staging_path
+from findrisk.storage import stage
 
 # Default training parameters.
-DEFAULTS = {"max_depth": 6, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "rounds": 500, "patience": 50, "seed": 42}
+DEFAULTS = {"max_depth": 6, "eta": 0.05, "subsample": 0.8, "colsample": 0.8, "l2": 1.0, "l1": 0.5, "rounds": 500, "patience": 50, "seed": 42}
 # Labelled rows that trees are grown from, and validation rows that choose how many trees stay, at most;
 # both are chosen by a hash of the finding id.
 MOST_ROWS = 100_000
 MOST_VALIDATION_ROWS = 20_000
-# Rounds of the first fit where validation may end the rounds early; two and a half times as many while it does not.
-FIRST_ROUNDS = 100
+
+
+@dataclass
+class BoostedModel:
+    """Trees over named features; the margin is the log-odds of label 1, half and half without any tree."""
+
+    names: list[str]
+    trees: list[Tree]
+    settings: dict = field(default_factory=dict)
+    vector_model: PipelineModel | None = None
+
+    def margins(self, matrix: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(matrix))
+        for tree in self.trees:
+            total += np.array(tree.value)[tree.leaves(matrix, False)]
+        return total
 
 
 def prepare_training(
@@ -55,21 +70,17 @@ def mark_validation(matrix: DataFrame, share: float = 0.1, seed: int = DEFAULTS[
     return matrix.withColumn("validation", chance < share)
 
 
-def _bounded(rows: DataFrame, most: int) -> DataFrame:
-    """The rows themselves if there are at most ``most``, else those of the smallest hashes of their ids."""
-    n = rows.count()
-    if n <= most:
+def _bounded(rows: DataFrame, most: int | None) -> DataFrame:
+    """The rows themselves if there are at most ``most`` (or that is None), else ``most`` of them, those of the smallest hashes of their ids."""
+    n = rows.count() if most is not None else 0
+    if most is None or n <= most:
         return rows
-    share = most / n
-    return rows.filter(F.pmod(F.xxhash64(F.lit("rows"), F.col("finding_id")), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-
-def _fit(rows: DataFrame, names: Sequence[str], label: str, rounds: int, settings: dict) -> PipelineModel:
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, checkpointInterval=10, maxMemoryInMB=1024, **settings
-    )
-    narrow = rows.select(*[F.col(name).cast("double").alias(name) for name in names], label)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), trees]).fit(narrow)
+    place = F.struct(F.pmod(F.xxhash64(F.lit("rows"), F.col("finding_id")), F.lit(1 << 62)).alias("h"), F.col("finding_id").alias("id"))
+    # a few more than wanted by the hash alone, then the exact last one among those
+    share = min(1.0, 1.1 * most / n + 100 / n)
+    last = rows.select(place.alias("place")).filter(F.col("place.h") <= int(share * (1 << 62))).orderBy("place").limit(most).agg(F.max("place").alias("last"))
+    # a single row
+    return rows.join(F.broadcast(last), place <= F.col("last")).drop("last")
 
 
 def train(
@@ -82,153 +93,102 @@ def train(
     eta: float = DEFAULTS["eta"],
     subsample: float = DEFAULTS["subsample"],
     colsample: float = DEFAULTS["colsample"],
+    l2: float = DEFAULTS["l2"],
+    l1: float = DEFAULTS["l1"],
+    least_hessian: float = 1.0,
     rounds: int = DEFAULTS["rounds"],
     patience: int = DEFAULTS["patience"],
     seed: int = DEFAULTS["seed"],
-    most_rows: int = MOST_ROWS,
-) -> PipelineModel:
-    """Fit boosted trees for a 0/1 label on at most ``most_rows`` rows.
-
-    ``validation`` names a boolean column: rows where it is true are held out, and
-    of the trees those up to the best area under the curve on these rows stay. The
-    rounds end once it has not risen for ``patience`` rounds. Trees do not depend on
-    the number of rounds, so a first fit of FIRST_ROUNDS is repeated with more
-    rounds only where the best one lies within its last ``patience``. Validation rows
-    should be part of the training data, not of the test data.
-
-    The estimator keeps its binned rows in memory or on local disk and cuts the
-    lineage of its residuals every ten rounds, for which it needs a checkpoint folder.
+    most_rows: int | None = MOST_ROWS,
+    most_validation_rows: int | None = MOST_VALIDATION_ROWS,
+    block_rows: int = boosting.BLOCK_ROWS,
+    max_bins: int = boosting.MAX_BINS,
+) -> BoostedModel:
+    """Fit boosted trees for a 0/1 label on at most ``most_rows`` rows (None: all).
+
+    ``validation`` names a boolean column: rows where it is true, at most
+    ``most_validation_rows``, are held out and judge every round by the area under
+    the curve. The rounds end once it has not risen for ``patience`` rounds, and the
+    trees up to the best round stay. Validation rows should be part of the training
+    data, not of the test data. ``l2`` and ``l1`` shrink the leaves;
+    ``least_hessian`` is the least sum of hessians on either side of a split.
     """
-    ensure_checkpoint_dir(matrix.sparkSession)
-    settings = dict(maxDepth=max_depth, stepSize=eta, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed)
-    if not validation:
-        return _fit(_bounded(matrix, most_rows), names, label, rounds, settings)
-    rows = stage(_bounded(matrix.filter(~F.col(validation)), most_rows), "training-rows")
-    held_out = stage(_bounded(matrix.filter(validation), MOST_VALIDATION_ROWS), "validation-rows")
-    tried = min(rounds, FIRST_ROUNDS)
-    while True:
-        model = _fit(rows, names, label, tried, settings)
-        best = best_prefix(model, held_out, names, label)
-        if tried >= rounds or best + patience <= tried:
-            return first_trees(model, best)
-        tried = min(rounds, 5 * tried // 2)
-
-
-def _tree_arrays(model: PipelineModel, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:
-    """Per tree: feature, threshold, left and right child, weighted value of every node; leaves are their own children."""
-    path = staging_path(spark, "trees")
-    model.stages[-1].write().save(path)
-    nodes: dict[int, dict[int, Row]] = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        nodes.setdefault(row["treeID"], {})[row["id"]] = row
-    out = []
-    for tree, weight in enumerate(model.stages[-1].treeWeights):
-        rows = [nodes[tree][i] for i in range(len(nodes[tree]))]
-        inner = np.array([row["leftChild"] >= 0 for row in rows])
-        out.append(
-            (
-                np.array([row["split"]["featureIndex"] if i else 0 for row, i in zip(rows, inner, strict=True)]),
-                np.array([row["split"]["leftCategoriesOrThreshold"][0] if i else 0.0 for row, i in zip(rows, inner, strict=True)]),
-                np.array([row["leftChild"] if i else k for k, (row, i) in enumerate(zip(rows, inner, strict=True))]),
-                np.array([row["rightChild"] if i else k for k, (row, i) in enumerate(zip(rows, inner, strict=True))]),
-                np.array([weight * row["prediction"] for row in rows]),
-            )
-        )
-    return out
-
-
-def best_prefix(model: PipelineModel, rows: DataFrame, names: Sequence[str], label: str = "label") -> int:
-    """Number of first trees with the largest area under the curve on ``rows``, the smallest such number.
-
-    ``rows`` are a bounded sample; each task handles the scores of one prefix.
-    """
-    trees = _tree_arrays(model, rows.sparkSession)
-
-    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[list(names)].to_numpy(float)
-            total = np.zeros(len(x))
-            for k, (feature, threshold, left, right, value) in enumerate(trees):
-                at = np.zeros(len(x), np.int64)
-                while True:
-                    goes = np.where(x[np.arange(len(x)), feature[at]] <= threshold[at], left[at], right[at])
-                    if (goes == at).all():
-                        break
-                    at = goes
-                total = total + value[at]
-                yield pd.DataFrame({"trees": k + 1, "margin": total, "label": batch["label"].to_numpy(float)})
-
-    def area(group: pd.DataFrame) -> pd.DataFrame:
-        ranks = group["margin"].rank().to_numpy()
-        positive = group["label"].to_numpy() > 0.5
-        n, m = int(positive.sum()), int((~positive).sum())
-        auc = (ranks[positive].sum() - n * (n + 1) / 2) / (n * m) if n and m else 0.5
-        return pd.DataFrame({"trees": [int(group["trees"].iloc[0])], "auc": [auc]})
-
-    narrow = rows.select(*[F.col(name).cast("double").alias(name) for name in names], F.col(label).cast("double").alias("label"))
-    scores = narrow.mapInPandas(margins, "trees int, margin double, label double")
-    areas = scores.groupBy("trees").applyInPandas(area, "trees int, auc double")
-    best = areas.orderBy(F.desc(F.round("auc", 12)), "trees").first()
-    return best["trees"] if best else len(trees)
-
-
-def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    settings = Settings(max_depth, eta, subsample, colsample, l2, l1, least_hessian, rounds, patience, seed)
+    columns = ["finding_id", label, *names]
+    if validation:
+        parts = [_bounded(matrix.filter(~F.col(validation)), most_rows), _bounded(matrix.filter(F.col(validation)), most_validation_rows)]
+        rows = parts[0].select(*columns, validation).unionByName(parts[1].select(*columns, validation))
+    else:
+        rows = _bounded(matrix, most_rows).select(*columns)
+    rows = stage(rows, "training-rows")
+    trees = boosting.boost(rows, names, label, validation, settings, block_rows=block_rows, max_bins=max_bins)
+    return BoostedModel(list(names), trees, asdict(settings))
+
+
+def first_trees(model: BoostedModel, n: int) -> BoostedModel:
     """The model cut to its first ``n`` trees."""
-    full = model.stages[-1]
-    if n >= full.getNumTrees:
-        return model
-    spark = SparkSession.active()
-    path = staging_path(spark, "cut-model")
-    full.write().save(f"{path}/full")
-    data = spark.read.parquet(f"{path}/full/data").filter(F.col("treeID") < n)
-    side = spark.read.parquet(f"{path}/full/treesMetadata")
-    side = side.filter(F.col(side.columns[0]) < n)  # the tree's number comes first
-    data.write.parquet(f"{path}/cut/data")
-    side.write.parquet(f"{path}/cut/treesMetadata")
-    about = spark.read.text(f"{path}/full/metadata").select(
-        F.regexp_replace("value", '"numTrees":\\d+', f'"numTrees":{n}').alias("value")
-    )
-    about.coalesce(1).write.text(f"{path}/cut/metadata")
-    return PipelineModel([model.stages[0], GBTClassificationModel.load(f"{path}/cut")])
+    return BoostedModel(model.names, model.trees[:n], model.settings, model.vector_model)
 
 
-def model_features(model: PipelineModel) -> list[str]:
+def model_features(model: BoostedModel) -> list[str]:
     """Feature names a trained model expects, in order."""
-    return model.stages[0].getInputCols()
+    return model.names
+
+
+def _with_margin(rows: DataFrame, model: BoostedModel, features: str, into: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(BoostedModel(model.names, model.trees))
+
+    def margins(column: pa.Array) -> pa.Array:
+        return pa.array(shared.value.margins(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)))
+
+    return rows.withColumn(into, F.arrow_udf(margins, "double")(F.col(features)))
 
 
-def predict(model: PipelineModel, matrix: DataFrame, keep: Sequence[str] = ("finding_id",)) -> DataFrame:
+def predict(model: BoostedModel, matrix: DataFrame, keep: Sequence[str] = ("finding_id",)) -> DataFrame:
     """Kept columns (features among them if named) plus ``ml_score``, the probability of the positive class."""
+    chance = 1 / (1 + F.exp(-F.col("_margin")))
+    return margins(model, matrix, keep, "_margin").select(*keep, chance.alias("ml_score"))
+
+
+def margins(model: BoostedModel, matrix: DataFrame, keep: Sequence[str] = ("finding_id",), into: str = "margin") -> DataFrame:
+    """Kept columns plus the margin of every row."""
     names = model_features(model)
     aligned = align_features(matrix, names, keep=[name for name in keep if name not in names])
-    return model.transform(aligned).select(*keep, vector_to_array("probability")[1].alias("ml_score"))
+    vector = F.array(*[F.col(name).cast("double") for name in names]).alias("_features")
+    return _with_margin(aligned.select(*keep, vector), model, "_features", into).select(*keep, into)
 
 
-def feature_vectors(model: PipelineModel, matrix: DataFrame, keep: Sequence[str] = ("finding_id",)) -> DataFrame:
+def feature_vectors(model: BoostedModel, matrix: DataFrame, keep: Sequence[str] = ("finding_id",)) -> DataFrame:
     """Kept columns plus ``features`` as an array, in the order of the model."""
     names = model_features(model)
     aligned = align_features(matrix, names, keep=keep)
     return aligned.select(*keep, F.array(*[F.col(name).cast("double") for name in names]).alias("features"))
 
 
-def vector_model_of(model: PipelineModel) -> PipelineModel | None:
+def vector_model_of(model: BoostedModel) -> PipelineModel | None:
     """Components of the text vectors a model was trained with, None if it was without."""
-    return getattr(model, "vector_model", None)
+    return model.vector_model
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Write a model and, if it has some, the components of its text vectors beside it."""
-    model.write().overwrite().save(path)
-    fitted = vector_model_of(model)
-    if fitted is not None:
-        fitted.write().overwrite().save(f"{path}/text_vectors")
+def save_model(model: BoostedModel, path: str) -> None:
+    """Write trees, feature names and training settings and, if the model has some, the components of its text vectors."""
+    spark = SparkSession.active()
+    spark.createDataFrame(boosting.tree_rows(model.trees), boosting.TREE_COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    about = json.dumps({"names": model.names, "settings": model.settings})
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/text_vectors")
+    if model.vector_model is not None:
+        model.vector_model.write().overwrite().save(f"{path}/text_vectors")
+    else:
+        # components of a model saved there before are not this one's
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> BoostedModel:
     """A saved model, with the components of its text vectors if it has some."""
-    model = PipelineModel.load(path)
     spark = SparkSession.active()
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    trees = boosting.trees_of(spark.read.parquet(f"{path}/trees").collect())
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/text_vectors")
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        model.vector_model = PipelineModel.load(f"{path}/text_vectors")
-    return model
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return BoostedModel(about["names"], trees, about["settings"], PipelineModel.load(f"{path}/text_vectors") if known else None)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_cve, explain_top, fit_model, prompt_top, score_findings, split_findings
@@ -16,22 +15,10 @@ from findrisk.plans.feature_queries import _LABEL_SQL
 from findrisk.plans.findings import AS_OF, findings, on, scored
 from findrisk.plans.registry import query, settle_sql, settled
 
-# Models fitted in this process, by application, folder and split: the ten queries about
-# a model ask about the same one, with the library's own rounds and patience.
-_fitted: dict[tuple, object] = {}
-
-
-def _model(spark: SparkSession, sf_dir: str, split: str, keep=()):
-    key = (spark.sparkContext.applicationId, sf_dir, split)
+def trained(spark: SparkSession, sf_dir: str, keep=(), split: str = "time"):
+    """Model fitted on the oldest 80 percent of labelled findings (or a random share), and the whole split matrix."""
     parted = split_findings(findings(spark, sf_dir), AS_OF, split=split, keep=keep)
-    if key not in _fitted:
-        _fitted[key] = fit_model(parted, validation_share=0.1)
-    return _fitted[key], parted
-
-
-def trained(spark: SparkSession, sf_dir: str, keep=()):
-    """Model fitted on the oldest 80 percent of labelled findings, and the whole split matrix."""
-    return _model(spark, sf_dir, "time", keep)
+    return fit_model(parted, validation_share=0.1), parted
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +43,7 @@ def train_evaluate_query(spark, sf_dir):
 @query("train_score_findings")
 def train_score_findings_query(spark, sf_dir):
     """Every finding, labelled or not, scored by a model trained on a random split and ranked."""
-    model, _ = _model(spark, sf_dir, "random")
+    model, _ = trained(spark, sf_dir, split="random")
     return by_risk(ranked_table(score_findings(findings(spark, sf_dir), model, AS_OF)))
 
 
@@ -119,7 +106,7 @@ def tree_contributions_check_query(spark, sf_dir):
     """Contributions of every test finding against the margin the model itself reports."""
     model, split = trained(spark, sf_dir)
     tested = split.filter("split = 'test'")
-    own = model.transform(tested).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    own = training.margins(model, tested, into="raw")
     explained_rows = contributions.contributions(model, training.feature_vectors(model, tested))
     total = F.aggregate("contributions", F.col("base"), lambda so_far, value: so_far + value)
     return explained_rows.join(own, "finding_id").select(

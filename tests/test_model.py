@@ -3,7 +3,6 @@ from math import factorial
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from findrisk.batch import evaluate_model, explain_cve, explain_top, prompt_top, score_findings, train_model
@@ -33,33 +32,30 @@ def explained(model, matrix):
 
 
 def test_contributions_add_up_to_the_margin(model, matrix, explained):
-    raw = model.transform(matrix).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    raw = training.margins(model, matrix, into="raw")
     worst = explained.join(raw, "finding_id").agg(F.max(F.abs(F.col("margin") - F.col("raw"))), F.count(F.lit(1))).first()
     assert worst[0] < 1e-9 and worst[1] == 800
 
 
-def _conditional(nodes, index, x, known):
+def _conditional(tree, node, x, known):
     """Expected value of a tree when only some features are known."""
-    node = nodes[index]
-    if node["leftChild"] < 0:
-        return node["prediction"]
-    feature, threshold = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-    left, right = node["leftChild"], node["rightChild"]
+    left, right = tree.left[node], tree.right[node]
+    if left == node:
+        return tree.value[node]
+    feature, threshold = tree.feature[node], tree.threshold[node]
     if feature in known:
-        return _conditional(nodes, left if x[feature] <= threshold else right, x, known)
-    share = nodes[left]["rawCount"] / node["rawCount"]
-    return share * _conditional(nodes, left, x, known) + (1 - share) * _conditional(nodes, right, x, known)
+        return _conditional(tree, left if x[feature] <= threshold else right, x, known)
+    share = tree.cover[left] / tree.cover[node]
+    return share * _conditional(tree, left, x, known) + (1 - share) * _conditional(tree, right, x, known)
 
 
-def test_contributions_are_the_shapley_values(spark, model, matrix, explained):
-    trees = contributions._tree_nodes(model, spark)
-    weights = model.stages[-1].treeWeights
+def test_contributions_are_the_shapley_values(model, matrix, explained):
     got = {r.finding_id: r.contributions for r in explained.filter("finding_id < '2'").limit(25).collect()}
     for row in matrix.filter(F.col("finding_id").isin(list(got))).collect():
         x = [row[name] for name in NAMES]
 
         def value(known):
-            return sum(weights[t] * _conditional(nodes, 0, x, known) for t, nodes in trees.items())
+            return sum(_conditional(tree, 0, x, known) for tree in model.trees)
 
         for i in range(4):
             rest = [j for j in range(4) if j != i]
@@ -98,30 +94,33 @@ def test_saved_model_predicts_the_same(model, matrix, tmp_path):
 def test_validation_rows_stop_early(matrix):
     held_out = matrix.withColumn("valid", F.col("finding_id").cast("int") % 5 == 0).withColumn("label", (F.col("finding_id").cast("int") * 7919 % 13 > 5).cast("int"))
     model = training.train(held_out, NAMES, rounds=60, max_depth=4, eta=0.9, validation="valid")
-    assert len(model.stages[-1].treeWeights) < 60
+    assert len(model.trees) < 60
 
 
-def test_best_prefix_and_cut_model(spark, model, matrix, tmp_path):
-    """The chosen number of trees has the largest area, and the cut model sums exactly these trees."""
-    trees = contributions._tree_nodes(model, spark)
-    weights = model.stages[-1].treeWeights
-    rows = matrix.limit(200).collect()
+def test_best_prefix_and_cut_model(spark, matrix, tmp_path):
+    """The trees that stay give the largest area of all prefixes, and a cut model sums exactly its trees."""
+    marked = matrix.withColumn("valid", F.xxhash64("finding_id") % 4 == 0)
+    noisy = stage(marked.withColumn("label", F.when(F.xxhash64("x0", "finding_id") % 3 == 0, 1 - F.col("label")).otherwise(F.col("label"))))
+    settings = dict(rounds=12, max_depth=3, eta=0.5, l1=0.0)
+    best = training.train(noisy, NAMES, validation="valid", patience=12, **settings)
+    full = training.train(noisy.filter("not valid"), NAMES, **settings)
+    rows = noisy.filter("valid").collect()
     labels = np.array([row["label"] for row in rows])
     areas, totals = [], np.zeros(len(rows))
-    for t in range(len(weights)):
-        totals = totals + np.array([weights[t] * _conditional(trees[t], 0, [row[n] for n in NAMES], set(range(4))) for row in rows])
-        pairs = [(a > b) + (a == b) / 2 for a in totals[labels == 1] for b in totals[labels == 0]]
-        areas.append(np.mean(pairs))
+    for tree in full.trees:
+        totals = totals + np.array([_conditional(tree, 0, [row[n] for n in NAMES], set(range(4))) for row in rows])
+        areas.append(np.mean([(a > b) + (a == b) / 2 for a in totals[labels == 1] for b in totals[labels == 0]]))
+    n = len(best.trees)
+    assert areas[n - 1] == pytest.approx(max(areas)) and max(areas[: n - 1], default=0) < max(areas)
+    assert best.trees == full.trees[:n]
+    cut = training.first_trees(full, 2)
     held_out = spark.createDataFrame(rows)
-    best = training.best_prefix(model, held_out, NAMES)
-    assert areas[best - 1] == pytest.approx(max(areas)) and max(areas[: best - 1], default=0) < max(areas)
-    cut = training.first_trees(model, 2)
-    assert len(cut.stages[-1].treeWeights) == 2
-    raw = cut.transform(held_out).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw")).collect()
-    want = {row["finding_id"]: sum(weights[t] * _conditional(trees[t], 0, [row[n] for n in NAMES], set(range(4))) for t in range(2)) for row in rows}
-    assert {r.finding_id: r.raw for r in raw} == pytest.approx(want)
+    want = {row["finding_id"]: sum(_conditional(tree, 0, [row[n] for n in NAMES], set(range(4))) for tree in full.trees[:2]) for row in rows}
+    assert {r.finding_id: r.margin for r in training.margins(cut, held_out).collect()} == pytest.approx(want)
     training.save_model(cut, str(tmp_path / "cut"))
-    assert training.predict(training.load_model(str(tmp_path / "cut")), matrix).exceptAll(training.predict(cut, matrix)).count() == 0
+    loaded = training.load_model(str(tmp_path / "cut"))
+    assert loaded.settings == full.settings and loaded.settings["l2"] == 1.0
+    assert training.predict(loaded, matrix).exceptAll(training.predict(cut, matrix)).count() == 0
 
 
 def test_text_vectors_travel_with_the_model(spark, tmp_path):
@@ -204,9 +203,9 @@ def test_deep_trees_are_explained(spark, matrix):
     names = [f"d{i}" for i in range(16)]
     noise = F.pmod(F.xxhash64("finding_id"), F.lit(2)).cast("int")
     table = stage(matrix.select("finding_id", *draw, noise.alias("label")))
-    model = training.train(table, names, rounds=2, max_depth=15, eta=0.3, subsample=1.0, colsample=1.0)
-    longest = max(group["features"].shape[1] for group in contributions.compile_trees(model, spark)["groups"])
+    model = training.train(table, names, rounds=2, max_depth=15, eta=0.3, subsample=1.0, colsample=1.0, l1=0.0, l2=0.0, least_hessian=0.0)
+    longest = max(group["features"].shape[1] for group in contributions.compile_trees(model)["groups"])
     assert longest > 6
     parts = contributions.contributions(model, training.feature_vectors(model, table))
-    raw = model.transform(table).select("finding_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    raw = training.margins(model, table, into="raw")
     assert parts.join(raw, "finding_id").agg(F.max(F.abs(F.col("margin") - F.col("raw")))).first()[0] < 1e-9
