@@ -80,7 +80,8 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         open_blocks, place = open_blocks[more], place[more]
     if made:
         block, at, chosen = (np.concatenate(column) for column in zip(*made, strict=True))
-        order = np.argsort(block * BLOCK + at)
+        # runs that are in order already
+        order = np.argsort(block * BLOCK + at, kind="stable")
         block, at, chosen = block[order], at[order], chosen[order]
     else:
         block = at = chosen = np.zeros(0, np.int64)
@@ -161,13 +162,16 @@ def decode(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that never joins across white space.
 
-    Words of a piece of text are told apart by hash, and only words not seen
-    lately go through the tokenizer. At most ``remember`` of them are kept.
+    ASCII letters count as lower case, as the tokenizer takes them, and a mark at a
+    word's end as a word of its own. Words of a piece of text are told apart by hash,
+    and only words not seen lately go through the tokenizer. Words are remembered in
+    two generations of ``remember``: once the newer is full, the older one goes, but
+    for the words met again since.
     """
 
     _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -177,26 +181,49 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
+        self.alphabet = {byte: self.full.pre_tokenizer.pre_tokenize_str(chr(byte))[0][0] for byte in range(0x21, 0x7F)}
+        # the other bytes of UTF-8 as the pre-tokenizer spells them, read off characters that hold them
+        for code in (*range(0x80, 0x100), *range(0x100, 0x180)):
+            if chr(code).isalpha():
+                spelled = self.full.pre_tokenizer.pre_tokenize_str(chr(code))[0][0]
+                self.alphabet |= dict(zip(chr(code).encode(), spelled, strict=True))
         self.remember = remember
         self.words: dict[int, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
         """Encode pieces that the pre-tokenizer would give, already in its byte alphabet."""
-        if parts:
-            ids = np.array(self.model.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(parts):
-                raise ValueError("the vocabulary does not mark word ends")
-            packed, low = ids.tobytes(), 0
-            for part, high in zip(parts, ends.tolist(), strict=True):
-                self.parts[part] = packed[4 * low : 4 * high]
-                low = high
+        if not parts:
+            return {}
+        ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(parts):
+            raise ValueError("the vocabulary does not mark word ends")
+        packed, out, low = ids.tobytes(), {}, 0
+        for part, high in zip(parts, (4 * ends).tolist(), strict=True):
+            out[part] = packed[low:high]
+            low = high
+        return out
+
+    def _letters(self, word: bytes) -> str | None:
+        """The one piece of a word of lower-case Latin letters that no normalization changes; None for other words."""
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0180" and text.lower() == text:
+            return word.decode("latin-1").translate(self.alphabet)
+        return None
 
     def _split(self, words: list[bytes]) -> list[list[str] | None]:
         """The pre-tokenizer's pieces of each word; None for words that only the whole tokenizer handles."""
         out: list[list[str] | None] = [None] * len(words)
-        plain = [i for i, word in enumerate(words) if word.isascii() and b"<|" not in word]
+        mixed = []
+        for i, word in enumerate(words):
+            if word.isalpha() and word.islower():
+                out[i] = [word.decode()]
+            elif not word.isascii() and (letters := self._letters(word)) is not None:
+                out[i] = [letters]
+            else:
+                mixed.append(i)
+        plain = [i for i in mixed if words[i].isascii() and b"<|" not in words[i]]
         text = b" ".join([words[i] for i in plain]).decode()
         if not text.isprintable():
             plain = [i for i in plain if words[i].decode().isprintable()]
@@ -210,7 +237,8 @@ class WordEncoder:
             out[i] = pieces[low:high]
             low = high
         other, texts = [], []
-        for i, word in enumerate(words):
+        for i in mixed:
+            word = words[i]
             if not word.isascii() and b"<|" not in word:
                 text = word.decode()
                 if text.split() == [text]:  # no other white space than ASCII's
@@ -229,10 +257,8 @@ class WordEncoder:
         return out
 
     def _learn(self, codes: list[int], words: list[bytes]) -> None:
-        split = self._split(words)
-        parts, known = self.parts, self.words
-        wanted = {piece for pieces in split if pieces for piece in pieces}
-        self._encode_parts([piece for piece in wanted if piece not in parts])
+        split, known = self._split(words), self.words
+        parts = self._encode_parts(list({piece for pieces in split if pieces for piece in pieces}))
         for code, word, pieces in zip(codes, words, split, strict=True):
             if pieces is None:
                 known[code] = np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
@@ -244,13 +270,19 @@ class WordEncoder:
     def encode(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text), each text closed by ``end_id``."""
         if len(self.words) > self.remember:
-            self.words.clear()
-        if len(self.parts) > self.remember:
-            self.parts.clear()
-        words = wordkernel.Words(texts, lower=False)
+            self.words, self.older = {}, self.words
+        # a special token is one in its own spelling only
+        special = any(b"<|" in text for text in texts)
+        words = wordkernel.Words(texts, lower=not special, parted=True)
         unique, first, inverse = np.unique(words.code, return_index=True, return_inverse=True)
-        codes = unique.tolist()
-        new = [k for k, code in enumerate(codes) if code not in self.words]
+        codes, held, older = unique.tolist(), self.words, self.older
+        new = []
+        for k, code in enumerate(codes):
+            if code not in held:
+                if code in older:
+                    held[code] = older[code]
+                else:
+                    new.append(k)
         if new:
             raw, start, end = words.bytes, words.start[first].tolist(), words.end[first].tolist()
             self._learn([codes[k] for k in new], [raw[start[k] : end[k]] for k in new])

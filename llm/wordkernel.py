@@ -71,14 +71,21 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts.
 
     ``start`` and ``end`` are byte positions in ``raw``; the words of text ``i``
-    are ``bounds[i]:bounds[i + 1]``; ``code`` holds 64-bit hashes.
+    are ``bounds[i]:bounds[i + 1]``; ``code`` holds 64-bit hashes. With ``parted``
+    a single mark of ``.,;:!?`` at a word's end, after an ASCII letter, is a word of its own.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, parted: bool = False):
         joined = b"\n".join(texts) + b"\n"
         self.bytes = joined.translate(LOWER.tobytes()) if lower else joined
         self.raw = raw = np.frombuffer(self.bytes, np.uint8)
@@ -87,6 +94,13 @@ class Words:
         inside = ~SPACE[raw]
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
         self.start, self.end = edge[0::2], edge[1::2]
+        if parted and len(self.start):
+            closing = (self.end - self.start > 1) & _CLOSING[raw[self.end - 1]] & _LETTER[raw[self.end - 2]]
+            at = np.flatnonzero(closing) + 1
+            self.start = np.insert(self.start, at, self.end[closing] - 1)
+            stem = np.flatnonzero(closing) + np.arange(len(at))
+            self.end = np.insert(self.end, at, self.end[closing])
+            self.end[stem] -= 1
         self.bounds = np.concatenate(([0], np.searchsorted(self.start, self.text_end)))
         self.code = span_codes(self.bytes, self.start, self.end)
 
