@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -84,3 +85,18 @@ def test_whole_table_against_the_library(spark):
 def test_empty_table(spark, tmp_path):
     files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/e")
     assert files.token_index(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_any_mixture_of_signs_encodes_as_the_whole_text():
+    """Few words are remembered, so that both generations turn over."""
+    path = public_tokenizers.path(files.VOCABULARY)
+    whole, encoder, rng = Tokenizer.from_file(path), files.WordEncoder(path, remember=50), random.Random(1)
+    parts = ["a", "Word", "é", "É", "ß", "ŉ", "ﬁ", "ſ", "'s", "'", "don't", ".", ",", "!", "...", "9", "12,", "<|", "|>", "<|endoftext|>", "<|EndOfText|>"]
+    parts += [" ", "\n", " ", "日", "́", "ª", "º", "ĳ", "İ", "ı", "Ω", "ω", "x.", "é.", "-", ";"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(6)]
+        ids, counts = encoder.encode([text.encode() for text in texts], None)
+        at = 0
+        for text, n in zip(texts, counts):
+            assert ids[at : at + n].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+            at += n
