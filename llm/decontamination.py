@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from llm.frames import read_table, require, sql_identifier, stage
+from llm.frames import read_table, require, sheltered, sql_identifier, stage
 from llm.registry import register
 
 #: Words per template window; items with fewer words are matched as one window.
@@ -122,6 +122,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return stage(table, "benchmark-windows")
 
 
+@sheltered
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -220,6 +221,7 @@ def _slots(window: Column, item: Column, doc: Column) -> Column:
     return F.transform(slots, lambda z: F.struct(z["t"].alias("type"), z["i"].alias("item"), z["d"].alias("doc")))
 
 
+@sheltered
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents that hold no benchmark item, with the columns of ``docs``."""
     found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **settings)

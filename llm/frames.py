@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import inspect
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from findrisk.storage import stage
 
-__all__ = ["join_rows", "read_table", "require", "row_key", "running_totals", "stage", "shuffle_width", "sql_identifier"]
+__all__ = ["join_rows", "read_table", "require", "row_key", "running_totals", "sheltered", "stage", "shuffle_width", "sql_identifier"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,40 @@ def sql_identifier(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sheltered(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Keep the caller's columns apart from an operator's working columns, which start with two underscores.
+
+    Columns of the first table with such names are worked on under other names and
+    get their own back in the result. A column the caller wants replaced (``into``)
+    is left as it is; parameters ending in ``_col`` follow the names.
+    """
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def apply(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        given = signature.bind(docs, *args, **kwargs)
+        taken = {name.lower() for name in docs.columns}
+        names: dict[str, str] = {}
+        for name in docs.columns:
+            if name.startswith("__") and name != given.arguments.get("into"):
+                other = f"own{name}"
+                while other.lower() in taken:
+                    other = f"own_{other}"
+                taken.add(other.lower())
+                names[name] = other
+        if not names:
+            return operator(docs, *args, **kwargs)
+        given.arguments["docs"] = docs.withColumnsRenamed(names)
+        settings = [given.arguments, *[value for value in given.arguments.values() if isinstance(value, dict)]]
+        for arguments in settings:
+            for key, value in arguments.items():
+                if key.endswith("_col") and value in names:
+                    arguments[key] = names[value]
+        return operator(*given.args, **given.kwargs).withColumnsRenamed({other: name for name, other in names.items()})
+
+    return apply
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions that shuffles of this session use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from llm.frames import read_table, require, sql_identifier
+from llm.frames import read_table, require, sheltered, sql_identifier
 from llm.license_rules import RULES, Rule
 from llm.registry import register
 
@@ -119,6 +119,7 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.lit(label).alias("label")))
 
 
+@sheltered
 def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", into: str = "licenses") -> DataFrame:
     """Add the struct column ``into`` (replacing one of that name) to every document.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from llm import wordkernel
-from llm.frames import join_rows, read_table, require, row_key, shuffle_width, sql_identifier, stage
+from llm.frames import join_rows, read_table, require, row_key, sheltered, shuffle_width, sql_identifier, stage
 from llm.registry import register
 
 #: A run of lines is a repetition if it holds this many words or more.
@@ -201,6 +201,7 @@ def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary()).cast(pa.string())
 
 
+@sheltered
 def dedup_lines(
     docs: DataFrame,
     least_words: int = LEAST_WORDS,

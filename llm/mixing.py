@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from llm.frames import join_rows, read_table, require, row_key, running_totals, sql_identifier, stage
+from llm.frames import join_rows, read_table, require, row_key, running_totals, sheltered, sql_identifier, stage
 from llm.registry import register
 
 #: Weights of the sources in code-point order, repeating.
@@ -122,6 +122,7 @@ def copies(
     )
 
 
+@sheltered
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mix itself: every document as often as ``copies`` says, with the columns of ``docs``."""
     keyed = row_key(docs, id_col)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import wordkernel
-from llm.frames import join_rows, read_table, require, row_key, running_totals, shuffle_width, sql_identifier, stage
+from llm.frames import join_rows, read_table, require, row_key, running_totals, sheltered, shuffle_width, sql_identifier, stage
 from llm.registry import register
 
 #: Words per shingle and similarity (percent) of the pipeline and the general operator.
@@ -429,6 +429,7 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int, id_col: str, tex
     return rows.join(placed, ["set1", "set2", "n_shingles"], "left").select("doc_id", "n_shingles", "group", "least_id", *carry)
 
 
+@sheltered
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -457,6 +458,7 @@ def near_duplicates(
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+@sheltered
 def near_dedup(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from llm import quality_rules
-from llm.frames import read_table, require, sql_identifier, stage
+from llm.frames import read_table, require, sheltered, sql_identifier, stage
 from llm.registry import register
 
 #: At most this many labelled documents train the classifier, chosen by hash: the one bounded sample.
@@ -80,6 +80,7 @@ def _strength(groups: int, rows: float, rows_squared: float, between: float, wit
     return min(max(inside / spread, STRENGTHS[0]), STRENGTHS[1])
 
 
+@sheltered
 def classify(
     docs: DataFrame,
     labels: DataFrame,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from llm import wordkernel
-from llm.frames import read_table, require, sql_identifier
+from llm.frames import read_table, require, sheltered, sql_identifier
 from llm.registry import register
 
 #: What is measured once per document; all counts.
@@ -139,6 +139,7 @@ def passes(failed: Column, version: str = POLICY) -> Column:
     return failed.bitwiseAND(F.lit(policy_mask(version))) == 0
 
 
+@sheltered
 def quality_filter(docs: DataFrame, version: str = POLICY, text_col: str = "text") -> DataFrame:
     """The documents a policy keeps, with the columns of ``docs``."""
     made = "__ledger"
