@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from llm.frames import join_rows, read_table, require, row_key, running_totals, sheltered, sql_identifier, stage
 from llm.registry import register
@@ -65,6 +65,19 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]++")), F.lit(0)).cast("long")
 
 
+def crossings(before: Column, rate: Column, offset: Column) -> Column:
+    """Whole numbers between ``before * rate + offset`` and the same plus ``rate``, all three in units of 1 / UNIT.
+
+    Only the fractions decide beyond the rate's whole part. The product is taken
+    modulo UNIT in two halves of 16 bits, so it fits a long for any rank.
+    """
+    fraction = rate.bitwiseAND(F.lit(UNIT - 1))
+    high = F.shiftright(before.bitwiseAND(F.lit(UNIT - 1)), 16) * fraction
+    low = before.bitwiseAND(F.lit((1 << 16) - 1)) * fraction
+    phase = (F.shiftleft(high.bitwiseAND(F.lit((1 << 16) - 1)), 16) + low + offset).bitwiseAND(F.lit(UNIT - 1))
+    return F.shiftright(rate, 32) + F.shiftright(phase + fraction, 32)
+
+
 def copies(
     docs: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -114,9 +127,7 @@ def copies(
     placed = running_totals(narrow, ["size", "doc_id", "__text"], [], group=["__null", "__name"])
     joined = placed.join(goals, ["__null", "__name"])
     # every document of a source has the same expected copies, so their prefix sum is rank times rate
-    start = F.col("before_rows") * F.col("__rate") + F.col("__offset")
-    end = start + F.col("__rate")
-    crossed = (F.shiftright(end, 32) - F.shiftright(start, 32)).cast("long")
+    crossed = crossings(F.col("before_rows"), F.col("__rate"), F.col("__offset"))
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", crossed.alias("copies"), (crossed * F.col("size")).alias("taken"), *keep
     )
