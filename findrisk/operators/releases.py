@@ -8,6 +8,7 @@ rows inside each task before any shuffle by repo.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,9 +38,8 @@ def _release_order(order: str) -> list[Column]:
     return [version_number(parts, 0), version_number(parts, 1), version_number(parts, 2), F.col("release")]
 
 
-def release_list(ranked: DataFrame, order: str = "text") -> DataFrame:
-    """Distinct releases per repo with position from the end, the one before, and row count."""
-    counted = ranked.filter("repo is not null and release is not null").groupBy("repo", "release").agg(F.count(F.lit(1)).alias("n"))
+def _ordered(counted: DataFrame, order: str) -> DataFrame:
+    """Positions of releases within their repo, from rows of ``repo, release, n``."""
     keys = _release_order(order)
     forward = Window.partitionBy("repo").orderBy(*keys)
     backward = Window.partitionBy("repo").orderBy(*[key.desc() for key in keys])
@@ -53,6 +53,12 @@ def release_list(ranked: DataFrame, order: str = "text") -> DataFrame:
     )
 
 
+def release_list(ranked: DataFrame, order: str = "text") -> DataFrame:
+    """Distinct releases per repo with position from the end, the one before, and row count."""
+    counted = ranked.filter("repo is not null and release is not null").groupBy("repo", "release").agg(F.count(F.lit(1)).alias("n"))
+    return _ordered(counted, order)
+
+
 def release_pairs(ranked: DataFrame, *, current: str | None = None, previous: str | None = None, order: str = "text") -> DataFrame:
     """The two releases to compare in each repo with at least two.
 
@@ -60,7 +66,10 @@ def release_pairs(ranked: DataFrame, *, current: str | None = None, previous: st
     compared with the one before it, the first one with itself. Repos that lack
     a named release are left out; :func:`release_eligibility` tells why.
     """
-    releases = release_list(ranked, order)
+    return _pairs(release_list(ranked, order), current, previous)
+
+
+def _pairs(releases: DataFrame, current: str | None = None, previous: str | None = None) -> DataFrame:
     chosen = releases.filter(F.col("release") == current) if current else releases.filter("from_end = 1")
     pairs = chosen.filter("n_releases >= 2").select(
         "repo", F.col("release").alias("current_release"), F.col("before").alias("previous_release"), "n_releases"
@@ -129,16 +138,17 @@ def compared_rows(
 ) -> DataFrame:
     """Rows of the two compared releases of each repo, with both release names.
 
-    The table is staged: the functions below accept it in place of the ranked
-    table, so several answers about the same pairs read it instead of scoring again.
+    The compared columns are staged in one scan of the ranked table, pairs and row
+    counts come from there. The result is staged too: the functions below accept it
+    in place of the ranked table.
     """
-    pairs = release_pairs(ranked, order=order) if pairs is None else pairs
+    narrow = stage(ranked.select(*COMPARED_COLUMNS), "compared-columns")
+    counted = stage(release_list(narrow, order), "releases")
+    pairs = _pairs(counted) if pairs is None else pairs
     # row counts tell which repos are too large to join by shuffle in one task
-    sizes = ranked.filter("repo is not null").groupBy("repo").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = counted.groupBy("repo").agg(F.sum("n").alias("_rows"))
     named = pairs.select("repo", "current_release", "previous_release").join(sizes, "repo")
-    rows = attach(
-        ranked.select(*COMPARED_COLUMNS), named, "repo", weight="_rows", spread_by=F.col("finding_id"), broadcast_bytes=broadcast_bytes
-    )
+    rows = attach(narrow, named, "repo", weight="_rows", spread_by=F.col("finding_id"), broadcast_bytes=broadcast_bytes)
     return stage(rows.filter("release = current_release or release = previous_release"), "compared")
 
 
@@ -146,49 +156,162 @@ def _compared(table: DataFrame, pairs: DataFrame | None) -> DataFrame:
     return table if "current_release" in table.columns else compared_rows(table, pairs)
 
 
-def _changed_cves(table: DataFrame, pairs: DataFrame | None, mine: str, other: str, n: int) -> DataFrame:
+#: Releases per word of a bit set.
+WORD = 64
+
+
+@dataclass(frozen=True)
+class ReleaseSets:
+    """Which releases of a repo hold which values of a column.
+
+    ``sets`` has a row ``repo, value, word, bits`` per 64 releases with the value:
+    bit b stands for the release at position 64 * word + b. ``releases`` has the
+    positions. Both are staged; they answer for any pair of releases.
+    """
+
+    column: str
+    releases: DataFrame
+    sets: DataFrame
+
+
+def release_sets(ranked: DataFrame, column: str, order: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> ReleaseSets:
+    """Bit sets over release positions of every (repo, value), from one scan of the table.
+
+    Rows are first counted per (repo, release, value); releases, their positions and
+    the bit sets follow from the counts. Null values are in no set, releases with
+    nothing else still have a position.
+    """
+    rows = ranked.filter("repo is not null and release is not null")
+    counts = stage(rows.groupBy("repo", "release", F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")), "release-values")
+    per_release = counts.groupBy("repo", "release").agg(F.sum("n").alias("n"), F.count("value").alias("values"))
+    releases = stage(_ordered(per_release, order).withColumn("position", F.col("n_releases") - F.col("from_end")), "releases")
+    # values per release tell which releases are too large to join by shuffle in one task
+    key = F.concat_ws("\u0000", "repo", "release")
+    weighted = releases.join(per_release.select("repo", "release", "values"), ["repo", "release"])
+    placed = attach(
+        counts.filter("value is not null").select("repo", "value", key.alias("_release")),
+        weighted.select(key.alias("_release"), "position", "values"),
+        "_release", weight="values", spread_by=F.col("value"), broadcast_bytes=broadcast_bytes,
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("position", F.lit(WORD)).cast("int"))
+    sets = placed.groupBy("repo", "value", F.floor(F.col("position") / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return ReleaseSets(column, releases, stage(sets, "release-sets"))
+
+
+def _holds(position: str) -> Column:
+    """Whether a bit set's row has the bit of a position."""
+    bit = F.call_function("getbit", F.col("bits"), F.pmod(position, F.lit(WORD)).cast("int")) == 1
+    return ((F.col("word") == F.floor(F.col(position) / WORD)) & bit).cast("int")
+
+
+def changes(sets: ReleaseSets, pairs: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``repo, value, current_release, previous_release, in_current, in_previous`` for a pair of releases of each repo."""
+    pairs = _pairs(sets.releases) if pairs is None else pairs
+    place = lambda name, at: sets.releases.select("repo", F.col("release").alias(name), F.col("position").alias(at))
+    sizes = sets.releases.groupBy("repo").agg(F.sum("n").alias("_rows"))
+    ends = pairs.select("repo", "current_release", "previous_release")
+    ends = ends.join(place("current_release", "current_at"), ["repo", "current_release"]).join(place("previous_release", "previous_at"), ["repo", "previous_release"])
+    named = attach(sets.sets, ends.join(sizes, "repo"), "repo", weight="_rows", spread_by=F.col("value"), broadcast_bytes=broadcast_bytes)
+    return named.filter("current_at is not null").groupBy("repo", "value", "current_release", "previous_release").agg(
+        F.max(_holds("current_at")).alias("in_current"), F.max(_holds("previous_at")).alias("in_previous")
+    )
+
+
+def release_churn(sets: ReleaseSets) -> DataFrame:
+    """New, common and resolved values of every release against the one before it, all releases of all repos at once.
+
+    A set moved up by one release and compared with itself gives the common values;
+    the bit that leaves a word goes to the next one.
+    """
+    behind = Window.partitionBy("repo", "value").orderBy("word")
+    before = F.when(F.lag("word").over(behind) == F.col("word") - 1, F.lag("bits").over(behind)).otherwise(0)
+    moved = F.call_function("shiftleft", F.col("bits"), F.lit(1)).bitwiseOR(F.call_function("shiftrightunsigned", before, F.lit(WORD - 1)))
+    both = sets.sets.withColumn("common", F.col("bits").bitwiseAND(moved))
+    bits = both.select("repo", "word", "bits", "common", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("b"))
+    # numbers of values per release: a repo has as many rows as releases from here on
+    has = lambda name: F.call_function("getbit", F.col(name), F.col("b")) == 1
+    counted = bits.filter(has("bits")).groupBy("repo", (F.col("word") * WORD + F.col("b")).alias("position")).agg(
+        F.count(F.lit(1)).alias("held"), F.count_if(has("common")).alias("common")
+    )
+    zero = F.lit(0).cast("long")
+    listed = sets.releases.select("repo", "release", "before", "position").join(counted, ["repo", "position"], "left")
+    held, common = F.coalesce("held", zero), F.coalesce("common", zero)
+    earlier = F.lag(held).over(Window.partitionBy("repo").orderBy("position"))
+    return listed.select("repo", "release", "before", held.alias("held"), (held - common).alias("new"), (earlier - common).alias("resolved"), "position").filter("position > 0").drop("position")
+
+
+@dataclass(frozen=True)
+class ReleaseHistory:
+    """The compared columns of the ranked table and the bit sets of its CVEs, for any number of comparisons."""
+
+    rows: DataFrame
+    cves: ReleaseSets
+
+
+def release_history(ranked: DataFrame, order: str = "text") -> ReleaseHistory:
+    """One scan of the ranked table; the bit sets come from what it staged."""
+    rows = stage(ranked.select(*COMPARED_COLUMNS), "release-rows")
+    return ReleaseHistory(rows, release_sets(rows, "cve_id", order))
+
+
+def _changed_cves(table: DataFrame | ReleaseHistory, pairs: DataFrame | None, sides: tuple[str, str], n: int) -> DataFrame:
     """Top rows of CVEs on one side only; rows without a CVE are on neither, as in the counts.
 
     Rows are first cut to ``n`` per (repo, CVE): no others can be among the
     first ``n`` of the repo, and a CVE with very many rows does not reach one task.
     """
-    rows = _compared(table, pairs).filter("cve_id is not null")
+    mine, other = sides
     order = [F.desc("risk_score"), F.asc("finding_id")]
-    short = first_per_group(rows.filter(F.col("release") == F.col(mine)), ["repo", "cve_id"], order, n, "_rank")
-    others = rows.filter(F.col("release") == F.col(other)).select("repo", "cve_id").distinct()
-    top = first_per_group(short.join(others, ["repo", "cve_id"], "left_anti"), ["repo"], order, n)
+    if isinstance(table, DataFrame):
+        # one comparison: its two releases are compared as they are
+        rows = _compared(table, pairs).filter("cve_id is not null")
+        short = first_per_group(rows.filter(F.col("release") == F.col(f"{mine}_release")), ["repo", "cve_id"], order, n, "_rank")
+        others = rows.filter(F.col("release") == F.col(f"{other}_release")).select("repo", "cve_id").distinct()
+        left = short.join(others, ["repo", "cve_id"], "left_anti")
+    else:
+        pairs = stage(_pairs(table.cves.releases) if pairs is None else pairs, "pairs")
+        changed = changes(table.cves, pairs).filter((F.col(f"in_{mine}") == 1) & (F.col(f"in_{other}") == 0))
+        sizes = table.cves.releases.groupBy("repo").agg(F.sum("n").alias("_rows"))
+        sides_of = pairs.select("repo", F.col(f"{mine}_release").alias("_mine")).join(sizes, "repo")
+        rows = attach(table.rows.filter("cve_id is not null"), sides_of, "repo", weight="_rows", spread_by=F.col("finding_id"))
+        short = first_per_group(rows.filter("release = _mine"), ["repo", "cve_id"], order, n, "_rank")
+        left = short.join(changed.select("repo", F.col("value").alias("cve_id")), ["repo", "cve_id"], "left_semi")
+    top = first_per_group(left, ["repo"], order, n)
     return top.select("repo", "release", "rank", "finding_id", "cve_id", "risk_score", "tier", "package_name")
 
 
-def new_cves(table: DataFrame, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
+def new_cves(table: DataFrame | ReleaseHistory, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
     """Riskiest rows of CVEs in the current release but not in the previous one."""
-    return _changed_cves(table, pairs, "current_release", "previous_release", n)
+    return _changed_cves(table, pairs, ("current", "previous"), n)
 
 
-def resolved_cves(table: DataFrame, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
+def resolved_cves(table: DataFrame | ReleaseHistory, pairs: DataFrame | None = None, n: int = 10) -> DataFrame:
     """Riskiest rows of CVEs in the previous release but no longer in the current one."""
-    return _changed_cves(table, pairs, "previous_release", "current_release", n)
+    return _changed_cves(table, pairs, ("previous", "current"), n)
 
 
 def _presence(compared: DataFrame, column: str) -> DataFrame:
     """Per repo and value: seen in the current release, seen in the previous one."""
-    return compared.filter(F.col(column).isNotNull()).groupBy("repo", column).agg(
+    return compared.filter(F.col(column).isNotNull()).groupBy("repo", F.col(column).alias("value")).agg(
         F.max((F.col("release") == F.col("current_release")).cast("int")).alias("in_current"),
         F.max((F.col("release") == F.col("previous_release")).cast("int")).alias("in_previous"),
     )
 
 
-def _changed_cwes(table: DataFrame, pairs: DataFrame | None, condition: str) -> DataFrame:
-    seen = _presence(_compared(table, pairs), "primary_cwe").filter(condition)
-    return seen.select("repo", F.col("primary_cwe").alias("cwe")).orderBy("repo", "cwe")
+def _changed_cwes(table: DataFrame | ReleaseSets, pairs: DataFrame | None, condition: str) -> DataFrame:
+    if isinstance(table, DataFrame) and "current_release" in table.columns:
+        seen = _presence(table, "primary_cwe")
+    else:
+        seen = changes(table if isinstance(table, ReleaseSets) else release_sets(table, "primary_cwe"), pairs)
+    return seen.filter(condition).select("repo", F.col("value").alias("cwe")).orderBy("repo", "cwe")
 
 
-def new_cwes(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def new_cwes(table: DataFrame | ReleaseSets, pairs: DataFrame | None = None) -> DataFrame:
     """Weaknesses of the current release that the previous one did not have, one row each."""
     return _changed_cwes(table, pairs, "in_current = 1 and in_previous = 0")
 
 
-def resolved_cwes(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def resolved_cwes(table: DataFrame | ReleaseSets, pairs: DataFrame | None = None) -> DataFrame:
     """Weaknesses of the previous release that the current one no longer has, one row each."""
     return _changed_cwes(table, pairs, "in_current = 0 and in_previous = 1")
 

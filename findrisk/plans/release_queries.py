@@ -199,3 +199,27 @@ def release_delta_named_query(spark, sf_dir):
     """Any two releases by name."""
     table = ranked(spark, sf_dir)
     return settled(releases.release_delta(table, releases.release_pairs(table, current="v5.0.0", previous="v2.0.0")))
+
+
+_CHURN_SQL = f"""{{values}},
+placed AS (SELECT repo, release, lag(release) OVER (PARTITION BY repo ORDER BY release) AS before FROM (SELECT DISTINCT repo, release FROM {{table}}))
+SELECT p.repo, p.release, p.before, count(v.value) FILTER (v.release = p.release) AS held,
+  count(v.value) FILTER (v.release = p.release AND NOT EXISTS (SELECT 1 FROM held_values o WHERE o.repo = p.repo AND o.release = p.before AND o.value = v.value)) AS "new",
+  count(v.value) FILTER (v.release = p.before AND NOT EXISTS (SELECT 1 FROM held_values o WHERE o.repo = p.repo AND o.release = p.release AND o.value = v.value)) AS resolved
+FROM placed p LEFT JOIN held_values v ON v.repo = p.repo AND (v.release = p.release OR v.release = p.before)
+WHERE p.before IS NOT NULL GROUP BY p.repo, p.release, p.before"""
+
+
+def _churn_sql(column: str, table: str = "ranked") -> str:
+    return _CHURN_SQL.format(values=f"held_values AS (SELECT DISTINCT repo, release, {column} AS value FROM {table} WHERE {column} IS NOT NULL)", table=table)
+
+
+@query("release_churn_cves", on("ranked", f"gapped AS (SELECT * REPLACE ({_GAPS} AS cve_id) FROM ranked), {_churn_sql('cve_id', 'gapped')}"))
+def release_churn_cves_query(spark, sf_dir):
+    """CVEs that came and went with every release, from the bit sets."""
+    return releases.release_churn(releases.release_sets(gapped(spark, sf_dir), "cve_id"))
+
+
+@query("release_churn_cwes", on("ranked", _churn_sql(_FINE_CWE)))
+def release_churn_cwes_query(spark, sf_dir):
+    return releases.release_churn(releases.release_sets(ranked(spark, sf_dir).withColumn("primary_cwe", F.expr(_FINE_CWE)), "primary_cwe"))

@@ -88,3 +88,68 @@ def test_release_prompt_says_what_changed(ranked):
     text = prompts.release_prompts(ranked, pairs).first().prompt
     for part in ("# Repository: a", "# Current release: v2", "Findings: +1 (50.0%)", "New weaknesses: CWE-3", "Resolved weaknesses: CWE-1", "  - C3: 0.800 (HIGH), package p"):
         assert part in text
+
+
+def _history(spark, n_releases=140, seed=5):
+    """Many releases per repo, so that bit sets span several words, and gaps in every column."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for repo in ("a", "b", None):
+        for k in range(n_releases if repo == "a" else 3):
+            for _ in range(rng.randrange(1, 6)):
+                cve = rng.choice([None, *[f"C{i}" for i in range(12)]])
+                rows.append((repo, rng.choice([f"v{k:03d}"] * 9 + [None]), cve, rng.randrange(100) / 100, rng.choice([None, "CWE-1", "CWE-2", "CWE-3"])))
+    return table(spark, rows), rows
+
+
+def test_bit_sets_answer_for_any_pair(spark):
+    ranked, rows = _history(spark)
+    sets = releases.release_sets(ranked, "cve_id")
+    assert sets.sets.agg(F.max("word")).first()[0] >= 1
+    held = {}
+    for repo, release, cve, _, _ in rows:
+        if repo and release:
+            held.setdefault((repo, release), set()).update({cve} - {None})
+    listed = {repo: sorted(release for r, release in held if r == repo) for repo in ("a", "b")}
+    for current, previous in ((70, 3), (64, 63), (63, 64), (5, 5), (len(listed["a"]) - 1, 0)):
+        pair = spark.createDataFrame([("a", listed["a"][current], listed["a"][previous])], "repo string, current_release string, previous_release string")
+        found = {r.value: (r.in_current, r.in_previous) for r in releases.changes(sets, pair).collect()}
+        now, then = held["a", listed["a"][current]], held["a", listed["a"][previous]]
+        assert {v for v, (c, p) in found.items() if c and not p} == now - then
+        assert {v for v, (c, p) in found.items() if p and not c} == then - now
+    churn = {(r.repo, r.release): (r.before, r.held, r.new, r.resolved) for r in releases.release_churn(sets).collect()}
+    want = {}
+    for repo, names in listed.items():
+        for before, release in zip(names, names[1:]):
+            now, then = held[repo, release], held[repo, before]
+            want[repo, release] = (before, len(now), len(now - then), len(then - now))
+    assert churn == want
+
+
+def test_sets_by_shuffle_and_by_broadcast_agree(spark):
+    ranked, _ = _history(spark, 20)
+    one, other = releases.release_sets(ranked, "cve_id"), releases.release_sets(ranked, "cve_id", broadcast_bytes=0)
+    assert one.sets.exceptAll(other.sets).count() == other.sets.exceptAll(one.sets).count() == 0
+    assert releases.changes(one).exceptAll(releases.changes(other, broadcast_bytes=0)).count() == 0
+
+
+def test_history_gives_the_lists_of_the_compared_rows(spark):
+    ranked, _ = _history(spark, 9, seed=6)
+    history, compared = releases.release_history(ranked), releases.compared_rows(ranked)
+    for operator in (releases.new_cves, releases.resolved_cves):
+        one, other = operator(history, n=4), operator(compared, n=4)
+        assert one.count() and one.exceptAll(other).count() == other.exceptAll(one).count() == 0
+    for operator in (releases.new_cwes, releases.resolved_cwes):
+        assert operator(ranked).collect() == operator(compared).collect()
+
+
+def test_one_scan_of_the_table(spark, ranked, monkeypatch):
+    """Everything after the first staged table reads what was staged."""
+    plans = []
+    monkeypatch.setattr(releases, "stage", lambda df, label="table", keep=releases.stage: plans.append(df._jdf.queryExecution().analyzed().toString()) or keep(df, label))
+    source = ranked.withColumn("primary_cwe", F.concat("primary_cwe", F.lit("/marked")))
+    results = [releases.new_cves(source), releases.resolved_cwes(source), releases.release_delta(source)]
+    plans += [result._jdf.queryExecution().analyzed().toString() for result in results]
+    assert sum(plan.count("/marked") for plan in plans) == 3
