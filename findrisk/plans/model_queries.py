@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from findrisk.batch import SCORE_INPUTS, evaluate_model, explain_cve, explain_top, fit_model, prompt_top, score_findings, split_findings
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.assembly import FEATURE_NAMES
+from findrisk.operators.canonical import create_label, drop_unlabelled
 from findrisk.operators.prompts import PATTERN_TASK, pattern_prompt
 from findrisk.operators.scoring import PARTS, WEIGHTS, by_risk, hybrid_score, ranked_table, score_terms
 from findrisk.plans.feature_queries import _LABEL_SQL
-from findrisk.plans.findings import AS_OF, findings, on, scored
+from findrisk.plans.findings import AS_OF, canonical, findings, on, scored
 from findrisk.plans.registry import query, settle_sql, settled
 
 def trained(spark: SparkSession, sf_dir: str, keep=(), split: str = "time"):
@@ -34,6 +35,61 @@ def train_predict_query(spark, sf_dir):
     return hybrid_score(scores).select("finding_id", "label", "split", "ml_score", "risk_score", "tier")
 
 
+# What the score adds to the model's share, where neither the cap nor the floor applies.
+_SPLIT_SQL = f"""labelled AS (SELECT finding_id, {_LABEL_SQL} AS label, published_date FROM scored WHERE {_LABEL_SQL} IS NOT NULL),
+placed AS (SELECT finding_id, label, row_number() OVER (ORDER BY published_date NULLS LAST, md5(finding_id), finding_id) AS k, count(*) OVER () AS n FROM labelled)"""
+_REST_SQL = """CASE WHEN is_withdrawn = 0 AND NOT (cvss_score >= 9 AND exposure_score > 0.5)
+  THEN round(0.2::DOUBLE * normalized_cvss + 0.15::DOUBLE * normalized_epss + 0.1::DOUBLE * exposure_score + 0.1::DOUBLE * repo_criticality, 6) END"""
+
+
+@query(
+    "train_predict_check",
+    on("scored", f"""{_SPLIT_SQL}
+SELECT finding_id, label, CASE WHEN k <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, 1 AS in_range, 1 AS tier_fits, {_REST_SQL} AS rest
+FROM placed JOIN scored USING (finding_id)"""),
+)
+def train_predict_check_query(spark, sf_dir):
+    """The same rows as train_predict: split, range and tier, and the score less the model's share of it."""
+    model, split = trained(spark, sf_dir, keep=("repo_criticality",))
+    scores = hybrid_score(training.predict(model, split, keep=("finding_id", "label", "split", *SCORE_INPUTS)))
+    open_score = (F.col("is_withdrawn") == 0) & ~((F.col("cvss_score") >= 9) & (F.col("exposure_score") > 0.5))
+    risk = F.col("risk_score")
+    tier = F.when(risk > 0.8, "CRITICAL").when(risk > 0.6, "HIGH").when(risk > 0.4, "MEDIUM").otherwise("LOW")
+    return scores.select(
+        "finding_id", "label", "split",
+        ((F.col("ml_score") > 0) & (F.col("ml_score") < 1)).cast("int").alias("in_range"),
+        (F.col("tier") == tier).cast("int").alias("tier_fits"),
+        F.when(open_score, F.round(risk - 0.45 * F.col("ml_score"), 6)).alias("rest"),
+    )
+
+
+# Whole-number inputs, so that every value has a bin of its own and SQL can search the same splits.
+_PLAIN_INPUTS = ("severity_numeric", "num_references", "cwe_count", "transitive_dep_count", "num_sources", "has_patch", "num_affected_ranges")
+
+
+@query(
+    "train_first_split",
+    on("canonical", f"""cells AS (SELECT name, v, 0.5::DOUBLE - label AS g FROM (UNPIVOT (SELECT {_LABEL_SQL} AS label, {', '.join(f'CAST({name} AS DOUBLE) AS {name}' for name in _PLAIN_INPUTS)} FROM canonical
+  WHERE {_LABEL_SQL} IS NOT NULL) ON {', '.join(_PLAIN_INPUTS)} INTO NAME name VALUE v)),
+bins AS (SELECT name, v, sum(g) AS g, 0.25::DOUBLE * count(*) AS h FROM cells GROUP BY name, v),
+sides AS (SELECT name, v, sum(g) OVER o AS lg, sum(h) OVER o AS lh, sum(g) OVER p AS tg, sum(h) OVER p AS th FROM bins
+  WINDOW o AS (PARTITION BY name ORDER BY v), p AS (PARTITION BY name)),
+gains AS (SELECT *, pow(greatest(abs(lg) - 0.5, 0), 2) / (lh + 1) + pow(greatest(abs(tg - lg) - 0.5, 0), 2) / (th - lh + 1) - pow(greatest(abs(tg) - 0.5, 0), 2) / (th + 1) AS gain
+  FROM sides WHERE lh >= 1 AND th - lh >= 1),
+best AS (SELECT * FROM gains ORDER BY gain DESC, name, v LIMIT 1)
+SELECT name AS feature, v AS threshold, {settle_sql('-0.05 * sign(lg) * greatest(abs(lg) - 0.5, 0) / (lh + 1)')} AS below,
+  {settle_sql('-0.05 * sign(tg - lg) * greatest(abs(tg - lg) - 0.5, 0) / (th - lh + 1)')} AS above, {settle_sql('lh')} AS hessian_below, {settle_sql('th')} AS hessian FROM best"""),
+)
+def train_first_split_query(spark, sf_dir):
+    """One round of one level over all labelled findings in several blocks: the penalised split SQL finds by trying all."""
+    table = drop_unlabelled(create_label(canonical(spark, sf_dir))).select("finding_id", "label", *_PLAIN_INPUTS)
+    model = training.train(table, _PLAIN_INPUTS, rounds=1, max_depth=1, subsample=1.0, colsample=1.0, most_rows=None, block_rows=20_000)
+    (tree,) = model.trees
+    low, high = tree.left[0], tree.right[0]
+    row = (_PLAIN_INPUTS[tree.feature[0]], tree.threshold[0], tree.value[low], tree.value[high], tree.cover[low], tree.cover[0])
+    return settled(spark.createDataFrame([row], "feature string, threshold double, below double, above double, hessian_below double, hessian double"))
+
+
 @query("train_evaluate")
 def train_evaluate_query(spark, sf_dir):
     """Quality of that model on the newest labelled findings."""
