@@ -229,9 +229,9 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     place = F.xxhash64(F.lit("language"), "key")
     hashed = rows.withColumn("place", F.shiftrightunsigned(place, 1))
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    each = sizes.agg(F.greatest(F.lit(1), F.floor(F.lit(most) / F.count(F.lit(1)))).alias("each"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(most) / F.count(F.lit(1)).over(Window.partitionBy())))
     share = F.least(F.lit(1.0), (1.25 * F.col("each") + 100) / F.col("size"))
-    cuts = sizes.join(F.broadcast(each)).select("label", "each", (share * float(2**63 - 1)).alias("cut"))
+    cuts = sizes.withColumn("each", each).select("label", "each", (share * float(2**63 - 1)).alias("cut"))
     chosen = hashed.join(F.broadcast(cuts), "label").filter(F.col("place") <= F.col("cut"))
     order = Window.partitionBy("label").orderBy("place", F.xxhash64("text"))
     return chosen.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("each")).select("place", "nth", "text", "label")
