@@ -127,7 +127,7 @@ def table_filter(
     return table
 
 
-def _order(table: DataFrame, sort_by: str, sort_order: str) -> list[Column]:
+def order_columns(table: DataFrame, sort_by: str, sort_order: str) -> list[Column]:
     """Sort keys with the finding as last one; an unknown column leaves the order by risk."""
     if sort_by not in table.columns:
         return [F.desc("risk_score"), F.asc("finding_id")]
@@ -136,7 +136,7 @@ def _order(table: DataFrame, sort_by: str, sort_order: str) -> list[Column]:
 
 
 def table_sort(table: DataFrame, sort_by: str = "risk_score", sort_order: str = "desc") -> DataFrame:
-    return table.orderBy(*_order(table, sort_by, sort_order))
+    return table.orderBy(*order_columns(table, sort_by, sort_order))
 
 
 def page_counts(table: DataFrame, page_size: int = 25) -> DataFrame:
@@ -152,7 +152,7 @@ def table_page(
     """One page of the sorted table; a page past the end is empty.
 
     Every task keeps only the first ``page * page_size`` rows. For deep pages use
-    :func:`page_after`, which keeps one page.
+    :func:`page_after`, which keeps one page, or an index (:mod:`findrisk.operators.pages`).
     """
     return table_sort(table, sort_by, sort_order).offset((page - 1) * page_size).limit(page_size)
 

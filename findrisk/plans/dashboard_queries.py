@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findrisk.operators import dashboard
+from findrisk.operators import dashboard, pages
 from findrisk.operators.portfolio_context import portfolio_context
 from findrisk.operators.scoring import RANKED_COLUMNS, TIERS, score_components, top_findings
 from findrisk.plans.findings import on, printed_sql, round4_sql, scored
@@ -131,6 +131,13 @@ def table_page_query(spark, sf_dir):
     return page.select(*RANKED_COLUMNS, F.col("_counts.total").alias("total"), F.col("_counts.total_pages").alias("total_pages"))
 
 
+@query("table_page_deep", on("ranked", f"SELECT {_COLUMNS} FROM ranked ORDER BY epss_score DESC NULLS LAST, finding_id LIMIT 5 OFFSET 49995"))
+def table_page_deep_query(spark, sf_dir):
+    """Page 10,000 from the staged ranges of the order."""
+    index = pages.page_index(ranked(spark, sf_dir), "epss_score", range_rows=4000)
+    return pages.page(index, 10_000, 5).select(*RANKED_COLUMNS)
+
+
 @query(
     "table_page_after",
     on("ranked", f"""SELECT {_COLUMNS} FROM ranked WHERE risk_score < 0.5 OR (risk_score = 0.5 AND finding_id > '5')
