@@ -21,7 +21,8 @@ NEAR = 48
 THRESHOLD = 0.5
 
 KEYWORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth[_-]?key|credential"
-_ASSIGNED = f"(?i:(?:{KEYWORDS}))[A-Za-z0-9_]{{0,20}}[\"']?[ \\t]{{0,3}}(?:[:=]|=>|:=)[ \\t]{{0,3}}[\"']?"
+# any name that holds a keyword, any blanks around the sign; possessive, so that nothing is tried twice
+_ASSIGNED = f"(?i:(?:{KEYWORDS}))[A-Za-z0-9_]*+[\"']?[ \\t]*+(?:[:=]|=>|:=)[ \\t]*+[\"']?"
 # every match goes on to the end of its run; possessive, so that a run is read once
 _LONG = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 # up to the END line, if nothing but what stands in a key's lines (also quoted, in strings or comments) comes before it

@@ -133,3 +133,17 @@ def test_copies_do_not_fill_the_sample(spark):
         found = scan.with_features(spark.createDataFrame(rows * copies, "path string, before string, candidate string, after string, label double"))
         trees.append(scan.train(found, most_labelled=10).toDebugString.split("\n", 1)[1])
     assert trees[0] == trees[1]
+
+
+def test_long_names_and_aligned_signs(spark):
+    """Names of any length after the keyword, any blanks around the sign."""
+    texts = [
+        'password      = "abcdefghQrstuv!x"',
+        'password_for_the_production_database_of_the_second_site = "aZkq!Lmxvrtbyhcnd"',
+        "token" + "_x" * 5000 + " " * 5000 + "=" + "\t" * 5000 + "'qwErt!asDf'",
+        "secret" + " " * 40 + "without a sign",
+    ]
+    docs = spark.createDataFrame([(i, text, "a.py") for i, text in enumerate(texts)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.candidate) for r in scan.candidates(docs).collect()}
+    assert {(0, "abcdefghQrstuv!x"), (1, "aZkq!Lmxvrtbyhcnd"), (2, "qwErt!asDf")} <= found
+    assert not [1 for doc, _ in found if doc == 3]
