@@ -86,18 +86,30 @@ def row_key(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def join_rows(keyed: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """Join a table that has a row key with rows that carry such keys.
+    """Join a table that has a row key with rows that carry such keys, at most one per key.
 
-    The copy number is compared after the match on id and hash, so that the
-    partitioning that numbered the copies serves the join too.
+    Both tables are dealt out together by id and hash, the rows of a content are
+    numbered there, and each group of one number holds a row and what belongs to it.
+    So the work on n equal rows grows with n, and wide rows are shuffled once. With
+    ``left``, rows without a partner stay, with nulls.
     """
-    renamed = other.withColumnsRenamed({"__id": "__other_id", "__hash": "__other_hash", "__copy": "__other_copy"})
-    matched = (
-        (F.col("__id") == F.col("__other_id"))
-        & (F.col("__hash") == F.col("__other_hash"))
-        & (F.col("__copy") - F.col("__other_copy") == 0)
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown kind of join: {how}")
+    key = ["__id", "__hash", "__copy"]
+    brought = [name for name in other.columns if name not in key]
+    # any numbering of equal rows will do: they are numbered anew where they meet their partners
+    rows = keyed.drop("__copy").withColumn("__copy", F.lit(None).cast("long"))
+    partners = other.withColumns({"__copy": F.col("__copy").cast("long"), "__partner": F.lit(True)})
+    dealt = rows.unionByName(partners, allowMissingColumns=True).repartition("__id", "__hash")
+    number = F.row_number().over(Window.partitionBy("__id", "__hash", F.col("__copy").isNull()).orderBy("__hash")).cast("long")
+    numbered = dealt.withColumn("__number", F.coalesce("__copy", number))
+    same = Window.partitionBy("__id", "__hash", "__number")
+    met = numbered.withColumns({f"__met{i}": F.max_by(sql_identifier(name), "__partner").over(same) for i, name in enumerate(["__partner", *brought])})
+    found = met.filter(F.col("__copy").isNull() & (F.col("__met0").isNotNull() | F.lit(how == "left")))
+    return found.select(
+        *[F.col("__number").alias(name) if name == "__copy" else sql_identifier(name) for name in keyed.columns],
+        *[F.col(f"__met{i}").alias(name) for i, name in enumerate(brought, 1)],
     )
-    return keyed.join(renamed, matched, how)
 
 
 def running_totals(
