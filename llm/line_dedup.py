@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from llm import wordkernel
@@ -14,6 +15,8 @@ from llm.registry import register
 
 #: A run of lines is a repetition if it holds this many words or more.
 LEAST_WORDS = 50
+#: A run with one of this many parts of all places is looked up by broadcast; so there are no more such runs than this.
+HOT_KEYS = 2000
 
 _POWER = 0x9E3779B97F4A7C15 | 1
 
@@ -31,38 +34,68 @@ def _run_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.
     return wordkernel.mix((sums[stops] - sums[starts]) * inverse[starts] ^ (stops - starts).astype(np.uint64))
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chosen line, its hash, window's hash) of every window of a document.
+def window_bounds(words: np.ndarray, firsts: np.ndarray | int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of the shortest run of ``least_words`` words ending at each line that has one.
+
+    Documents may stand back to back: ``firsts`` is the first line of each line's document.
+    """
+    before = np.concatenate(([0], np.cumsum(words)))
+    starts = np.searchsorted(before, before[1:] - least_words, side="right") - 1
+    inside = starts >= firsts
+    return starts[inside], np.flatnonzero(inside) + 1
+
+
+def _last_minima(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Place of the smallest value in each interval, the last of equals, from minima over powers of two."""
+    places = np.arange(len(values))
+    best = np.zeros(len(starts), np.int64)
+    sizes, width = stops - starts, 1
+    while len(starts) and width <= sizes.max():
+        now = (sizes >= width) & (sizes < 2 * width)
+        left, right = places[starts[now]], places[stops[now] - width]
+        best[now] = np.where(values[right] <= values[left], right, left)
+        left, right = places[: max(len(places) - width, 0)], places[width:]
+        places = np.where(values[right] <= values[left], right, left)
+        width *= 2
+    return best
+
+
+def winnow(
+    hashes: np.ndarray, words: np.ndarray, least_words: int, firsts: np.ndarray | int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chosen line, its hash, window's hash) of every window of a document, or of documents back to back.
 
     A window is the shortest run of lines that ends at a line and holds
     ``least_words`` words; its line of the smallest scrambled hash, the last of
     equals, is chosen. Any run of that many words contains the whole window that
     ends at its last line, so two equal runs have a window and a choice in common.
     """
-    before = np.concatenate(([0], np.cumsum(words)))
-    stops = np.flatnonzero(before[1:] >= least_words) + 1
-    starts = np.searchsorted(before, before[stops] - least_words, side="right") - 1
+    starts, stops = window_bounds(words, firsts, least_words)
     order = wordkernel.mix(hashes)
-    chosen = np.empty(len(stops), np.int64)
-    for k, (low, high) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-        chosen[k] = high - 1 - int(np.argmin(order[low:high][::-1]))
+    chosen = _last_minima(order, starts, stops)
     return chosen, hashes[chosen], _run_hashes(order, starts, stops)
 
 
-def shortest_runs(hashes: np.ndarray, words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, hash of the run, second hash of it) of the shortest runs of ``least_words`` words that end or start at a line.
+def extended_windows(
+    hashes: np.ndarray, words: np.ndarray, firsts: np.ndarray | int, least_words: int, anchors: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash, second hash) of the runs to compare around the chosen lines ``anchors`` (a mask over lines).
 
-    Every line of a longer run lies in one of these inside that run: the one that
-    starts at the line, or, where the run's end leaves too few words for that, the
-    one that ends with the run.
+    Downwards, a match goes on from window to window, one for each last line.
+    Upwards, it takes in lines for which the run without its last line still holds
+    too few words: with enough, that shorter run has a window of its own. So all
+    lines of a repeated run lie in these runs, and a text has no more of them than
+    words.
     """
+    starts, stops = window_bounds(words, firsts, least_words)
+    kept = anchors[_last_minima(wordkernel.mix(hashes), starts, stops)]
+    starts, stops = starts[kept], stops[kept]
     before = np.concatenate(([0], np.cumsum(words)))
-    ends = np.flatnonzero(before[1:] >= least_words) + 1
-    begun = np.searchsorted(before, before[ends] - least_words, side="right") - 1
-    begins = np.flatnonzero(before[:-1] <= before[-1] - least_words)
-    ended = np.searchsorted(before, before[begins] + least_words, side="left")
-    both = np.unique(np.stack([np.concatenate((begun, begins)), np.concatenate((ends, ended))], axis=1), axis=0)
-    starts, stops = both[:, 0], both[:, 1]
+    highest = np.searchsorted(before, before[stops - 1] - least_words, side="right")
+    document = firsts[stops - 1] if isinstance(firsts, np.ndarray) else firsts
+    more = np.maximum(starts - np.maximum(highest, document), 0)
+    upwards = np.arange(len(starts) + more.sum()) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+    starts, stops = np.repeat(starts, more + 1) - upwards, np.repeat(stops, more + 1)
     codes = wordkernel.mix(hashes)
     return starts, stops, _run_hashes(codes, starts, stops), _run_hashes(wordkernel.mix(~codes), starts, stops)
 
@@ -89,34 +122,51 @@ def _lines(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _back_to_back(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, its first line, hash, words) of each line of a batch, and the lines' offsets by document."""
+    hashes, words = batch.column("hashes"), batch.column("words")
+    sizes = pc.list_value_length(hashes).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    values = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    counts = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(batch.column("d").to_numpy(), sizes), np.repeat(offsets[:-1], sizes), values, counts, offsets
+
+
 def _windows(least_words: int):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            docs, lines, marks, runs = [], [], [], []
-            for d, hashes, words in zip(batch.column("d").to_pylist(), batch.column("hashes"), batch.column("words"), strict=True):
-                values = hashes.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                if len(values):
-                    chosen, mark, run = winnow(values, words.values.to_numpy(zero_copy_only=False), least_words)
-                    docs.append(np.full(len(chosen), d, np.int64))
-                    lines.append(chosen)
-                    marks.append(mark.view(np.int64))
-                    runs.append(run.view(np.int64))
-            joined = [np.concatenate(column) if column else np.zeros(0, np.int64) for column in (docs, lines, marks, runs)]
-            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in joined], ["d", "line", "mark", "run"])
+            docs, firsts, hashes, words, _ = _back_to_back(batch)
+            chosen, marks, runs = winnow(hashes, words, least_words, firsts)
+            columns = [docs[chosen], chosen - firsts[chosen], marks.view(np.int64), runs.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], ["d", "line", "mark", "run"])
 
     return batches
 
 
-def _shortest(least_words: int):
+def _fingerprints(least_words: int):
+    """Each chosen line once, however many windows choose it."""
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            rows = [np.zeros((5, 0), np.int64)]
-            for d, hashes, words in zip(batch.column("d").to_pylist(), batch.column("hashes"), batch.column("words"), strict=True):
-                values = hashes.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                if len(values):
-                    starts, stops, run, check = shortest_runs(values, words.values.to_numpy(zero_copy_only=False), least_words)
-                    rows.append(np.stack([np.full(len(starts), d, np.int64), starts, stops, run.view(np.int64), check.view(np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in np.concatenate(rows, axis=1)], ["d", "start", "stop", "run", "check"])
+            docs, firsts, hashes, words, _ = _back_to_back(batch)
+            chosen = np.unique(winnow(hashes, words, least_words, firsts)[0])
+            columns = [docs[chosen], chosen - firsts[chosen], hashes[chosen].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], ["d", "line", "mark"])
+
+    return batches
+
+
+def _extended(least_words: int):
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            docs, firsts, hashes, words, offsets = _back_to_back(batch)
+            lines = batch.column("anchors")
+            anchors = np.zeros(len(docs), bool)
+            anchors[np.repeat(offsets[:-1], pc.list_value_length(lines).to_numpy(zero_copy_only=False)) + lines.flatten().to_numpy()] = True
+            starts, stops, run, check = extended_windows(hashes, words, firsts, least_words, anchors)
+            own = firsts[starts]
+            columns = [docs[starts], starts - own, stops - own, run.view(np.int64), check.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], ["d", "start", "stop", "run", "check"])
 
     return batches
 
@@ -137,14 +187,37 @@ def _joined(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, kind)], ["d", "__runs"])
 
 
+def _later_places(places: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """The places of a key behind its first one, with the first as ``first``.
+
+    Keys with a 2000th of all places or more, at most 2000 of them, are broadcast,
+    so a passage that most documents hold never is one task's work.
+    """
+    n = F.count(F.lit(1))
+    originals = stage(places.groupBy(*key).agg(F.min(F.struct(*place)).alias("first"), n.alias("n")).filter("n > 1"), "originals")
+    hot = F.broadcast(originals.filter(F.col("n") >= max(places.count() // HOT_KEYS, 2) + 1).select(*key, F.col("first").alias("hot")))
+    marked = places.join(hot, key, "left")
+    behind = F.struct(*place) > F.col("first")
+    common = marked.filter("hot IS NOT NULL").withColumnRenamed("hot", "first")
+    rare = marked.filter("hot IS NULL").drop("hot").join(originals.select(*key, "first"), key)
+    return common.unionByName(rare).filter(behind)
+
+
 def _runs_of_any_place(sorted_lines: DataFrame, least_words: int) -> DataFrame:
-    """``d, __runs``: the lines of runs that stand at any earlier place."""
+    """``d, __runs``: the lines of runs that stand at any earlier place.
+
+    Winnowed fingerprints are joined on the hash of the chosen line; those of one
+    place only end there. Windows around the others are extended and joined with
+    the first place of what they hold.
+    """
+    arrays = sorted_lines.select("d", "hashes", "words")
+    chosen = stage(arrays.mapInArrow(_fingerprints(least_words), "d bigint, line bigint, mark bigint"), "fingerprints")
+    shared = chosen.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    # one row per document, of its own lines
+    anchors = chosen.join(shared, "mark", "left_semi").groupBy("d").agg(F.collect_list("line").alias("anchors"))
     shape = "d bigint, start bigint, stop bigint, run bigint, check bigint"
-    places = stage(sorted_lines.select("d", "hashes", "words").mapInArrow(_shortest(least_words), shape), "windows")
-    originals = (
-        places.groupBy("run", "check").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    )
-    later = places.join(originals, ["run", "check"]).filter(F.struct("d", "start") > F.col("first"))
+    places = stage(arrays.join(anchors, "d").mapInArrow(_extended(least_words), shape), "windows")
+    later = _later_places(places, ["run", "check"], ["d", "start"])
     gathered = later.groupBy("d").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     return gathered.mapInArrow(_joined, "d bigint, __runs array<struct<start:bigint,stop:bigint>>")
 
@@ -222,9 +295,10 @@ def dedup_lines(
 
     With ``every_place``, a line is deleted if it lies in a run of ``least_words``
     words or more that stands at any earlier place too, in another document or
-    further up. Each line's shortest runs of that many words, downwards and upwards,
-    are looked up by hash; all but the first place of each in the order go. Deleted
-    lines that touch are one run.
+    further up. The fingerprints of all windows are joined; windows around those with
+    more than one place are extended down, from window to window, and up, by the
+    lines that belong to no window of the run; all but the first place of each
+    extension in the order go. Deleted lines that touch are one run.
 
     Without, a run is compared with one place only: every window of lines that holds
     ``least_words`` words is looked up by the hash of its chosen line and of the whole
@@ -236,8 +310,10 @@ def dedup_lines(
     Shorter runs stay. Blank lines stay.
 
     Null texts stay null; empty texts have no lines. Texts of one line can only
-    go whole. An empty table stays empty. The matching work is one row per line (two
-    with ``every_place``), each joined with one original: no pairs among repetitions.
+    go whole. An empty table stays empty. The matching work is one row per window (with
+    ``every_place`` and its extensions: no more than words), each joined with one
+    original: no pairs among repetitions. A text is worked on whole, whatever its
+    length, in memory in proportion to it.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession

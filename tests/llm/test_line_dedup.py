@@ -164,3 +164,59 @@ def test_query_takes_every_place(spark):
 
 def test_empty_table_of_every_place(spark):
     assert dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), every_place=True).count() == 0
+
+
+def test_choices_of_windows_one_by_one():
+    """Bounds, choices and extensions of documents back to back against a search line by line."""
+    rng = random.Random(11)
+    for _ in range(60):
+        sizes = [rng.randrange(0, 12) for _ in range(5)]
+        hashes = np.array([rng.randrange(6) for _ in range(sum(sizes))], np.uint64)
+        words = np.array([rng.choice([1, 2, 5, 20]) for _ in hashes], np.int64)
+        firsts = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        order = dedup.wordkernel.mix(hashes)
+        want, runs = [], set()
+        for stop in range(1, len(hashes) + 1):
+            low = firsts[stop - 1]
+            start = next((k for k in range(stop - 1, low - 1, -1) if words[k:stop].sum() >= 10), None)
+            if start is None:
+                continue
+            want.append(max(range(start, stop), key=lambda k: (-int(order[k]), k)))
+            runs |= {(k, stop) for k in range(low, start + 1) if k == start or words[k : stop - 1].sum() < 10}
+        assert dedup.winnow(hashes, words, 10, firsts)[0].tolist() == want
+        starts, stops, *_ = dedup.extended_windows(hashes, words, firsts, 10, np.ones(len(hashes), bool))
+        assert len(starts) == len(runs) <= words.sum() and set(zip(starts.tolist(), stops.tolist())) == runs
+        assert len(dedup.extended_windows(hashes, words, firsts, 10, np.zeros(len(hashes), bool))[0]) == 0
+
+
+def test_query_takes_fingerprints(spark, monkeypatch):
+    """Without a fingerprint that two places share, nothing is found: there is no other path."""
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(8))
+    docs = spark.createDataFrame([(i, f"own {i}\n{passage}") for i in range(4)], "doc_id long, text string")
+    lost = lambda: sum(len(r.dropped_runs) for r in dedup.dedup_lines(docs, every_place=True).collect())
+    assert lost() == 3
+    monkeypatch.setattr(dedup, "_fingerprints", lambda least: lambda source: (b for b in ()))
+    assert lost() == 0
+
+
+def test_passage_of_most_documents(spark, monkeypatch):
+    """Frequent runs go by broadcast, others by shuffle, with the same result."""
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    common, some = f"{line(30)}\n{line(30)}", f"{line(7)}\n{line(50)}"
+    rows = [(i, f"{line(3)}\n{common}\n{line(60)}" if i % 10 else f"{some}\n{line(4)}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = expected_of_any_place(rows, 50)
+    for keys in (dedup.HOT_KEYS, 3):
+        monkeypatch.setattr(dedup, "HOT_KEYS", keys)
+        for row in dedup.dedup_lines(docs, every_place=True).collect():
+            assert {k for run in row.dropped_runs for k in range(run.start, run.stop)} == want[row.doc_id]
+
+
+def test_very_long_texts(spark):
+    passage = [f"line {i} of a text that is very long indeed" for i in range(100_000)]
+    rows = [(1, "\n".join(passage)), (2, "first\n" + "\n".join(passage) + "\nlast"), (3, "word " * 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup.dedup_lines(docs, every_place=True).collect()}
+    assert got[2].text == "first\nlast" and [tuple(run) for run in got[2].dropped_runs] == [(1, 100_001)]
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
