@@ -17,8 +17,8 @@ RUN_WORDS = 13
 LEAST_LITERALS = 4
 #: Share of an item's windows that must be found, in percent.
 COVERAGE_PERCENT = 30
-#: Benchmarks with more windows than this are joined by shuffle instead of broadcast.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmarks whose windows take more memory than this are joined by shuffle instead of broadcast.
+BROADCAST_BYTES = 256 << 20
 #: Words that are units when they follow a number.
 UNITS = (
     "mm cm m km kilometers kilometres meters metres miles mile feet foot inches inch yards yard "
@@ -31,6 +31,8 @@ UNITS = (
 _LETTER = "A-Za-z\\x{80}-\\x{10FFFF}"
 _END = "\u0002"
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
+#: What a document's window can meet by: its words, and its templates.
+FORMS = ("words", "tokens", "names")
 
 
 def _marked(text: Column) -> Column:
@@ -50,20 +52,32 @@ def _plain(marked: Column) -> Column:
     return F.trim(F.regexp_replace(marked, f" (?:{_END} )+", " "))
 
 
-def _template(marked: Column) -> Column:
-    """Numbers, units after numbers, and capitalised words inside sentences as typed slots."""
+def _template(marked: Column, opening_names: bool) -> Column:
+    """Numbers, units after numbers, and capitalised words as typed slots.
+
+    A capitalised word that opens a sentence is a slot with ``opening_names`` only.
+    """
     numbers = F.regexp_replace(marked, "(?<= )[0-9]++(?:·[0-9]++)*+(?= )", NUMBER)
     numbers = F.regexp_replace(numbers, f"(?<={NUMBER} )(?i:{'|'.join(UNITS)})(?= )", UNIT)
     marked = F.when(marked.rlike("[0-9]"), numbers).otherwise(marked)
-    marked = F.regexp_replace(marked, f"(?<=[^ {_END}] )\\p{{Lu}}\\p{{Ll}}++(?= )", NAME)
+    before = "(?<= )" if opening_names else f"(?<=[^ {_END}] )"
+    marked = F.regexp_replace(marked, f"{before}\\p{{Lu}}\\p{{Ll}}++(?= )", NAME)
     return F.lower(_plain(marked))
 
 
 def _canonical(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    """``keep, words, tokens``: the words of a text and, in the same places, of its template."""
+    """``keep, words, tokens, names``: the words of a text and, in the same places, of its templates.
+
+    Whether a sentence opens with a name cannot be told from its capital, so there are
+    two templates: in ``tokens`` such words are literal, in ``names`` they are names.
+    """
     marked = df.select(*keep, _marked(text).alias("__marked"))
     return marked.withColumns(
-        {"words": F.split(_plain(F.col("__marked")), " "), "tokens": F.split(_template(F.col("__marked")), " ")}
+        {
+            "words": F.split(_plain(F.col("__marked")), " "),
+            "tokens": F.split(_template(F.col("__marked"), False), " "),
+            "names": F.split(_template(F.col("__marked"), True), " "),
+        }
     ).drop("__marked")
 
 
@@ -77,10 +91,9 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     Items of fewer than LEAST_WORDS words (``short``) are left out unless
     ``short_items``, and then stand as their lower-case words only.
 
-    A window stands as its lower-case words (``verbatim``) and, if it has slots and
-    LEAST_LITERALS literal words, as its template. ``anchor`` is the window's longest
-    literal word (the last of equals), which stands ``anchor_offset`` words after its
-    start: only where a document has an anchor its window is put together and compared.
+    A window stands as its lower-case words (``verbatim``) and as each of its
+    templates that has slots and LEAST_LITERALS literal words. ``hash`` is the hash of
+    the words or template, over which documents' windows of ``size`` words meet it.
     """
     items = _canonical(benchmark, F.col(sql_identifier(text_col)), F.col(sql_identifier(id_col)).alias("item_id")).distinct()
     # a text without words splits into one empty word
@@ -97,31 +110,71 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         short,
         (F.col("start") - 1).alias("item_position"),
         F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
-        F.slice("tokens", F.col("start"), F.col("size")).alias("template"),
+        *[F.slice(form, F.col("start"), F.col("size")).alias(form) for form in ("tokens", "names")],
     )
-    # a capitalised first word is a plain word here, but a name where a document goes on with it
-    first = F.element_at("item_words", 1)
-    opened = rows.filter((F.col("item_position") == 0) & first.rlike("^\\p{Lu}\\p{Ll}+$") & ~F.element_at("template", 1).startswith("<"))
-    opened = opened.withColumn("template", F.concat(F.array(F.lit(NAME)), F.slice("template", F.lit(2), F.col("size"))))
+    templates = rows.withColumn("template", F.explode(F.array_distinct(F.array("tokens", "names"))))
     literals = F.size(F.filter("template", lambda w: ~w.startswith("<")))
-    typed = rows.unionByName(opened).filter(~F.col("short") & (literals >= LEAST_LITERALS) & (literals < F.col("size")))
+    typed = templates.filter(~F.col("short") & (literals >= LEAST_LITERALS) & (literals < F.col("size")))
     forms = typed.withColumns({"verbatim": F.lit(False), "window": F.col("template")}).unionByName(
-        rows.withColumns({"verbatim": F.lit(True), "window": _lowered("item_words")})
+        rows.withColumns({"verbatim": F.lit(True), "template": F.col("tokens"), "window": _lowered("item_words")})
     )
-    ranked = F.transform(
-        "window", lambda w, i: F.struct(F.when(w.startswith("<"), 0).otherwise(F.length(w)).alias("rank"), i.alias("place"), w.alias("word"))
-    )
-    table = forms.withColumn("__best", F.array_max(ranked)).select(
+    table = forms.select(
         "item_id", "size", "item_windows", "short", "item_position", "verbatim",
         _lowered("item_words").alias("item_words"),
         F.concat_ws(" ", "template").alias("template"),
         F.concat_ws(" ", "window").alias("window"),
-        F.col("__best.word").alias("anchor"),
-        F.col("__best.place").alias("anchor_offset"),
+        F.xxhash64("window").alias("hash"),
     )
     return stage(table, "benchmark-windows")
 
 
+def _fits(windows: DataFrame, most_bytes: int) -> bool:
+    """Whether the windows take ``most_bytes`` of memory at most, overheads included."""
+    texts = F.octet_length("template") + F.octet_length("window") + 4 * F.octet_length(F.concat_ws(" ", "item_words")) + 300
+    return (windows.agg(F.sum(texts.cast("long"))).first()[0] or 0) <= most_bytes
+
+
+def _met_windows(canonical: DataFrame, windows: DataFrame, most_bytes: int) -> DataFrame:
+    """The documents' windows that equal a benchmark window in words or template, beside it.
+
+    Every window of a document is hashed in its three forms, for each size the
+    benchmark has (WINDOW, and fewer words for its short items). Small benchmarks
+    are broadcast to the texts. For others only positions and hashes are shuffled,
+    and the words of the texts that met a window are fetched afterwards.
+    """
+    places = ["doc_id", "text_hash", "position", "form", "hash"]
+    # at most two rows per size
+    wanted = windows.select("size", "verbatim").distinct().collect()
+    sizes = {form: sorted({row.size for row in wanted if row.verbatim == (form == "words")}) for form in FORMS}
+    # an outer explode: for an inner one, Spark would put the texts into words twice to see if there are any
+    spread = canonical.select("*", F.posexplode_outer("words").alias("position", "word"))
+    inside = lambda size: F.col("position") + size <= F.size("words")
+    hashed = spread.withColumns(
+        {f"{form}{size}": F.xxhash64(F.slice(form, F.col("position") + 1, F.lit(size))) for form in FORMS for size in sizes[form]}
+    )
+    marks = []
+    for form in FORMS:
+        for size in sizes[form]:
+            # a template without slots is the words, and without opening names the other template
+            fresh = {"words": F.lit(True), "tokens": F.col(f"tokens{size}") != F.col(f"words{size}"), "names": F.col(f"names{size}") != F.col(f"tokens{size}")}
+            known = fresh[form] if size in sizes["words"] else F.lit(True)
+            marks.append(F.struct(F.lit(form).alias("form"), F.when(inside(size) & known, F.col(f"{form}{size}")).alias("hash")))
+    if not marks:
+        marks = [F.struct(F.lit("words").alias("form"), F.lit(None).cast("long").alias("hash"))]
+    marked = hashed.withColumn("mark", F.explode(F.array(*marks))).withColumns({"form": F.col("mark.form"), "hash": F.col("mark.hash")})
+    marked = marked.select(*places, *FORMS).filter("hash IS NOT NULL")
+    if _fits(windows, most_bytes):
+        met = marked.join(F.broadcast(windows), "hash")
+    else:
+        known = stage(marked.select(*places).join(windows.select("hash").distinct(), "hash"), "met-places")
+        texts = canonical.select("text_hash", *FORMS).join(known.select("text_hash").distinct(), "text_hash", "left_semi")
+        met = known.join(windows, "hash").join(texts.dropDuplicates(["text_hash"]), "text_hash")
+    cut = lambda column: F.slice(column, F.col("position") + 1, F.col("size"))
+    form = F.when(F.col("form") == "words", F.concat_ws(" ", cut("words"))).when(F.col("form") == "tokens", F.concat_ws(" ", cut("tokens")))
+    same = form.otherwise(F.concat_ws(" ", cut("names"))) == F.col("window")
+    return met.filter(same & (F.col("verbatim") == (F.col("form") == "words"))).withColumn("doc_words", cut("words")).drop(*FORMS)
+
+
 @sheltered
 def leaks(
     docs: DataFrame,
@@ -131,17 +184,18 @@ def leaks(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     short_items: bool = False,
 ) -> DataFrame:
     """Benchmark items that stand in documents, one row per document and item.
 
     Returns ``doc_id, text_hash, item_id, n_windows, item_windows, n_slots,
     n_changed, kind``. Texts are cut into words; numbers, units after numbers and
-    capitalised words inside sentences become typed slots, the rest lower case.
-    Every document window is looked up among the benchmark's, by its longest literal
-    word first and as a whole where that is known: by its lower-case words, whatever
-    their case and punctuation, or by its template. Hits on one
+    capitalised words become typed slots, the rest lower case; capitalised words that
+    open a sentence are tried as names and as literal words, all of a window alike.
+    Every document window is looked up among the benchmark's by its hash: that of its
+    lower-case words, whatever their case and punctuation, and those of its
+    templates. Hits on one
     alignment of document and item (same distance of positions) are taken
     together. Windows whose words equal the item's always count, those that match
     by template alone if each slot value of the item stands for one value in the
@@ -152,31 +206,19 @@ def leaks(
 
     Null and empty texts hold no item. Items of fewer than LEAST_WORDS words, which
     stand in many documents by chance, are found only with ``short_items``, by their
-    exact words and as kind ``short``. Null ids are kept as such. Rows equal in id and text give one
+    exact words and as kind ``short``. Very long texts take no more memory than their
+    words; null ids are kept as such. Rows equal in id and text give one
     row per item. Empty tables on either side give no rows. Other columns of both
     tables are not read.
     """
     require(docs, id_col, text_col)
     require(benchmark, item_id_col, item_text_col)
     items = benchmark_windows(benchmark, item_id_col, item_text_col, short_items)
-    if items.count() <= broadcast_windows:
-        items = F.broadcast(items)
     text = F.col(sql_identifier(text_col))
     canonical = _canonical(docs, text, F.col(sql_identifier(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    canonical = canonical.withColumn("words", _lowered("words"))
-    # an outer explode: for an inner one, Spark would put the texts into words twice to see if there are any
-    spread = canonical.select("doc_id", "text_hash", "words", "tokens", F.posexplode_outer("words").alias("position", "anchor"))
-    start = F.col("position") - F.col("anchor_offset")
-    cut = lambda column: F.slice(column, F.greatest(start, F.lit(0)) + 1, F.col("size"))
-    met = F.when(F.col("verbatim"), F.concat_ws(" ", cut("words"))).otherwise(F.concat_ws(" ", cut("tokens")))
-    # only expressions that Spark compiles up to here, so that a text's arrays are not copied for each of its words
-    hits = (
-        spread.join(items, "anchor")
-        .filter((start >= 0) & (met == F.col("window")))
-        .select(
-            "doc_id", "text_hash", "item_id", "item_windows", "short", "item_position", (start - F.col("item_position")).alias("shift"),
-            "verbatim", F.struct("verbatim", "template", "item_words", cut("words").alias("doc_words")).alias("met"),
-        )
+    hits = _met_windows(canonical.withColumn("words", _lowered("words")), items, broadcast_bytes).select(
+        "doc_id", "text_hash", "item_id", "item_windows", "short", "item_position", (F.col("position") - F.col("item_position")).alias("shift"),
+        "verbatim", F.struct("verbatim", "template", "item_words", "doc_words").alias("met"),
     )
     # one row per alignment: bounded by the item's own windows
     gathered = hits.groupBy("doc_id", "text_hash", "item_id", "item_windows", "short", "shift").agg(

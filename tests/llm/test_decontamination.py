@@ -42,7 +42,7 @@ def test_exact_and_changed_questions(spark):
 
 def test_shuffle_join_finds_the_same(spark):
     docs, items = tables(spark)
-    assert {(r.doc_id, r.item_id, r.kind) for r in clean.leaks(docs, items, broadcast_windows=0).collect()} == WANT
+    assert {(r.doc_id, r.item_id, r.kind) for r in clean.leaks(docs, items, broadcast_bytes=0).collect()} == WANT
 
 
 def test_filter_keeps_clean_rows(spark):
@@ -111,3 +111,71 @@ def test_runs_of_words_and_short_items(spark):
     assert {key: (r.kind, r.n_windows) for key, r in _found(spark, docs, items).items()} == want
     want |= {(4, 2): ("short", 1), (6, 4): ("short", 1)}
     assert {key: (r.kind, r.n_windows) for key, r in _found(spark, docs, items, short_items=True).items()} == want
+
+
+OPENING = [
+    (1, "Tom has 12 apples in his basket. Tom gives 5 apples to Mary. How many apples are left in the basket?"),
+    (2, "Alice bought 3 pens. Bob bought 4 pens. How many pens did both of them buy in all?"),
+    (3, "The Nile is 6650 km long. Sarah walks 20 km a day along it. After how many days is she at its end?"),
+]
+
+
+def test_names_that_open_sentences(spark):
+    docs = [
+        (11, "Ben has 30 apples in his basket. Ben gives 7 apples to Lea. How many apples are left in the basket?"),
+        (12, "Carla bought 8 pens. Dave bought 9 pens. How many pens did both of them buy in all?"),
+        (13, "The Rhine is 1230 km long. Peter walks 30 km a day along it. After how many days is she at its end?"),
+        # one name for two people, and two names for one
+        (21, "Ben has 30 apples in his basket. Lea gives 7 apples to Mary. Nothing else of it."),
+        (22, "Carla bought nothing. Dave bought bread. How much did both of them pay for it?"),
+    ]
+    got = _found(spark, docs, OPENING)
+    assert {key: r.kind for key, r in got.items()} == {(10 + i, i): "reparameterised" for i in (1, 2, 3)}
+
+
+def test_questions_with_other_values(spark):
+    """Sixty written questions of twelve shapes, each asked again with other names, numbers and units: nine of ten or more found, no other."""
+    import random
+
+    shapes = [
+        "{A} has {n} apples in the basket. {A} gives {m} apples to {B}. How many apples are left in the basket?",
+        "{A} bought {n} pens. {B} bought {m} pens. How many pens did both of them buy in all?",
+        "A train leaves {C} at {n} km an hour and another leaves {D} at {m} km an hour. When do they meet?",
+        "{A} is {n} years old. {B} is twice as old as {A}. How old will {B} be in {m} years?",
+        "If {n} workers build a wall in {m} days, how long do half as many workers need for the same wall?",
+        "{A}, {B} and {C} share {n} marbles so that {A} gets {m} more than {B}. How many does {C} get?",
+        "The shop of {A} sells {n} cakes a day. On Sunday {B} buys {m} of them. How many cakes stay on the shelf?",
+        "A tank holds {n} liters of water. Every hour {m} liters run out of it. After how many hours is it empty?",
+        "{A} reads {n} pages. Then {B} reads {m} pages. Who of the two has read more, and by how much?",
+        "How far is it from {C} to {D} if a cyclist needs {n} hours at a speed of {m} km an hour?",
+        "{A} pays {n} dollars for a coat and {m} dollars for a hat. What does {A} pay for both together?",
+        "In the garden of {A} stand {n} trees. {B} plants {m} more. How many trees are there in the end?",
+    ]
+    people = "Alma Boris Clara Dan Edith Fritz Greta Hugo Ida Jonas Karla Leo Mona Nils Olga Paul".split()
+    towns = "Aachen Bremen Chemnitz Dresden Erfurt Fulda Gotha Halle".split()
+    rng = random.Random(17)
+
+    def ask(shape):
+        (a, b), (c, d), (n, m) = rng.sample(people, 2), rng.sample(towns, 2), rng.sample(range(2, 5000), 2)
+        return shape.format(A=a, B=b, C=c, D=d, n=n, m=m)
+
+    items = [(i, ask(shape)) for i, shape in enumerate(shapes * 5)]
+    docs = [(i, f"Some words before. {ask(shape)} Some words after.") for i, shape in enumerate(shapes)]
+    docs += [(100 + i, " ".join(sorted(text.split()))) for i, (_, text) in enumerate(items)]
+    pairs = set(_found(spark, docs, items))
+    # questions of one shape are the same question, whatever their values
+    want = {(i, j) for i in range(12) for j in range(60) if j % 12 == i}
+    assert len(pairs & want) >= 0.9 * len(want) and not pairs - want
+
+
+def test_long_text_by_shuffle(spark):
+    """No broadcast of any kind, one text of 20,000 words."""
+    words = " ".join(f"w{i % 977}x" for i in range(20_000))
+    docs = [(1, f"{words}. {OPENING[0][1]} {words}"), (2, words)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = clean.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(OPENING, "item_id long, text string"), broadcast_bytes=0)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [(r.doc_id, r.item_id, r.kind) for r in df.collect()] == [(1, 1, "exact")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
