@@ -209,3 +209,27 @@ def test_deep_trees_are_explained(spark, matrix):
     parts = contributions.contributions(model, training.feature_vectors(model, table))
     raw = training.margins(model, table, into="raw")
     assert parts.join(raw, "finding_id").agg(F.max(F.abs(F.col("margin") - F.col("raw")))).first()[0] < 1e-9
+
+
+def test_rows_that_meet_the_same_conditions_share_a_table_entry(spark, matrix):
+    """The tabulated values are those of every row by itself, and the conditions are weighed once per pattern, not per row."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    draw = [F.pmod(F.xxhash64("finding_id", F.lit(i)), F.lit(50)).cast("double").alias(f"d{i}") for i in range(6)]
+    names = [f"d{i}" for i in range(6)]
+    table = stage(matrix.select("finding_id", *draw, F.pmod(F.xxhash64("finding_id"), F.lit(2)).cast("int").alias("label")))
+    model = training.train(table, names, rounds=3, max_depth=4, eta=0.3, l1=0.0, l2=0.0, least_hessian=0.0)
+    compiled = contributions.compile_trees(model)
+    values = rng.integers(0, 50, (500, 6)).astype(float)
+    weighed = []
+    plain = contributions._values
+    contributions._values = lambda group, met: weighed.append(len(met)) or plain(group, met)
+    try:
+        together = contributions._explain_batch(compiled, values)
+        most = max(weighed)
+    finally:
+        contributions._values = plain
+    alone = np.concatenate([contributions._explain_batch(compiled, values[i : i + 1]) for i in range(len(values))])
+    assert np.abs(together - alone).max() < 1e-12 and np.abs(alone).max() > 0
+    assert most <= 16
