@@ -43,3 +43,13 @@ def test_a_deep_page_reads_two_ranges_at_most(spark, table):
 def test_an_empty_table_has_no_pages(table):
     index = pages.page_index(table.limit(0))
     assert index.total == 0 and pages.page(index).collect() == []
+
+
+def test_the_number_of_ranges_does_not_grow_without_end(table, monkeypatch):
+    """Folders, files and tasks stay bounded; every page is still that of the sorted table."""
+    monkeypatch.setattr(pages, "MOST_RANGES", 4)
+    index = pages.page_index(table, range_rows=10)
+    assert index.total == 1003 and len(index.ranges) <= 4
+    want = [row.finding_id for row in dashboard.table_sort(table).collect()]
+    got = [row.finding_id for number in range(1, 6) for row in pages.page(index, number, 240).collect()]
+    assert got == want
