@@ -138,3 +138,31 @@ def test_one_label_few_rows_and_no_rows(spark):
     assert all(r.ml_score > 0.5 for r in training.predict(model, table).collect())
     none = training.train(table.limit(0), NAMES, rounds=3)
     assert [r.ml_score for r in training.predict(none, table).collect()] == [0.5] * 4
+
+
+def _drawn_tree(rng, depth, features):
+    tree = boosting.Tree()
+    tree.add(0.5, 1.0)
+    level = [0]
+    for _ in range(depth):
+        following = []
+        for node in level:
+            if rng.random() < 0.1:
+                continue
+            tree.feature[node], tree.threshold[node] = int(rng.integers(features)), float(rng.integers(0, 400))
+            tree.left[node], tree.right[node] = tree.add(rng.normal(), 1.0), tree.add(rng.normal(), 1.0)
+            following += [tree.left[node], tree.right[node]]
+        level = following
+    return tree
+
+
+@pytest.mark.parametrize(("trees", "depth"), [(40, 6), (6, 10), (2, 0), (0, 0)])
+def test_forest_finds_the_same_leaves_as_its_trees(trees, depth):
+    rng = np.random.default_rng(5)
+    grown = [_drawn_tree(rng, depth, 5) for _ in range(trees)]
+    rows = rng.integers(-1, 401, (boosting.CHUNK_ROWS + 100, 5)).astype(float)
+    rows[:3] = np.array([np.nan, np.inf, -np.inf])[:, None]
+    expected = np.zeros(len(rows))
+    for tree in grown:
+        expected += np.array(tree.value)[tree.leaves(rows, False)]
+    assert (boosting.Forest(grown).margins(rows) == expected).all()

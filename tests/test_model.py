@@ -233,3 +233,37 @@ def test_rows_that_meet_the_same_conditions_share_a_table_entry(spark, matrix):
     alone = np.concatenate([contributions._explain_batch(compiled, values[i : i + 1]) for i in range(len(values))])
     assert np.abs(together - alone).max() < 1e-12 and np.abs(alone).max() > 0
     assert most <= 16
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_matrix_is_made_only_for_the_rows_asked_for(spark):
+    """Rows are staged before they become wide, and a filter is applied to them before statistics are attached."""
+    _, parted = train_model(findings(spark, "/root/testdata/sf0.001"), AS_OF, rounds=1)
+    assert "split" in parted.columns and parted.filter("split = 'test'").count() < parted.count()
+    chosen = parted.filter(F.col("finding_id").isin("1-1", "2-1"))
+    staged = chosen._jdf.queryExecution().optimizedPlan().collectLeaves().head().output().mkString(",")
+    assert "cvss_vector" in staged and "is_cwe_79" not in staged and "attack_vector_network" not in staged
+    lines = _plan(chosen).splitlines()
+    lowest_join = max(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line)
+    assert any("Filter" in line and "finding_id" in line for line in lines[lowest_join:])
+
+
+def test_bounded_training_rows_are_chosen_by_a_filter(spark, matrix):
+    keys = matrix.select("finding_id")
+    chosen = training._bounded(matrix, 100, keys)
+    assert chosen.count() == 100 and "Join" not in _plan(chosen)
+    order = F.pmod(F.xxhash64(F.lit("rows"), F.col("finding_id")), F.lit(1 << 62))
+    first = {row[0] for row in keys.orderBy(order, "finding_id").limit(100).collect()}
+    assert {row[0] for row in chosen.select("finding_id").collect()} == first
+
+
+def test_few_chosen_findings_are_looked_for_by_value(spark, matrix):
+    from findrisk import batch
+
+    top = matrix.orderBy("finding_id").limit(7)
+    for n in (7, batch.LISTED + 1):
+        assert batch._chosen(matrix, top, n).count() == 7
+    assert "Join" not in _plan(batch._chosen(matrix, top, 7))
