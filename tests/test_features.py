@@ -1,7 +1,9 @@
 import pytest
 from conftest import AS_OF
+from pyspark.sql import functions as F
 
 from findrisk.functions.cvss import FLAG_NAMES
+from findrisk.functions.text import strip, text_or_blank
 from findrisk.operators import features, profiles
 from findrisk.operators.assembly import FEATURE_NAMES, align_features, feature_matrix
 from findrisk.operators.canonical import canonicalize
@@ -188,3 +190,15 @@ def test_missing_repos_are_unknown_in_one_block_and_blank_in_the_other(spark):
     assert [result[i].historical_fix_rate_same_repo for i in "1234"] == [0.5, 0.0, 0.5, 1.0]
     alone = by_id(profiles.grouped_features(table, ["user"]))
     assert all(alone[i].historical_fix_rate_same_repo == result[i].historical_fix_rate_same_repo for i in "1234")
+
+
+def test_version_parts_without_patterns(spark):
+    from findrisk.functions.versions import version_parts
+
+    texts = ["vV1.2.3-rc.1", " v10.0+b.2", "1.2_3", "1 2.3", "-1.2", "v", "", "nan", None, "1..2.", "a\n.b-c", "Vv.1v.v2"]
+    table = spark.createDataFrame([(text,) for text in texts], "x string")
+    plan = table.select(version_parts(F.col("x")).alias("p"))
+    old = F.split(F.regexp_extract(F.regexp_replace(strip(text_or_blank(F.col("x"))), "^[vV]+", ""), "^[^-+_ ]*", 0), r"\.")
+    rows = table.select(version_parts(F.col("x")).alias("new"), old.alias("old")).collect()
+    assert [row.new for row in rows] == [row.old for row in rows]
+    assert "regexp" not in plan._jdf.queryExecution().executedPlan().toString()
