@@ -52,3 +52,8 @@ def test_statistics_are_attached_without_shuffling_the_findings(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert "BroadcastHashJoin" in plan
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_factors_are_worked_out_once(spark):
+    """A filter on their number would work them out a second time next to the scan."""
+    assert "size(" not in plan_of(QUERIES["factors_of_terms"](spark, SMALL))
