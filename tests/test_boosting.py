@@ -166,3 +166,70 @@ def test_forest_finds_the_same_leaves_as_its_trees(trees, depth):
     for tree in grown:
         expected += np.array(tree.value)[tree.leaves(rows, False)]
     assert (boosting.Forest(grown).margins(rows) == expected).all()
+
+
+def test_trees_grow_from_all_rows_by_default(spark):
+    n = 100_500
+    table = spark.range(n).select(F.col("id").cast("string").alias("finding_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("a"))
+    (tree,) = training.train(table, ["a"], rounds=1, subsample=1.0, colsample=1.0).trees
+    # a row without any tree has a hessian of a quarter
+    assert tree.cover[0] == 0.25 * n
+
+
+def test_rounds_are_judged_on_all_held_rows_by_default(spark, monkeypatch):
+    n, seen = 25_000, []
+    monkeypatch.setattr(boosting, "boost", lambda rows, *a, **k: seen.append(rows.filter("valid").count()) or [])
+    table = spark.range(n).select(F.col("id").cast("string").alias("finding_id"), F.lit(1).alias("label"), F.lit(1.0).alias("a"), (F.col("id") > 0).alias("valid"))
+    training.train(table, ["a"], validation="valid")
+    assert seen == [n - 1]
+
+
+def test_bytes_of_bins_give_the_sums_of_their_features():
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 2, 128, 3, 5, 2, 90, 2, 1, 40, 7, 2, 2, 2, 2, 2, 2, 2, 11]
+    cuts = [np.arange(size - 1.0) for size in sizes]
+    matrix = np.column_stack([rng.integers(0, size, 3000) for size in sizes]).astype(float)
+    packs = boosting.Packs(cuts)
+    codes = packs.codes(matrix, cuts)
+    assert len(codes) < 8
+    for feature, size in enumerate(sizes):
+        for cut in range(size - 1):
+            assert (packs.beyond(codes, feature, cut) == (matrix[:, feature] > cut)).all()
+    columns, weight = list(range(0, len(sizes), 2)), rng.integers(-9, 9, 3000).astype(float)
+    used = packs.used(columns)
+    sums = np.stack([np.stack([np.bincount(codes[k], w, 256) for w in (weight, weight + 1)]) for k in used])[None]
+    found = packs.by_feature(sums, used, columns)
+    for k, column in enumerate(columns):
+        for part, w in enumerate((weight, weight + 1)):
+            assert (found[0, k, :, part] == np.bincount(matrix[:, column].astype(int), w, 128)).all()
+
+
+def test_area_by_ranges_is_that_of_all_rows(spark):
+    x, label = rows_of(7, 800)
+    table = frame(spark, x, label)
+    trees = training.train(table, NAMES, rounds=12, eta=0.3).trees
+    cuts = boosting.cut_points(table, NAMES)
+    packs = boosting.Packs(cuts)
+    held = boosting._binned(table, NAMES, "label", True, cuts, packs, 90)
+    expected, margin = [], np.zeros(len(x))
+    for tree in trees:
+        margin += np.array(tree.value)[tree.leaves(x, False)]
+        expected.append(boosting.area(margin, label))
+    assert len(set(expected)) > 6
+    # as many ranges as for a million rows, one range, and trees that add nothing
+    assert boosting._areas(held, 1_000_000, trees, trees, packs) == boosting._areas(held, 800, trees, trees, packs) == expected
+    assert boosting._areas(held, 1_000_000, [boosting.Tree([0], [0], [0.0], [0], [0], [0.0], [1.0])], [], packs) == []
+
+
+def test_working_tables_of_training_are_deleted(spark, monkeypatch):
+    x, label = rows_of(8, 300)
+    table = frame(spark, x, label).withColumn("valid", F.xxhash64("finding_id") % 5 == 0)
+    staged, keep = [], boosting.stage
+    noted = lambda df, name="table", **options: staged.append(keep(df, name, **options)) or staged[-1]
+    monkeypatch.setattr(boosting, "stage", noted)
+    monkeypatch.setattr(training, "stage", noted)
+    training.train(table, NAMES, rounds=21, validation="valid", patience=21, block_rows=100)
+    assert len(staged) == 7
+    for one in staged:
+        with pytest.raises(Exception, match="NOT_EXIST|not exist"):
+            one.count()
