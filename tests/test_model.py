@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from findrisk import batch
 from findrisk.batch import evaluate_model, explain_cve, explain_top, prompt_top, score_findings, train_model
 from findrisk.operators import contributions, embeddings, training
 from findrisk.operators.scoring import ranked_table, top_findings
@@ -267,3 +268,14 @@ def test_few_chosen_findings_are_looked_for_by_value(spark, matrix):
     for n in (7, batch.LISTED + 1):
         assert batch._chosen(matrix, top, n).count() == 7
     assert "Join" not in _plan(batch._chosen(matrix, top, 7))
+
+
+def test_findings_ranked_once_serve_explanations_and_prompts(spark, monkeypatch):
+    raw = stage(findings(spark, "/root/testdata/sf0.001").filter("user_action <> 'monitoring'").limit(200))
+    model, _ = train_model(raw, AS_OF, rounds=2, max_depth=2)
+    alone = [sorted(f(raw, model, AS_OF, n=3).collect()) for f in (explain_top, prompt_top)]
+    scored = []
+    monkeypatch.setattr(batch, "_score_matrix", lambda *a, f=batch._score_matrix: scored.append(1) or f(*a))
+    ranked = batch.rank_all(raw, model, AS_OF)
+    assert [sorted(f(raw, model, AS_OF, n=3, ranked=ranked).collect()) for f in (explain_top, prompt_top)] == alone
+    assert scored == [1]
