@@ -2,7 +2,7 @@
 
 import pytest
 
-from findrisk.session import TASK_BYTES, prepare
+from findrisk.session import SHUFFLES_END, TASK_BYTES, prepare
 
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 LOCAL_MAP = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
@@ -34,3 +34,11 @@ def test_a_join_with_small_partitions_does_not_sort(spark, settings):
     joined = spark.range(1000).join(spark.range(0, 1000, 3), "id")
     assert len(joined.collect()) == 334
     assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_files_are_deleted_with_their_job(spark):
+    prepare(spark)
+    assert spark.conf.get(SHUFFLES_END) == "true"
+    counted = spark.range(1000).groupBy("id").count()
+    # the same frame gives the same rows again
+    assert counted.agg({"count": "sum"}).first()[0] == 1000 and len(counted.collect()) == len(counted.collect()) == 1000
